@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.bindings.registry import query, table
+from casemill.bindings.registry import query, table, texts
 from casemill.functions.text import join_features
 from casemill.operators.metrics import (
     accuracy,
@@ -26,9 +26,14 @@ from casemill.operators.profile import (
 )
 
 
-def predictions(spark, sf):
+_DOCS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def predictions(spark, sf, predicted_docs=None):
     """Labelled documents with a fixed rule as the prediction, binary and with three classes."""
-    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    if predicted_docs is None:
+        predicted_docs = table(spark, sf, "documents")
+    labelled = predicted_docs.join(table(spark, sf, "labels"), "doc_id")
     n, lang = F.col("n_chars"), F.col("lang")
     return labelled.select(
         "doc_id",
@@ -193,7 +198,7 @@ _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
         UNION ALL SELECT 'all', count(*), round(avg(n), 6), round(avg(s), 6) FROM m""",
 )
 def _(spark, sf):
-    rows = predictions(spark, sf)
+    rows = predictions(spark, sf, texts(spark, sf, *_DOCS))
     return _rounded(error_profile(rows, "text", F.col("y") != F.col("p")))
 
 
@@ -206,18 +211,18 @@ def _(spark, sf):
         WHERE rank <= 50""",
 )
 def _(spark, sf):
-    rows = predictions(spark, sf)
+    rows = predictions(spark, sf, texts(spark, sf, *_DOCS))
     return top_words(rows, "text", F.col("y") != F.col("p")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("word_counts", rf"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word")
 def _(spark, sf):
-    return word_counts(table(spark, sf, "documents"), "text")
+    return word_counts(texts(spark, sf, "text"), "text")
 
 
 @query("word_stats", f"SELECT median(n) AS median_words, round(avg(n), 6) AS mean_words FROM (SELECT len({_WORDS}) AS n FROM documents)")
 def _(spark, sf):
-    return _rounded(word_stats(table(spark, sf, "documents"), "text"))
+    return _rounded(word_stats(texts(spark, sf, "text"), "text"))
 
 
 # Profiles --------------------------------------------------------------------------------------

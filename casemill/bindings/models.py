@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.bindings.registry import query, table
+from casemill.bindings.registry import query, table, texts
 from casemill.functions.text import word_count
 from casemill.operators.classify import score_text_clf, train_text_clf, tune_text_clf
 from casemill.operators.features import train_set_all, train_set_cover, train_set_sentences
@@ -21,8 +21,9 @@ _WIDTH = {name: i + 2 for i, name in enumerate(ALL_FEATURES)}
 
 def wide_features(spark, sf):
     """A feature table: words of the documents in the named columns, some missing, and an outcome."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    found = F.split("text", " ")
+    docs = texts(spark, sf, "doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = docs.withColumn("_found", F.split("text", " "))
+    found = F.col("_found")
     columns = [
         F.when(F.col("doc_id") % _WIDTH[name] != 0, F.try_element_at(found, F.lit(_WIDTH[name]))).alias(name)
         for name in ALL_FEATURES
@@ -66,13 +67,13 @@ def _(spark, sf):
        FROM documents JOIN labels USING (doc_id)""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = texts(spark, sf, "doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
     spans = F.regexp_extract_all("text", F.lit("[a-z]+tion"), F.lit(0)).alias("spans")
     return _long(train_set_sentences(docs.select(spans, "quality"), "spans", "quality"))
 
 
 def examples(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf, "doc_id", "text")
     labelled = gold_join(docs, table(spark, sf, "labels").select("doc_id", F.col("quality").alias("labels")), "doc_id")
     return split_by_hash(labelled, ["doc_id"])
 
@@ -99,7 +100,7 @@ def _(spark, sf):
 @query("score_text_clf")
 def _(spark, sf):
     model = _trained(spark, sf).model
-    scored = score_text_clf(model, table(spark, sf, "documents").select("doc_id", "text"))
+    scored = score_text_clf(model, texts(spark, sf, "doc_id", "text"))
     return scored.select("doc_id", "prediction", F.round("predicted_class", 6).alias("predicted_class"))
 
 
@@ -128,7 +129,7 @@ def _(spark, sf):
        FROM v""",
 )
 def _(spark, sf):
-    tail = tail_sentences(table(spark, sf, "documents"), "doc_id", "text")
+    tail = tail_sentences(texts(spark, sf, "doc_id", "text"), "doc_id", "text")
     scores = tail.select(
         F.col("doc_id").alias("decision_id"), ((word_count(F.col("text")) % 10) / 10.0).alias("predicted_class")
     )
@@ -142,7 +143,7 @@ _COVER_RULES = {"DATE": "[a-z]+ting", "GPE": "[a-z]+tion", "ORG": "[a-z]+ment",
 
 def labelled_cover_rows(spark, sf):
     """Documents as covers, pages as signature files of the same number, labels as outcomes."""
-    files = table(spark, sf, "documents").select(F.concat(F.lit("x/canlii"), "doc_id", F.lit(".pdf")).alias("path"), "text")
+    files = texts(spark, sf, "doc_id", "text").select(F.concat(F.lit("x/canlii"), "doc_id", F.lit(".pdf")).alias("path"), "text")
     covers = covers_from_files(files)
     pages = table(spark, sf, "pages").select(F.concat(F.lit("y/canlii"), "page_id", F.lit(".html")).alias("path"), "html")
     judges = judges_from_html(pages, tag="ul", triage="zzz")
@@ -158,7 +159,7 @@ def _(spark, sf):
 
 @query("examples_from_corpus")
 def _(spark, sf):
-    sentences = tail_sentences(table(spark, sf, "documents"), "doc_id", "text", 10).select(
+    sentences = tail_sentences(texts(spark, sf, "doc_id", "text"), "doc_id", "text", 10).select(
         F.col("doc_id").cast("string").alias("decision_id"), "text"
     )
     outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("decision_id"), F.col("quality").alias("decision_outcome"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from casemill.sources.files import spread
+
 QUERIES = {}
 ORACLES = {}
 
@@ -20,3 +22,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark, sf_dir: str, *columns: str):
+    """Columns of the documents for steps that work hard on every text."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))

@@ -20,6 +20,7 @@ from casemill.operators.cleaning import (
 from casemill.operators.joins import (
     dimension_counts,
     gold_join,
+    hot_keys,
     label_join,
     left_join_fill,
     literal_table,
@@ -227,7 +228,8 @@ def _(spark, sf):
 def _(spark, sf):
     gold = labels(spark, sf).select("doc_id", F.col("quality").cast("bigint").alias("decision"))
     silver = sentences(spark, sf).withColumn("position", F.col("position").cast("bigint"))
-    return gold_join(silver, gold, "doc_id")
+    stored = docs(spark, sf).select("doc_id")
+    return gold_join(silver, gold, "doc_id", hot=hot_keys(stored, ["doc_id"]))
 
 
 @query(

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from casemill.bindings.registry import query, table
+from casemill.bindings.registry import query, table, texts
 from casemill.operators.masking import mask_column
 from casemill.operators.profile import mention_counts
 from casemill.operators.tagging import (
@@ -38,10 +38,6 @@ TERMS = {
 }
 
 
-def docs(spark, sf):
-    return table(spark, sf, "documents")
-
-
 @query(
     "tag_entities",
     "SELECT doc_id, "
@@ -49,7 +45,7 @@ def docs(spark, sf):
     + " FROM documents",
 )
 def _(spark, sf):
-    tagged = tag_entities(docs(spark, sf).select("doc_id", "text"), "text", RULES)
+    tagged = tag_entities(texts(spark, sf, "doc_id", "text"), "text", RULES)
     return tagged.select("doc_id", *[F.array_join(x, "|").alias(x) for x in RULES])
 
 
@@ -72,7 +68,7 @@ _GRAMS = r"""(SELECT doc_id, i AS pos, w[i] AS one, w[i] || ' ' || w[i + 1] AS t
     + " FROM documents d LEFT JOIN hits h USING (doc_id) GROUP BY d.doc_id",
 )
 def _(spark, sf):
-    tagged = tag_gazetteer(docs(spark, sf), "doc_id", "text", TERMS)
+    tagged = tag_gazetteer(texts(spark, sf, "doc_id", "text"), "doc_id", "text", TERMS)
     return tagged.select("doc_id", *[F.array_join(x, "|").alias(x) for x in sorted(set(TERMS.values()))])
 
 
@@ -98,7 +94,7 @@ def _(spark, sf):
        WHERE regexp_matches(tail[i], '[a-z]*tion[a-z]*')""",
 )
 def _(spark, sf):
-    found = determination_sentences(docs(spark, sf), "doc_id", "text", "[a-z]*tion[a-z]*")
+    found = determination_sentences(texts(spark, sf, "doc_id", "text"), "doc_id", "text", "[a-z]*tion[a-z]*")
     return found.select(
         "doc_id",
         F.col("position").cast("bigint"),
@@ -116,8 +112,8 @@ def _make_email_tagger():
     f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{EMAIL}'), '|') AS \"EMAIL\" FROM documents",
 )
 def _(spark, sf):
-    texts = docs(spark, sf).select("doc_id", "text").filter(F.col("text").isNotNull())
-    tagged = tag_with_hook(texts, "text", ["EMAIL"], _make_email_tagger)
+    known = texts(spark, sf, "doc_id", "text").filter(F.col("text").isNotNull())
+    tagged = tag_with_hook(known, "text", ["EMAIL"], _make_email_tagger)
     return tagged.select("doc_id", F.array_join("EMAIL", "|").alias("EMAIL"))
 
 
@@ -130,7 +126,7 @@ def _(spark, sf):
         FROM spans""",
 )
 def _(spark, sf):
-    return mask_column(docs(spark, sf).select("doc_id", "text"), "text", PERSONAL)
+    return mask_column(texts(spark, sf, "doc_id", "text"), "text", PERSONAL)
 
 
 @query(
@@ -139,5 +135,5 @@ def _(spark, sf):
        WHERE place <> 'ation' GROUP BY place""",
 )
 def _(spark, sf):
-    tagged = tag_entities(docs(spark, sf).select("text"), "text", {"GPE": "[a-z]+tion"})
+    tagged = tag_entities(texts(spark, sf, "text"), "text", {"GPE": "[a-z]+tion"})
     return mention_counts(tagged, "GPE", ["ation"])

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.bindings.registry import query, table
+from casemill.bindings.registry import query, table, texts
 from casemill.functions.arrays import argmax
 from casemill.functions.dates import (
     clean_date_items,
     date_span,
     latest_date,
     parse_date,
+    parsed_dates,
     print_date,
 )
 from casemill.functions.html import signature_items
@@ -34,7 +35,7 @@ from casemill.rules.defaults import HEARING_MODE_PATTERN, HEARING_TYPE_PATTERN
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "doc_id", "lang", "text")
 
 
 @query("normalize_text", r"SELECT doc_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS text FROM documents")
@@ -226,17 +227,17 @@ def _(spark, sf):
         CAST(datediff('day', list_min(days), list_max(days)) AS BIGINT) AS span_days FROM {_PARSED}""",
 )
 def _(spark, sf):
-    items = clean_date_items(F.col("items"))
-    return dated(spark, sf).select(
+    days = dated(spark, sf).withColumn("days", parsed_dates(clean_date_items(F.col("items"))))
+    return days.select(
         "o_orderkey",
-        F.date_format(latest_date(items), "yyyy-MM-dd").alias("decision_date"),
-        date_span(items).cast("bigint").alias("span_days"),
+        F.date_format(latest_date(F.col("days")), "yyyy-MM-dd").alias("decision_date"),
+        date_span(F.col("days")).cast("bigint").alias("span_days"),
     )
 
 
 @query("format_date", f"SELECT o_orderkey, strftime(list_max(days), '%B %d, %Y') AS decision_date FROM {_PARSED}")
 def _(spark, sf):
-    return dated(spark, sf).select("o_orderkey", print_date(latest_date(F.col("items"))).alias("decision_date"))
+    return dated(spark, sf).select("o_orderkey", print_date(latest_date(parsed_dates(F.col("items")))).alias("decision_date"))
 
 
 @query(

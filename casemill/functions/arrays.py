@@ -15,5 +15,10 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def empty_texts() -> Column:
     return F.array().cast("array<string>")

@@ -7,14 +7,18 @@ from pyspark.sql import Column, functions as F
 from casemill.rules.defaults import (
     BARE_YEAR_PATTERN,
     DATE_FORMAT,
+    DATE_SHAPE,
     DATE_PRINT_FORMAT,
     NOISE_DATES,
 )
 
 
 def parse_date(text: Column, fmt: str = DATE_FORMAT) -> Column:
-    """Date, or NULL when the text is no valid date."""
-    return F.try_to_date(F.trim(text), fmt)
+    """Date, or NULL when the text is no valid date.
+
+    Only text of the right shape is parsed, as a failed parse costs far more than the check.
+    """
+    return F.when(F.trim(text).rlike(DATE_SHAPE), F.try_to_date(F.trim(text), fmt))
 
 
 def print_date(day: Column, fmt: str = DATE_PRINT_FORMAT) -> Column:
@@ -33,15 +37,14 @@ def parsed_dates(items: Column) -> Column:
     return F.filter(F.transform(items, lambda x: parse_date(x)), lambda d: d.isNotNull())
 
 
-def latest_date(items: Column) -> Column:
-    """Decision date: the latest date of the list, by calendar."""
-    return F.array_max(parsed_dates(items))
+def latest_date(days: Column) -> Column:
+    """Decision date: the latest of the parsed dates, by calendar."""
+    return F.array_max(days)
 
 
-def date_span(items: Column) -> Column:
-    """Days from the earliest to the latest date of the list."""
-    found = parsed_dates(items)
-    return F.datediff(F.array_max(found), F.array_min(found))
+def date_span(days: Column) -> Column:
+    """Days from the earliest to the latest of the parsed dates."""
+    return F.datediff(F.array_max(days), F.array_min(days))
 
 
 def without_day_comma(text: Column) -> Column:

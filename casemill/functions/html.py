@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from casemill.functions.arrays import empty_texts
+from casemill.functions.arrays import empty_texts, let
 from casemill.functions.text import clean_lines
 from casemill.rules.defaults import NO_TABLE, TRIAGE_PATTERN
 
@@ -13,7 +13,7 @@ _ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;
 
 
 def last_block(html: Column, tag: str = "table") -> Column:
-    """Inner HTML of the block whose opening tag comes last; NULL when there is none.
+    """Inner HTML of the block whose opening tag comes last; NULL when there is none or it is empty.
 
     Scripts, styles and comments are no markup and are left out first. The greedy prefix finds the
     last opening tag, so the innermost of nested blocks is taken; a block may be left unclosed.
@@ -22,7 +22,7 @@ def last_block(html: Column, tag: str = "table") -> Column:
         html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", ""
     )
     pattern = rf"(?is)^.*<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)"
-    return F.when(markup.rlike(rf"(?i)<{tag}\b[^>]*>"), F.regexp_extract(markup, pattern, 1))
+    return F.nullif(F.regexp_extract(markup, pattern, 1), F.lit(""))
 
 
 def block_text(block: Column) -> Column:
@@ -42,15 +42,16 @@ def signature_items(
     empty.
     """
     lines = clean_lines(block_text(last_block(html, tag)))
-    items = lines
-    if item_pattern is not None:
-        items = F.flatten(
-            F.transform(
-                lines, lambda x: F.regexp_extract_all(x, F.lit(item_pattern), F.lit(0))
-            )
-        )
-    return (
-        F.when(lines.isNull(), empty_texts())
-        .when(F.exists(lines, lambda x: x.rlike(triage)), F.array(F.lit(NO_TABLE)))
-        .otherwise(F.array_distinct(items))
+
+    def items(found):
+        if item_pattern is None:
+            return found
+        spans = F.transform(found, lambda x: F.regexp_extract_all(x, F.lit(item_pattern), F.lit(0)))
+        return F.flatten(spans)
+
+    return let(
+        F.coalesce(lines, empty_texts()),
+        lambda found: F.when(
+            F.exists(found, lambda x: x.rlike(triage)), F.array(F.lit(NO_TABLE))
+        ).otherwise(F.array_distinct(items(found))),
     )

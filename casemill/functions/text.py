@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from casemill.functions.arrays import let
 from casemill.rules.defaults import FIXUPS, NULL_MARKERS, SEP
 
 _SPACES = r"(?U)\s+"
@@ -101,5 +102,7 @@ def paragraphs(text: Column) -> Column:
 
 def tail_paragraphs(text: Column, n: int) -> Column:
     """Last ``n`` non-blank paragraphs of a whole text, in text order; needs no shuffle."""
-    found = paragraphs(text)
-    return F.slice(found, F.greatest(F.size(found) - n, F.lit(0)) + 1, F.lit(n))
+    return let(
+        paragraphs(text),
+        lambda p: F.slice(p, F.greatest(F.size(p) - n, F.lit(0)) + 1, F.lit(n)),
+    )

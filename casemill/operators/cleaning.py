@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casemill.functions.text import array_to_text, null_if_marker
+from casemill.operators.joins import present
 from casemill.rules.defaults import FEATURE_NAMES, NULL_MARKERS, UNCERTAIN
 
 
@@ -15,7 +16,7 @@ def rename_features(df: DataFrame, names: dict[str, str] = FEATURE_NAMES) -> Dat
 
 def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Drop rows with a null in any column, or in any of ``subset``."""
-    return df.na.drop("any", subset=subset)
+    return df.filter(present(df, subset or df.columns))
 
 
 def drop_values(df: DataFrame, column: str, values: list) -> DataFrame:

@@ -11,7 +11,7 @@ from casemill.functions.text import (
     parse_list_repr,
     strip_punctuation,
 )
-from casemill.operators.cleaning import as_text_columns, decided_only
+from casemill.operators.cleaning import as_text_columns, decided_only, drop_incomplete
 from casemill.rules.defaults import ALL_FEATURES, COVER_FEATURES, SEP
 
 
@@ -46,7 +46,7 @@ def train_set_all(
 
 def train_set_sentences(df: DataFrame, sentences: str, label: str) -> DataFrame:
     """Labelled sentences; the sentence column is an array or a written-out list."""
-    complete = df.na.drop("any")
+    complete = drop_incomplete(df)
     return complete.select(
         _sentence_text(df, sentences).alias("text"), F.col(label).cast("int").alias("labels")
     )

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A key is hot when it holds more than this share of the rows, so there are at most
-# 1 / HOT_SHARE hot keys at any data size, which is what bounds their broadcast.
-HOT_SHARE = 0.001
-HOT_MIN_ROWS = 1_000_000
-SALTS = 64
+# A key is hot when it is one of the HOT_KEYS largest and has more than HOT_ROWS rows. Any other key
+# then holds at most HOT_ROWS rows or less than 1 / HOT_KEYS of all rows, and the table of hot keys
+# has at most HOT_KEYS rows at any data size, which is what bounds its broadcast.
+HOT_KEYS = 1000
+HOT_ROWS = 1_000_000
+MAX_SALTS = 10_000
 
 # Lists of the caller up to this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 
-def hot_keys(
-    df: DataFrame, on: list[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS
-) -> DataFrame:
-    """Keys with more than ``share`` of all rows (and at least ``min_rows``)."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") > F.greatest(F.lit(float(min_rows)), total * share)).select(*on)
+def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS) -> DataFrame:
+    """The hot keys of a table and, as ``_salts``, the number of parts each is split into.
+
+    Reads the key columns only. Pass the result to the joins when the table is stored and the rows
+    to join are derived from it, so that they are not derived twice.
+    """
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    largest = counts.orderBy(F.col("_n").desc(), *on).limit(HOT_KEYS)
+    parts = F.least(F.ceil(F.col("_n") / rows), F.lit(MAX_SALTS)).cast("int")
+    return largest.select(*on, parts.alias("_salts"))
+
+
+def present(df: DataFrame, columns: list[str]) -> Column:
+    """True for rows with a value in every column; NaN is no value."""
+    types = dict(df.dtypes)
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(c).isNotNull()
+        if types[c] in ("double", "float"):
+            test = test & ~F.isnan(c)
+    return test
 
 
 def salted_join(
@@ -28,32 +43,26 @@ def salted_join(
     one: DataFrame,
     on: list[str],
     how: str = "inner",
-    salts: int = SALTS,
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    hot: DataFrame | None = None,
+    rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join (``inner`` or ``left``) whose ``many`` side may have hot keys.
 
-    Rows of a hot key are spread over ``salts`` partitions by the task that read them, which splits
-    copies of one row too and does not change when a task is run again; the matching rows of
-    ``one`` are repeated once per salt. Rows of other keys keep salt 0. Rows without a key match
-    nothing and are spread as well. A small ``one`` side is broadcast by Spark's own size check.
+    Rows of a hot key are spread over its salts by the task that read them, which splits copies of
+    one row too and does not change when a task is run again; the matching rows of ``one`` are
+    repeated once per salt. Rows of other keys keep salt 0. Rows without a key match nothing and
+    are spread as well. A small ``one`` side is broadcast by Spark's own size check.
     """
     if how not in ("inner", "left"):
         raise ValueError("a salted join is an inner or a left join")
-    hot = F.broadcast(
-        hot_keys(many, on, share, min_rows).na.drop().withColumn("_hot", F.lit(True))
-    )
-    no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    left = many.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    hot = F.broadcast((hot_keys(many, on, rows) if hot is None else hot).na.drop())
+    no_key = ~present(many, on)
+    salts = F.when(no_key, MAX_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = many.join(hot, on, "left").withColumn("_salt", F.pmod(F.spark_partition_id(), salts))
     right = one.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
 def natural_outer_join(left: DataFrame, right: DataFrame, **salting) -> DataFrame:
@@ -94,13 +103,13 @@ def label_join(features: DataFrame, outcomes: DataFrame, on: str, outcome: str,
 
     A left join followed by that drop is an inner join, and is written as one.
     """
-    labelled = outcomes.na.drop(subset=[on, outcome])
-    return salted_join(features.na.drop(subset=[on]), labelled, [on], "inner", **salting)
+    labelled = outcomes.filter(present(outcomes, [on, outcome]))
+    return salted_join(features.filter(present(features, [on])), labelled, [on], "inner", **salting)
 
 
 def gold_join(sentences: DataFrame, gold: DataFrame, on: str, **salting) -> DataFrame:
     """Sentences of the annotated cases with the annotation of their case."""
-    return salted_join(sentences.na.drop(subset=[on]), gold, [on], "inner", **salting)
+    return salted_join(sentences.filter(present(sentences, [on])), gold, [on], "inner", **salting)
 
 
 def dimension_counts(

@@ -13,7 +13,7 @@ def mask_text(
     """Replace the last ``length`` characters of every span by ``char``; longer spans keep their head.
 
     The text between the spans and the masked spans are zipped together again, so the text keeps
-    its length.
+    its length. A text without a span is passed on after one look.
     """
     between = F.split(text, pattern, -1)
     masked = F.transform(
@@ -23,9 +23,10 @@ def mask_text(
             F.repeat(F.lit(char), F.least(F.length(s), F.lit(length))),
         ),
     )
-    return F.array_join(
+    stitched = F.array_join(
         F.zip_with(between, masked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
+    return F.when(text.rlike(pattern), stitched).otherwise(text)
 
 
 def mask_column(df: DataFrame, text: str, pattern: str = PERSON_RULE, **options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casemill.operators.joins import HOT_MIN_ROWS, HOT_SHARE, SALTS, hot_keys
+from casemill.operators.joins import HOT_ROWS, hot_keys
 from casemill.rules.defaults import (
     ACCEPTED,
     DENSITY_BANDWIDTH,
@@ -50,44 +50,21 @@ def unanimous(df: DataFrame, case: str, value: str) -> DataFrame:
 
 
 def duplicate_rows(
-    df: DataFrame,
-    key: str,
-    keep: str = "duplicated",
-    salts: int = SALTS,
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    df: DataFrame, key: str, keep: str = "duplicated", rows: int = HOT_ROWS
 ) -> DataFrame:
     """Rows whose key occurs more than once, or (``keep='unique'``) exactly once.
 
-    Keys are counted before the shuffle and the rows then meet the keys that occur once or more
-    than once, instead of gathering each key in a window. Rows without a key are one group.
+    Keys are counted before the shuffle, and only rows whose key is not hot meet the counts: a hot
+    key occurs more than once in any case. Rows without a key are one group.
     """
     counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = F.col("_n") > 1 if keep == "duplicated" else F.col("_n") == 1
-    wanted_keys = counts.filter(wanted).select("_key")
+    hot = F.broadcast(hot_keys(df, [key], rows).select(F.col(key).alias("_key")))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    cold_rows = df.join(hot, same, "left_anti")
     if keep == "unique":
-        # A key that occurs once cannot be hot; the rows of hot keys need no partner.
-        return df.join(wanted_keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    hot = F.broadcast(
-        hot_keys(df, [key], share, min_rows).select(F.col(key).alias("_key"), F.lit(True).alias("_hot"))
-    )
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    rows = (
-        df.join(hot, F.col(key).eqNullSafe(F.col("_key")), "left")
-        .withColumn("_row_salt", F.when(F.col("_hot"), spread).otherwise(0))
-        .drop("_key", "_hot")
-    )
-    keys = (
-        wanted_keys.alias("k")
-        .join(hot.alias("h"), F.col("k._key").eqNullSafe(F.col("h._key")), "left")
-        .select(
-            F.col("k._key").alias("_key"),
-            F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))).alias("_salt"),
-        )
-    )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row_salt") == F.col("_salt"))
-    return rows.join(keys, same, "left_semi").drop("_row_salt")
+        return cold_rows.join(counts.filter("_n = 1"), same, "left_semi")
+    repeated = counts.filter((F.col("_n") > 1))
+    return df.join(hot, same, "left_semi").union(cold_rows.join(repeated, same, "left_semi"))
 
 
 def duplicate_totals(df: DataFrame, key: str) -> DataFrame:
@@ -147,17 +124,16 @@ def score_density(
             (F.max("x") + cut * width).alias("high"),
         )
     ).scalar()
-    n, h, low, high = (stats[f] for f in ("n", "h", "low", "high"))
-    step = (high - low) / (grid - 1)
     merged = scores.groupBy("x").agg(F.count(F.lit(1)).alias("weight"))
     points = merged.select(
-        "x", "weight", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
+        "x", "weight", stats.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
     )
-    at = low + F.col("point") * step
-    kernel = F.exp(-0.5 * F.pow((at - F.col("x")) / h, 2))
-    sums = points.groupBy("point").agg(F.sum(F.col("weight") * kernel).alias("_sum"))
-    return sums.select(
-        "point",
-        at.alias("score"),
-        (F.col("_sum") / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"),
+    at = F.col("s.low") + F.col("point") * (F.col("s.high") - F.col("s.low")) / (grid - 1)
+    kernel = F.exp(-0.5 * F.pow((at - F.col("x")) / F.col("s.h"), 2))
+    sums = points.groupBy("point").agg(
+        F.sum(F.col("weight") * kernel).alias("_sum"),
+        F.any_value(at).alias("score"),
+        F.any_value(F.col("s.n") * F.col("s.h")).alias("_width"),
     )
+    norm = F.col("_width") * F.sqrt(F.lit(2.0) * F.pi())
+    return sums.select("point", "score", (F.col("_sum") / norm).alias("density"))

@@ -42,11 +42,16 @@ def split_exact(
     prefix = F.substring(F.col("_h"), 1, _PREFIX)
     hashes = df.select(hashed.alias("_h"))
     per_prefix = hashes.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    size = F.floor(per_prefix.agg(F.sum("_n")).scalar() * F.lit(test_share)).cast("bigint")
-    running = per_prefix.withColumn("_upto", F.sum("_n").over(Window.orderBy("_p")))
+    running = per_prefix.select(
+        "_p",
+        "_n",
+        F.sum("_n").over(Window.orderBy("_p")).alias("_upto"),
+        F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(test_share)).cast("bigint").alias("_size"),
+    )
+    before = F.col("_upto") - F.col("_n")
     border = (
-        running.filter((F.col("_upto") - F.col("_n") < size) & (F.col("_upto") >= size))
-        .select(F.struct("_p", (size - F.col("_upto") + F.col("_n")).alias("take")))
+        running.filter((before < F.col("_size")) & (F.col("_upto") >= F.col("_size")))
+        .select(F.struct("_p", (F.col("_size") - before).alias("take")))
         .scalar()
     )
     ranked = hashes.filter(prefix == border["_p"]).withColumn(

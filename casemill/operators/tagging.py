@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from casemill.functions.arrays import let
 from casemill.functions.text import all_matches, first_match, normalize_text, words
 from casemill.operators.joins import lookup_join
 from casemill.rules.defaults import (
@@ -17,6 +18,10 @@ from casemill.rules.defaults import (
 )
 
 
+# Gazetteer terms that are looked up inside the row.
+INLINE_TERMS = 2000
+
+
 def tag_entities(df: DataFrame, text: str, rules: dict[str, str] = ENTITY_RULES) -> DataFrame:
     """One ``array<string>`` column per label, all in one projection; empty when nothing matches."""
     return df.select(
@@ -55,44 +60,56 @@ def flagged_sentences(df: DataFrame, text: str, pattern: str, found: str) -> Dat
     )
 
 
-def tag_gazetteer(df: DataFrame, key: str, text: str, terms: dict[str, str]) -> DataFrame:
-    """``key`` and one array of found terms per label, in text order.
-
-    ``terms`` maps a lower-case term of one or more words to its label. Word n-grams up to the
-    longest term meet the term list in an equi-join; what is grouped again is one document's hits.
-    """
-    longest = max(len(term.split(" ")) for term in terms)
+def _word_grams(df: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """``key`` and, as ``_grams``, the word n-grams that start at each word, in text order."""
     clean = F.trim(F.regexp_replace(normalize_text(F.col(text)), r"[^\p{L}\p{N} ]", " "))
     split = df.select(key, words(clean).alias("_words"))
-    sizes = F.sequence(F.lit(1), F.lit(longest))
-    grams = F.transform(
-        F.col("_words"),
-        lambda _, i: F.transform(
-            F.filter(sizes, lambda n: i + n <= F.size("_words")),
-            lambda n: F.array_join(F.slice(F.col("_words"), i + 1, n), " "),
-        ),
-    )
-    spread = split.select(key, F.posexplode_outer(grams).alias("_pos", "_grams")).select(
-        key, F.col("_pos"), F.explode_outer("_grams").alias("_term")
+    some = F.array(*[F.lit(n) for n in sizes])
+    starting_at = lambda _, i: F.transform(
+        F.filter(some, lambda n: i + n <= F.size("_words")),
+        lambda n: F.array_join(F.slice(F.col("_words"), i + 1, n), " "),
     )
+    return split.select(key, F.transform("_words", starting_at).alias("_grams"))
+
+
+def _known_terms(terms: list[str]) -> Column:
+    """The n-grams that are terms: their distinct set by hash first, then all occurrences."""
+    known = F.array_intersect("_grams", F.array(*[F.lit(t) for t in terms]))
+    return let(known, lambda k: F.filter("_grams", lambda g: F.array_contains(k, g)))
+
+
+def tag_gazetteer(
+    df: DataFrame, key: str, text: str, terms: dict[str, str], inline_terms: int = INLINE_TERMS
+) -> DataFrame:
+    """``key`` and one array of found terms per label, in text order.
+
+    ``terms`` maps a lower-case term of one or more words to its label. Up to ``inline_terms``
+    terms are looked up inside the row, without a shuffle. More terms become a table that the
+    n-grams are joined with; then ``key`` must identify a row, as the hits of a row are put
+    together again by it.
+    """
+    sizes = sorted({len(term.split(" ")) for term in terms})
     labels = sorted(set(terms.values()))
-    hits = lookup_join(
-        spread,
-        {"_term": list(terms), "_label": list(terms.values())},
-        {"_term": "string", "_label": "string"},
-        "_term",
-        "left",
-    ).filter(F.col("_label").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
+    grams = _word_grams(df, key, text, sizes)
+    if len(terms) <= inline_terms:
+        flat = grams.select(key, F.flatten("_grams").alias("_grams"))
+        found = {x: _known_terms([t for t, y in terms.items() if y == x]) for x in labels}
+        return flat.select(key, *[c.alias(x) for x, c in found.items()])
+    spread = grams.select(key, F.posexplode_outer("_grams").alias("_pos", "_here")).select(
+        key, "_pos", F.explode_outer("_here").alias("_term")
+    )
+    columns = {"_term": list(terms), "_label": list(terms.values())}
+    joined = lookup_join(spread, columns, dict.fromkeys(columns, "string"), "_term", "left")
+    # The first word of a row is kept without a hit too, so that no row is lost.
+    kept = joined.filter(F.col("_label").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
+    hit = F.struct("_pos", F.length("_term").alias("_size"), "_term")
     per_label = [
         F.transform(
-            F.array_sort(
-                F.collect_list(F.when(F.col("_label") == label, F.struct("_pos", "_term")))
-            ),
-            lambda hit: hit["_term"],
-        ).alias(label)
-        for label in labels
+            F.array_sort(F.collect_list(F.when(F.col("_label") == x, hit))), lambda h: h["_term"]
+        ).alias(x)
+        for x in labels
     ]
-    return hits.groupBy(key).agg(*per_label)
+    return kept.groupBy(key).agg(*per_label)
 
 
 def tag_with_hook(

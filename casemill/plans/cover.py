@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from casemill.functions.arrays import empty_texts
-from casemill.functions.dates import clean_date_items, date_span, latest_date, print_date
+from casemill.functions.dates import (
+    clean_date_items,
+    date_span,
+    latest_date,
+    parsed_dates,
+    print_date,
+)
 from casemill.functions.html import signature_items
 from casemill.functions.keys import key_from_path, nullable_key
 from casemill.functions.text import apply_fixups, array_to_text, normalize_text
@@ -75,8 +81,8 @@ def cover_features(
 
 def labelled_covers(features: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Cleaned cover features with the outcome of the case, under their feature names."""
-    items = clean_date_items(F.col("extracted_dates"))
-    cleaned = features.select(
+    dated = features.withColumn("_days", parsed_dates(clean_date_items(F.col("extracted_dates"))))
+    cleaned = dated.select(
         nullable_key(F.col("decision_id")).alias("decision_id"),
         array_to_text(F.col("extracted_dates")).alias("extracted_dates"),
         apply_fixups(array_to_text(F.col("extracted_gpe"))).alias("extracted_gpe"),
@@ -84,8 +90,8 @@ def labelled_covers(features: DataFrame, outcomes: DataFrame) -> DataFrame:
         "public_private_hearing",
         F.coalesce("in_chamber_virtual", F.lit(DEFAULT_HEARING_MODE)).alias("in_chamber_virtual"),
         F.nullif(F.col("judge_name"), F.lit("")).alias("judge_name"),
-        print_date(latest_date(items)).alias("decision_date"),
-        date_span(items).alias("span_time_decision"),
+        print_date(latest_date(F.col("_days"))).alias("decision_date"),
+        date_span(F.col("_days")).alias("span_time_decision"),
     )
     labelled = label_join(cleaned, outcomes, "decision_id", "decision_outcome")
     return rename_features(labelled).drop("span_time_decision")

@@ -93,6 +93,7 @@ NO_TABLE = "no table found"
 
 # Dates are written "may 23, 2017"; the date of a statute appears on every cover.
 DATE_FORMAT = "MMMM d, yyyy"
+DATE_SHAPE = r"^\p{L}+ \d{1,2},? \d{4}$"
 DATE_PRINT_FORMAT = "MMMM dd, yyyy"
 NOISE_DATES = ["october 2007"]
 BARE_YEAR_PATTERN = r"^\d{4}"

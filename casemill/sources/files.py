@@ -53,6 +53,16 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return spark.read.parquet(path).select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that is stored in fewer pieces than there are cores.
+
+    For expensive row-by-row steps over a small number of large files; a table with enough splits
+    is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_documents(
     spark: SparkSession,
     path: str,
