@@ -8,12 +8,12 @@ from casemill.bindings.registry import query, table, texts
 from casemill.functions.text import word_count
 from casemill.operators.classify import score_text_clf, train_text_clf, tune_text_clf
 from casemill.operators.features import train_set_all, train_set_cover, train_set_sentences
-from casemill.operators.joins import gold_join
+from casemill.operators.joins import gold_join, hot_keys
 from casemill.operators.sampling import oversample, split_by_hash
 from casemill.plans.cover import cover_features, covers_from_files, judges_from_html, labelled_covers
 from casemill.plans.outcomes import case_outcomes, tail_sentences
 from casemill.plans.training import all_entities_examples, labelled_sentences
-from casemill.rules.defaults import ALL_FEATURES, COVER_FEATURES, ENTITY_LABELS
+from casemill.rules.defaults import ALL_FEATURES, COVER_FEATURES, COVER_RULES, ENTITY_LABELS
 
 _CLEAN = r"regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}_\s\[\]]', ' ', 'g'), ' +', ' ', 'g')"
 _WIDTH = {name: i + 2 for i, name in enumerate(ALL_FEATURES)}
@@ -137,32 +137,133 @@ def _(spark, sf):
     return outcomes.select("decision_id", F.col("decision_outcome").cast("bigint"))
 
 
-# Rules of the cover plan that occur in the test documents.
-_COVER_RULES = {"DATE": "[a-z]+ting", "GPE": "[a-z]+tion", "ORG": "[a-z]+ment", "PERSON": "[a-z]+ish"}
+def _name(number):
+    """A two-word name spelled from a number."""
+    spelled = F.translate((number % 1000).cast("string"), "0123456789", "abcdefghij")
+    return spelled, F.concat(spelled, F.lit(" roe"))
+
+
+def _day(number):
+    return F.date_add(F.lit("2010-01-01").cast("date"), (number % 3000).cast("int"))
+
+
+def cover_files(spark, sf):
+    """Documents as cover files: two dates and a member's name above the text."""
+    n = F.col("doc_id")
+    heard = F.date_sub(_day(n), (n % 50).cast("int"))
+    return texts(spark, sf, "doc_id", "text").select(
+        F.concat(F.lit("x/2015canlii"), n, F.lit(".pdf")).alias("path"),
+        F.concat(
+            F.lit("Decision of "),
+            F.date_format(_day(n), "MMMM d, yyyy"),
+            F.lit("  heard "),
+            F.date_format(heard, "MMMM d, yyyy"),
+            F.lit("\nbefore member "),
+            _name(n)[1],
+            F.lit("\n"),
+            "text",
+        ).alias("text"),
+    )
+
+
+def signature_files(spark, sf):
+    """Pages as decision files that end with a signature table: the date, and the name or its reverse."""
+    n = F.col("page_id")
+    spelled, name = _name(n)
+    signed = F.when(n % 2 == 0, name).otherwise(F.concat(F.lit("Roe, "), spelled))
+    rows = F.concat(F.date_format(_day(n), "MMMM d, yyyy"), F.lit("\n&nbsp;\n  "), signed)
+    return table(spark, sf, "pages").select(
+        F.concat(F.lit("y/2015canlii"), n, F.lit(".html")).alias("path"),
+        F.concat("html", F.lit("<table><tr><td>"), rows, F.lit("</td></tr></table>")).alias("html"),
+    )
+
+
+# Rules of the cover plan, some of them for words of the test documents.
+_COVER_RULES = {**COVER_RULES, "GPE": "[a-z]+tion", "ORG": "[a-z]+ment"}
 
+_COVERS = r"""covers AS (SELECT *, strftime(day, '%B %-d, %Y') AS d1, strftime(day - CAST(doc_id % 50 AS INTEGER), '%B %-d, %Y') AS d2,
+      spelled || ' roe' AS name FROM (
+      SELECT doc_id, DATE '2010-01-01' + CAST(doc_id % 3000 AS INTEGER) AS day, text AS body,
+        translate(CAST(doc_id % 1000 AS VARCHAR), '0123456789', 'abcdefghij') AS spelled FROM documents)),
+    texts AS (SELECT *, regexp_replace(lower('Decision of ' || d1 || '  heard ' || d2 || chr(10) || 'before member ' || name
+      || chr(10) || body), '\s+', ' ', 'g') AS cover FROM covers),
+    features AS (SELECT doc_id, page_id, day, name, spelled, list_sort(list_distinct([lower(d1), lower(d2)])) AS dates, d1,
+      regexp_extract_all(cover, '[a-z]+tion') AS gpe, regexp_extract_all(cover, '[a-z]+ment') AS org,
+      nullif(regexp_extract(cover, 'the|le|der'), '') AS hearing, nullif(regexp_extract(cover, 'ing|ent|ung'), '') AS mode,
+      CASE WHEN page_id IS NULL THEN '' WHEN doc_id % 2 = 0 THEN name ELSE 'roe, ' || spelled END AS judge
+      FROM texts LEFT JOIN (SELECT page_id FROM pages) ON page_id = doc_id)"""
 
-def labelled_cover_rows(spark, sf):
-    """Documents as covers, pages as signature files of the same number, labels as outcomes."""
-    files = texts(spark, sf, "doc_id", "text").select(F.concat(F.lit("x/canlii"), "doc_id", F.lit(".pdf")).alias("path"), "text")
-    covers = covers_from_files(files)
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("y/canlii"), "page_id", F.lit(".html")).alias("path"), "html")
-    judges = judges_from_html(pages, tag="ul", triage="zzz")
-    outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("decision_id"), F.col("quality").alias("decision_outcome"))
-    features = cover_features(covers, judges, _COVER_RULES, "the|le|der", "ing|ent|ung")
-    return labelled_covers(features, outcomes)
 
+def cover_feature_rows(spark, sf):
+    covers = covers_from_files(cover_files(spark, sf))
+    judges = judges_from_html(signature_files(spark, sf))
+    return cover_features(covers, judges, _COVER_RULES, "the|le|der", "ing|ent|ung")
 
-@query("cover_features_from_files")
+
+@query(
+    "cover_features_from_files",
+    f"""WITH {_COVERS} SELECT CAST(doc_id AS VARCHAR) AS decision_id, array_to_string(dates, '|') AS extracted_dates,
+        array_to_string(gpe, '|') AS extracted_gpe, name AS extracted_persons, hearing AS public_private_hearing,
+        mode AS in_chamber_virtual, judge AS judge_name,
+        CASE WHEN page_id IS NULL THEN '' ELSE replace(lower(d1), ',', '') END AS date_decision FROM features""",
+)
 def _(spark, sf):
-    return labelled_cover_rows(spark, sf)
+    return cover_feature_rows(spark, sf).select(
+        "decision_id",
+        *[F.array_join(c, "|").alias(c) for c in ("extracted_dates", "extracted_gpe", "extracted_persons")],
+        "public_private_hearing",
+        "in_chamber_virtual",
+        "judge_name",
+        "date_decision",
+    )
+
 
+def case_labels(spark, sf):
+    return table(spark, sf, "labels").select(
+        F.col("doc_id").alias("decision_id"), F.col("quality").cast("bigint").alias("decision_outcome")
+    )
 
-@query("examples_from_corpus")
+
+_LABELLED = f"""{_COVERS}, labelled AS (SELECT doc_id AS decision_id, CAST(quality AS BIGINT) AS decision_outcome,
+      array_to_string(dates, ', ') AS extracted_dates, replace(nullif(array_to_string(gpe, ', '), ''), 'que bec', 'quebec') AS "LOC_HEARING",
+      nullif(array_to_string(org, ', '), '') AS "TRIBUNAL", hearing AS "PUBLIC_PRIVATE_HEARING",
+      coalesce(mode, 'in chambers') AS "INCHAMBER_VIRTUAL_HEARING", nullif(judge, '') AS "JUDGE",
+      strftime(day, '%B %d, %Y') AS "DATE_DECISION" FROM features JOIN labels USING (doc_id))"""
+
+
+@query("labelled_covers", f"WITH {_LABELLED} SELECT * FROM labelled")
+def _(spark, sf):
+    return labelled_covers(cover_feature_rows(spark, sf), case_labels(spark, sf))
+
+
+_SENTENCE_RULES = {x: "[a-z]+tion" if i % 2 else "[a-z]+ing" for i, x in enumerate(ENTITY_LABELS)}
+_MASK = "[a-z]+@[a-z.]+"
+
+
+@query(
+    "examples_from_corpus",
+    f"""WITH {_LABELLED}, sentences AS (SELECT doc_id AS decision_id, unnest(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '')[-10:]) AS s
+          FROM documents),
+        masked AS (SELECT decision_id, array_to_string(list_transform(range(1, len(rest) + 1), lambda i: rest[i] || coalesce(
+            substr(m[i], 1, greatest(length(m[i]) - 20, 0)) || repeat('X', least(length(m[i]), 20)), '')), '') AS t
+          FROM (SELECT decision_id, regexp_extract_all(s, '{_MASK}') AS m, string_split_regex(s, '{_MASK}') AS rest FROM sentences)),
+        joined AS (SELECT decision_id, decision_outcome, """
+    + " || '[SEP]' || ".join(
+        f"coalesce(array_to_string(regexp_extract_all(t, '{_SENTENCE_RULES[x]}'), ' '), '')"
+        if x in ENTITY_LABELS
+        else f"coalesce(\"{x}\", '')"
+        for x in ALL_FEATURES
+    )
+    + rf""" AS text FROM labelled LEFT JOIN masked USING (decision_id))
+        SELECT decision_id, decision_outcome AS labels, regexp_replace({_CLEAN.format('text')}, '(\[SEP\]){{2,}}', '[SEP]', 'g') AS text FROM joined""",
+)
 def _(spark, sf):
-    sentences = tail_sentences(texts(spark, sf, "doc_id", "text"), "doc_id", "text", 10).select(
+    sentences = tail_sentences(texts(spark, sf, "doc_id", "text"), "doc_id", "text").select(
         F.col("doc_id").cast("string").alias("decision_id"), "text"
     )
-    outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("decision_id"), F.col("quality").alias("decision_outcome"))
-    rules = {label: "[a-z]+tion" if i % 2 else "[a-z]+ing" for i, label in enumerate(ENTITY_LABELS)}
-    main = labelled_sentences(sentences, outcomes, rules, mask=r"[a-z]+@[a-z.]+").drop("text")
-    return all_entities_examples(main, labelled_cover_rows(spark, sf))
+    outcomes = case_labels(spark, sf)
+    stored = table(spark, sf, "documents").select(F.col("doc_id").alias("decision_id"))
+    per_case = hot_keys(stored, ["decision_id"])
+    main = labelled_sentences(sentences, outcomes, _SENTENCE_RULES, mask=_MASK, hot=per_case).drop("text")
+    covers = labelled_covers(cover_feature_rows(spark, sf), outcomes)
+    return _long(all_entities_examples(main, covers))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A key is hot when it is one of the HOT_KEYS largest and has more than HOT_ROWS rows. Any other key
@@ -46,15 +47,22 @@ def salted_join(
     hot: DataFrame | None = None,
     rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join (``inner`` or ``left``) whose ``many`` side may have hot keys.
+    """Equi-join (``inner``, ``left`` or ``full``) whose ``many`` side may have hot keys.
 
     Rows of a hot key are spread over its salts by the task that read them, which splits copies of
     one row too and does not change when a task is run again; the matching rows of ``one`` are
     repeated once per salt. Rows of other keys keep salt 0. Rows without a key match nothing and
     are spread as well. A small ``one`` side is broadcast by Spark's own size check.
+
+    In a full join a repeated row of ``one`` may find no partner under some salts. Its key is hot,
+    so it is a key of ``many`` and the row has found partners under another salt: such leftovers
+    are dropped, and nothing else is. That holds for the hot keys of ``many`` itself only, so a
+    full join always finds them on its own.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("a salted join is an inner or a left join")
+    if how not in ("inner", "left", "full"):
+        raise ValueError("a salted join is an inner, a left or a full join")
+    if how == "full" and hot is not None:
+        raise ValueError("a full join finds its hot keys on its own")
     hot = F.broadcast((hot_keys(many, on, rows) if hot is None else hot).na.drop())
     no_key = ~present(many, on)
     salts = F.when(no_key, MAX_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
@@ -62,25 +70,26 @@ def salted_join(
     right = one.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     )
-    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+    if how == "full":
+        left = left.withColumn("_in_many", F.lit(True))
+        right = right.withColumn("_repeated", F.col("_salts").isNotNull())
+    joined = left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+    if how == "full":
+        leftover = F.col("_in_many").isNull() & F.col("_repeated")
+        joined = joined.filter(~leftover).drop("_in_many", "_repeated")
+    return joined
 
 
 def natural_outer_join(left: DataFrame, right: DataFrame, **salting) -> DataFrame:
-    """Full outer join on all shared columns, which appear once.
-
-    Built as a left join plus the unmatched rows of ``right``, since a full outer join can
-    neither be salted nor be split at run time.
-    """
+    """Full outer join on all shared columns, which appear once; ``left`` may have hot keys."""
     shared = [c for c in left.columns if c in right.columns]
-    matched = salted_join(left, right, shared, "left", **salting)
-    unmatched = right.join(left.select(*shared).distinct(), shared, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    return salted_join(left, right, shared, "full", **salting)
 
 
 def literal_table(spark: SparkSession, columns: dict[str, list], types: dict[str, str]) -> DataFrame:
     """Table from lists of the caller. Lists of unequal length are an error."""
-    rows = list(zip(*columns.values(), strict=True))
-    return spark.createDataFrame(rows, ", ".join(f"{c} {types[c]}" for c in columns))
+    table = spark.createDataFrame(pa.table(columns))
+    return table.select(*[F.col(c).cast(types[c]) for c in columns])
 
 
 def lookup_join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casemill.functions.arrays import argmax
+from casemill.operators.joins import literal_table
 
 
 def _weight(weight: str | None) -> Column:
@@ -22,20 +23,17 @@ def confusion_counts(
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: list) -> DataFrame:
     """One row per true class in the order given, one column per predicted class, 0 where empty."""
-    cells = [
-        F.count_if(F.col(prediction) == F.lit(c)).alias(f"predicted_{c}") for c in classes
-    ]
-    counts = df.groupBy(F.col(label).alias("label")).agg(*cells)
-    order = df.sparkSession.createDataFrame(
-        list(enumerate(classes)), ["_order", "label"]
-    ).withColumn("label", F.col("label").cast(dict(df.dtypes)[label]))
-    return (
-        order.join(counts, "label", "left")
-        .na.fill(0)
-        .orderBy("_order")
-        .drop("_order")
+    pairs = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+        F.count(F.lit(1)).alias("n")
     )
 
+    def cell(true, predicted):
+        here = (F.col("label") == F.lit(true)) & (F.col("prediction") == F.lit(predicted))
+        return F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"predicted_{predicted}")
+
+    rows = [F.struct(F.lit(c).alias("label"), *[cell(c, p) for p in classes]) for c in classes]
+    return pairs.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+
 
 def class_counts(confusion: DataFrame, labels: list | None = None) -> DataFrame:
     """True positives, true and predicted weight per class.
@@ -61,9 +59,9 @@ def class_counts(confusion: DataFrame, labels: list | None = None) -> DataFrame:
     rows = confusion.select(F.inline(sides))
     if labels is not None:
         kind = dict(confusion.dtypes)["label"]
-        zeros = confusion.sparkSession.createDataFrame(
-            [(c, 0.0, 0.0, 0.0) for c in labels], ["class", "tp", "actual", "predicted"]
-        ).withColumn("class", F.col("class").cast(kind))
+        zeros = literal_table(confusion.sparkSession, {"class": labels}, {"class": kind}).select(
+            "class", *[F.lit(0.0).alias(c) for c in ("tp", "actual", "predicted")]
+        )
         rows = rows.filter(F.col("class").isin(labels)).unionByName(zeros)
     return rows.groupBy("class").agg(
         F.sum("tp").alias("tp"), F.sum("actual").alias("actual"), F.sum("predicted").alias("predicted")

@@ -18,6 +18,7 @@ def labelled_sentences(
     rules: dict[str, str] = ENTITY_RULES,
     mask: str | None = PERSON_RULE,
     text: str = "text",
+    **salting,
 ) -> DataFrame:
     """Masked and tagged sentences with the outcome of their case.
 
@@ -28,16 +29,20 @@ def labelled_sentences(
     keyed = tag_entities(masked, text, rules).withColumn(
         "decision_id", nullable_key(F.col("decision_id"))
     )
-    return label_join(keyed, outcomes, "decision_id", "decision_outcome")
+    return label_join(keyed, outcomes, "decision_id", "decision_outcome", **salting)
 
 
-def all_labelled(main: DataFrame, covers: DataFrame) -> DataFrame:
+def all_labelled(main: DataFrame, covers: DataFrame, **salting) -> DataFrame:
     """Sentences and covers on all shared columns; what only one side has is kept."""
-    return natural_outer_join(main, covers)
+    return natural_outer_join(main, covers, **salting)
 
 
 def all_entities_examples(
-    main: DataFrame, covers: DataFrame, features: list[str] = ALL_FEATURES, sep: str = SEP
+    main: DataFrame,
+    covers: DataFrame,
+    features: list[str] = ALL_FEATURES,
+    sep: str = SEP,
+    **salting,
 ) -> DataFrame:
     """One text per labelled row from all entity and cover features."""
-    return train_set_all(all_labelled(main, covers), features=features, sep=sep)
+    return train_set_all(all_labelled(main, covers, **salting), features=features, sep=sep)

@@ -8,8 +8,11 @@ from casemill.functions.keys import key_from_path
 from casemill.functions.text import array_to_text
 from casemill.rules.defaults import FILE_KEY_PATTERN, NO_KEY
 
-# Quotes inside a field are doubled; an empty text and a missing one stay different.
-_CSV = {"quote": '"', "escape": '"', "emptyValue": '""', "nullValue": ""}
+# Quotes inside a field are doubled. An empty field is a missing value.
+_CSV = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+
+# Names of encodings that Spark knows under another name.
+_ENCODINGS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
 
 
 def read_delimited(
@@ -26,16 +29,17 @@ def read_delimited(
     With ``multi_line`` a quoted field may hold line breaks, and one file is then read by one task;
     turn it off for large files without such fields, or store the data in shards or as Parquet.
     """
-    options = {**_CSV, "emptyValue": "", "sep": sep, "encoding": encoding}
     return spark.read.schema(schema).csv(
         path,
+        sep=sep,
         header=header,
+        encoding=_ENCODINGS.get(encoding.lower(), encoding),
         multiLine=multi_line,
         enforceSchema=True,
         lineSep="\n",
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
-        **options,
+        **_CSV,
     )
 
 
