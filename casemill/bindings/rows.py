@@ -32,6 +32,7 @@ from casemill.operators.sampling import (
     last_rows,
     last_write_wins,
     oversample,
+    shuffle_rows,
     split_by_hash,
     split_exact,
 )
@@ -366,6 +367,11 @@ def _(spark, sf):
     return first_rows(docs(spark, sf).select("doc_id", "source"), ["source", "doc_id"], 100)
 
 
+@query("shuffle_rows", "SELECT doc_id, lang FROM documents ORDER BY md5('0|' || doc_id)")
+def _(spark, sf):
+    return shuffle_rows(docs(spark, sf).select("doc_id", "lang"), ["doc_id"])
+
+
 @query(
     "split_exact",
     """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('0|' || doc_id)) <= floor(0.2 * count(*) OVER ())

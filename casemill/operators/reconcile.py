@@ -6,29 +6,36 @@ from pyspark.sql import DataFrame, functions as F
 
 from casemill.functions.arrays import sorted_distinct
 from casemill.functions.dates import parse_date, without_day_comma
-from casemill.functions.similarity import token_set_similarity
+from casemill.functions.similarity import EXACT_BELOW, same_words, token_set_similarity
 from casemill.rules.defaults import DATE_SIMILARITY
 
 
 def reconcile_names(df: DataFrame, first: str, second: str, name: str = "judge_name") -> DataFrame:
     """Names found by both; else the last of ``second`` when both lists hold the same words.
 
-    The lists hold the same words when their token-set similarity is 100. Only rows without a
-    common name are scored.
+    The lists hold the same words when their token-set similarity is 100. That is a native test for
+    short lists; only long lists without a common name go through the batch function.
     """
-    a, b = F.col(first), F.col(second)
-    common = F.array_intersect(a, b)
-    open_row = F.size(common) == 0
-    score = token_set_similarity(
-        F.when(open_row, F.array_join(a, " ")), F.when(open_row, F.array_join(b, " "))
+    b = F.col(second)
+    joined = df.withColumns(
+        {
+            "_common": F.array_intersect(first, second),
+            "_a": F.array_join(first, " "),
+            "_b": F.array_join(second, " "),
+        }
+    )
+    open_row = F.size("_common") == 0
+    long = open_row & (F.length("_a") + F.length("_b") >= EXACT_BELOW)
+    scored = joined.withColumn(
+        "_score", token_set_similarity(F.when(long, F.col("_a")), F.when(long, F.col("_b")))
     )
-    scored = df.withColumn("_score", score)
+    agree = F.when(long, F.col("_score") == 100).otherwise(same_words(F.col("_a"), F.col("_b")))
     return scored.withColumn(
         name,
-        F.when(~open_row, F.array_join(sorted_distinct(common), " "))
-        .when(F.col("_score") == 100, F.try_element_at(b, F.lit(-1)))
+        F.when(~open_row, F.array_join(sorted_distinct(F.col("_common")), " "))
+        .when(agree, F.try_element_at(b, F.lit(-1)))
         .otherwise(""),
-    ).drop("_score")
+    ).drop("_common", "_a", "_b", "_score")
 
 
 def reconcile_dates(

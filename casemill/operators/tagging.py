@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from casemill.functions.arrays import let
 from casemill.functions.text import all_matches, first_match, normalize_text, words
+from casemill.operators.cleaning import non_empty_arrays
 from casemill.operators.joins import lookup_join
 from casemill.rules.defaults import (
     COVER_RULES,
@@ -53,11 +54,8 @@ def tag_cover(
 
 def flagged_sentences(df: DataFrame, text: str, pattern: str, found: str) -> DataFrame:
     """Rows with at least one span of one label, with the spans instead of the text."""
-    return (
-        df.withColumn(found, all_matches(F.col(text), pattern))
-        .filter(F.size(found) > 0)
-        .drop(text)
-    )
+    tagged = df.withColumn(found, all_matches(F.col(text), pattern))
+    return non_empty_arrays(tagged, found).drop(text)
 
 
 def _word_grams(df: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:

@@ -326,6 +326,32 @@ def test_common_subsequence_by_brute_force():
         assert _common_subsequence(a, b) == _slow_common_subsequence(a, b)
 
 
+@pytest.mark.parametrize("alphabet", ["ab c-é_9", "xy "])
+def test_same_words_means_100(spark, alphabet):
+    from casemill.functions.similarity import same_words
+
+    rng = random.Random(11)
+    data = [
+        tuple("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9))) for _ in "ab")
+        for _ in range(400)
+    ]
+    df = spark.createDataFrame(data, "a string, b string")
+    for r in df.select("*", same_words(F.col("a"), F.col("b")).alias("same")).collect():
+        assert r["same"] == (token_set_score(r["a"], r["b"]) == 100), r
+
+
+def test_long_lists_may_round_up_to_100(spark):
+    words = " ".join(f"word{i:03d}" for i in range(40))
+    almost = words.replace("word039", "word03")
+    assert token_set_score(words, almost) == 100
+    other = "completely other content"
+    df = spark.createDataFrame([([words], [other, almost])], "a array<string>, b array<string>")
+    assert token_set_score(words, f"{other} {almost}") < 100
+    assert reconcile.reconcile_names(df, "a", "b").first()["judge_name"] == ""
+    df = spark.createDataFrame([([words], [almost])], "a array<string>, b array<string>")
+    assert reconcile.reconcile_names(df, "a", "b").first()["judge_name"] == almost
+
+
 NAMES = [
     (["john doe", "a roe"], ["john doe"], "john doe"),
     (["john doe"], ["member", "doe, john"], "doe, john"),
