@@ -150,7 +150,7 @@ def _(spark, sf):
 
 @query(
     "eval_bundle",
-    """WITH e AS (SELECT label % 4 AS y, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS p FROM embeddings),
+    """WITH e AS (SELECT label AS y, list_position(embedding, list_max(embedding)) - 1 AS p FROM embeddings),
        c AS (SELECT k AS class, 2.0::DOUBLE * count(CASE WHEN y = k AND p = k THEN 1 END)
            / nullif(count(CASE WHEN y = k THEN 1 END) + count(CASE WHEN p = k THEN 1 END), 0) AS f1,
            count(CASE WHEN y = k THEN 1 END) AS actual FROM e, (SELECT y AS k FROM e UNION SELECT p FROM e) GROUP BY k)
@@ -158,10 +158,7 @@ def _(spark, sf):
          round(avg(f1), 6) AS macro_f1, round(sum(f1 * actual) / sum(actual), 6) AS weighted_f1 FROM c""",
 )
 def _(spark, sf):
-    scores = table(spark, sf, "embeddings").select(
-        (F.col("label") % 4).alias("y"), F.slice("embedding", 1, 4).alias("scores")
-    )
-    return _rounded(eval_bundle(scores, "y", "scores"))
+    return _rounded(eval_bundle(table(spark, sf, "embeddings"), "label", "embedding"))
 
 
 # Error analysis --------------------------------------------------------------------------------

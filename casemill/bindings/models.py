@@ -10,33 +10,52 @@ from casemill.operators.classify import score_text_clf, train_text_clf, tune_tex
 from casemill.operators.features import train_set_all, train_set_cover, train_set_sentences
 from casemill.operators.joins import gold_join, hot_keys
 from casemill.operators.sampling import oversample, split_by_hash
+from casemill.operators.tagging import tag_entities
 from casemill.plans.cover import cover_features, covers_from_files, judges_from_html, labelled_covers
 from casemill.plans.outcomes import case_outcomes, tail_sentences
 from casemill.plans.training import all_entities_examples, labelled_sentences
 from casemill.rules.defaults import ALL_FEATURES, COVER_FEATURES, COVER_RULES, ENTITY_LABELS
 
 _CLEAN = r"regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}_\s\[\]]', ' ', 'g'), ' +', ' ', 'g')"
-_WIDTH = {name: i + 2 for i, name in enumerate(ALL_FEATURES)}
+# Patterns of the entity features, which occur in the test documents.
+_STEMS = {x: f"[a-z]+{stem}" for x, stem in zip(ENTITY_LABELS, ("tion", "ing", "er", "ment", "lich") * 3, strict=True)}
 
 
 def wide_features(spark, sf):
-    """A feature table: words of the documents in the named columns, some missing, and an outcome."""
-    docs = texts(spark, sf, "doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
-    docs = docs.withColumn("_found", F.split("text", " "))
-    found = F.col("_found")
-    columns = [
-        F.when(F.col("doc_id") % _WIDTH[name] != 0, F.try_element_at(found, F.lit(_WIDTH[name]))).alias(name)
-        for name in ALL_FEATURES
-    ]
-    return docs.select(
-        F.col("doc_id").alias("decision_id"), F.coalesce("quality", F.lit(2)).alias("decision_outcome"), *columns
+    """All feature columns of the labelled documents: found words as arrays, cover fields as text."""
+    docs = texts(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
+    tagged = tag_entities(docs.join(table(spark, sf, "labels"), "doc_id", "left"), "text", _STEMS)
+    n = F.col("n_chars")
+    return tagged.select(
+        F.col("doc_id").alias("decision_id"),
+        F.coalesce("quality", F.lit(2)).alias("decision_outcome"),
+        *ENTITY_LABELS,
+        F.regexp_extract_all("text", F.lit("[a-z]+ting"), F.lit(0)).alias("extracted_dates"),
+        F.col("lang").alias("LOC_HEARING"),
+        F.concat(F.lit("division "), "source").alias("TRIBUNAL"),
+        F.when(n > 400, "public hearing").alias("PUBLIC_PRIVATE_HEARING"),
+        F.when(F.col("lang") == "en", "in chambers").alias("INCHAMBER_VIRTUAL_HEARING"),
+        F.when(n > 900, F.concat(F.lit("doe, "), "lang")).alias("JUDGE"),
+        n.alias("DATE_DECISION"),
     )
 
 
-def _wide_text(names):
-    cells = " || '[SEP]' || ".join(
-        f"coalesce(CASE WHEN doc_id % {_WIDTH[n]} <> 0 THEN string_split(text, ' ')[{_WIDTH[n]}] END, '')" for n in names
-    )
+def _feature_sql(sep):
+    cells = {x: f"coalesce(array_to_string(regexp_extract_all(text, '{p}'), '{sep}'), '')" for x, p in _STEMS.items()}
+    cells |= {
+        "extracted_dates": f"array_to_string(regexp_extract_all(text, '[a-z]+ting'), '{sep}')",
+        "LOC_HEARING": "lang",
+        "TRIBUNAL": "'division ' || source",
+        "PUBLIC_PRIVATE_HEARING": "CASE WHEN n_chars > 400 THEN 'public hearing' ELSE '' END",
+        "INCHAMBER_VIRTUAL_HEARING": "CASE WHEN lang = 'en' THEN 'in chambers' ELSE '' END",
+        "JUDGE": "CASE WHEN n_chars > 900 THEN 'doe, ' || lang ELSE '' END",
+        "DATE_DECISION": "CAST(n_chars AS VARCHAR)",
+    }
+    return cells
+
+
+def _wide_text(names, sep):
+    cells = " || '[SEP]' || ".join(_feature_sql(sep)[n] for n in names)
     return f"(SELECT doc_id, quality, {cells} AS text FROM documents JOIN labels USING (doc_id))"
 
 
@@ -46,7 +65,7 @@ def _long(df):
 
 @query(
     "train_set_cover",
-    f"SELECT doc_id AS decision_id, CAST(quality AS BIGINT) AS labels, {_CLEAN.format('text')} AS text FROM {_wide_text(COVER_FEATURES)}",
+    f"SELECT doc_id AS decision_id, CAST(quality AS BIGINT) AS labels, {_CLEAN.format('text')} AS text FROM {_wide_text(COVER_FEATURES, ', ')}",
 )
 def _(spark, sf):
     return _long(train_set_cover(wide_features(spark, sf)))
@@ -55,7 +74,7 @@ def _(spark, sf):
 @query(
     "train_set_all",
     rf"""SELECT doc_id AS decision_id, CAST(quality AS BIGINT) AS labels,
-        regexp_replace({_CLEAN.format('text')}, '(\[SEP\]){{2,}}', '[SEP]', 'g') AS text FROM {_wide_text(ALL_FEATURES)}""",
+        regexp_replace({_CLEAN.format('text')}, '(\[SEP\]){{2,}}', '[SEP]', 'g') AS text FROM {_wide_text(ALL_FEATURES, ' ')}""",
 )
 def _(spark, sf):
     return _long(train_set_all(wide_features(spark, sf)))

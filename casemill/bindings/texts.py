@@ -303,7 +303,25 @@ def _(spark, sf):
     return reconcile_dates(lists, "first", "second").select("o_orderkey", "date_decision")
 
 
-@query("token_set_similarity")
+def _ratio(a, b):
+    """SQL of twice the longest common subsequence over both lengths, in percent: one bit per character."""
+    bits = f"list_transform(string_split({b}, ''), lambda ch: CAST(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, CAST(i + 1 AS BIGINT), 1) = ch THEN 1::BIGINT << i ELSE 0 END)) AS BIGINT))"
+    full = f"((1::BIGINT << length({a})) - 1)"
+    fold = f"list_reduce(list_prepend({full}, {bits}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})"
+    common = f"(length({a}) - bit_count({fold}))"
+    return f"""CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 100
+        ELSE round_even(100 * 2 * {common} / (length({a}) + length({b})), 0) END"""
+
+
+@query(
+    "token_set_similarity",
+    f"""WITH sets AS (SELECT p_partkey, {_TOKENS.format('[p_name, p_type]')} AS ta, {_TOKENS.format('[p_type, p_brand]')} AS tb FROM part),
+        parts AS (SELECT p_partkey, array_to_string(list_sort(list_intersect(ta, tb)), ' ') AS s,
+          array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ' ') AS a,
+          array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta, x))), ' ') AS b FROM sets),
+        wholes AS (SELECT p_partkey, s, trim(s || ' ' || a) AS wa, trim(s || ' ' || b) AS wb FROM parts)
+        SELECT p_partkey, CAST(greatest({_ratio('s', 'wa')}, {_ratio('s', 'wb')}, {_ratio('wa', 'wb')}) AS BIGINT) AS score FROM wholes""",
+)
 def _(spark, sf):
     score = token_set_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(", ", "p_type", "p_brand"))
     return table(spark, sf, "part").select("p_partkey", score.cast("bigint").alias("score"))
