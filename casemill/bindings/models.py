@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casemill.bindings.registry import query, table, texts
 from casemill.functions.text import word_count
-from casemill.operators.classify import score_text_clf, train_text_clf, tune_text_clf
+from casemill.operators.classify import sample_settings, score_text_clf, train_text_clf, tune_text_clf
 from casemill.operators.features import train_set_all, train_set_cover, train_set_sentences
 from casemill.operators.joins import gold_join, hot_keys
 from casemill.operators.sampling import oversample, split_by_hash
@@ -126,14 +126,10 @@ def _(spark, sf):
 @query("tune_text_clf")
 def _(spark, sf):
     train, _test = _halves(examples(spark, sf))
-    search = tune_text_clf(train, "doc_id", max_iter=(10,))
-    tried = [
-        (i, {p.name: float(v) for p, v in params.items()}, float(f1))
-        for i, (params, f1) in enumerate(zip(search.getEstimatorParamMaps(), search.avgMetrics))
-    ]
-    return spark.createDataFrame(tried, "trial int, params map<string,double>, weighted_f1 double").select(
-        "trial", F.col("params")["regParam"].alias("reg"), F.col("params")["maxIter"].alias("epochs"), "weighted_f1"
-    )
+    settings = sample_settings(2, n_features=(1 << 12,), epochs=(5, 10))
+    search = tune_text_clf(train, "doc_id", settings)
+    tried = [(s["reg"], s["epochs"], s["n_features"], float(f1)) for s, f1 in zip(settings, search.avgMetrics)]
+    return spark.createDataFrame(tried, "reg double, epochs int, n_features int, weighted_f1 double")
 
 
 # From raw text to result -----------------------------------------------------------------------

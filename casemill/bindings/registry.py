@@ -12,6 +12,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
+        fn.__name__ = name
         QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql

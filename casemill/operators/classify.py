@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casemill.functions.arrays import argmax
@@ -93,32 +95,51 @@ def train_text_clf(
     return Trained(PipelineModel(stages=[*features.stages, best]), history)
 
 
+def sample_settings(
+    trials: int,
+    seed: int = 0,
+    reg: tuple[float, float] = (1e-4, 1e-1),
+    epochs: tuple[int, ...] = (5, 10, 20),
+    n_features: tuple[int, ...] = (1 << 14, 1 << 16),
+) -> list[dict]:
+    """Random settings for the search: ``reg`` log-uniform, the others from their choices."""
+    draw = random.Random(seed)
+    low, high = (math.log(x) for x in reg)
+    return [
+        {
+            "reg": math.exp(draw.uniform(low, high)),
+            "epochs": draw.choice(epochs),
+            "n_features": draw.choice(n_features),
+        }
+        for _ in range(trials)
+    ]
+
+
 def tune_text_clf(
     train: DataFrame,
     case: str,
+    settings: list[dict],
     text: str = "text",
     label: str = "labels",
     folds: int = 2,
-    reg: tuple[float, ...] = (0.01, 0.1),
-    max_iter: tuple[int, ...] = (5, 20),
-    n_features: tuple[int, ...] = (1 << 12,),
     max_len: int = CASE_TOKENS,
     seed: str = "0",
 ):
-    """Search the grid for the best weighted F1; returns the fitted ``CrossValidatorModel``.
+    """Search the settings for the best weighted F1; returns the fitted ``CrossValidatorModel``.
 
     The fold of a row is a hash of its case, so a case is never in both parts and the folds are the
     same in every run.
     """
-    pipeline = text_pipeline(text, label, max_len, n_features[0])
+    pipeline = text_pipeline(text, label, max_len)
     stages = pipeline.getStages()
-    grid = (
-        ParamGridBuilder()
-        .addGrid(stages[-1].regParam, list(reg))
-        .addGrid(stages[-1].maxIter, list(max_iter))
-        .addGrid(stages[2].numFeatures, list(n_features))
-        .build()
-    )
+    grid = [
+        {
+            stages[-1].regParam: s["reg"],
+            stages[-1].maxIter: s["epochs"],
+            stages[2].numFeatures: s["n_features"],
+        }
+        for s in settings
+    ]
     fold = hash_bucket(key_hash(seed, [F.col(case)]), folds).cast("int")
     search = CrossValidator(
         estimator=pipeline,

@@ -86,7 +86,7 @@ def accuracy(
     """Share (or, not normalised, weight) of equal pairs. Array columns must be equal as a whole."""
     w = _weight(weight)
     right = F.sum(F.when(F.col(label) == F.col(prediction), w).otherwise(0.0))
-    return df.agg((right / F.sum(w) if normalize else right).alias("accuracy"))
+    return df.agg((F.try_divide(right, F.sum(w)) if normalize else right).alias("accuracy"))
 
 
 def f1_score(

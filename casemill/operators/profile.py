@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casemill.functions.text import count_occurrences, word_count, words
+from casemill.operators.joins import present
 from casemill.rules.defaults import EXCLUDED_MENTIONS, SEP, TOP_WORDS
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing values per column, all columns in one pass."""
     columns = columns or df.columns
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    counts = df.agg(*[F.count_if(~present(df, [c])).alias(c) for c in columns])
     cells = [
         F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing")) for c in columns
     ]
@@ -30,9 +31,7 @@ def cleaning_report(df: DataFrame, case: str, subset: list[str] | None = None) -
 
     Rows are first merged per case, so the distinct count needs no second pass.
     """
-    complete = F.lit(True)
-    for c in subset or df.columns:
-        complete = complete & F.col(c).isNotNull()
+    complete = present(df, subset or df.columns)
     per_case = df.groupBy(case).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(complete).alias("_kept")
     )

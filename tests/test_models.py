@@ -38,6 +38,9 @@ def test_max_len_limits_what_the_model_sees(spark, examples):
 
 
 def test_search(spark, examples):
-    found = classify.tune_text_clf(examples, "id", reg=(0.01, 10.0), max_iter=(5,), n_features=(1 << 8,))
+    settings = classify.sample_settings(2, seed=1, epochs=(5,), n_features=(1 << 8,))
+    assert settings == classify.sample_settings(2, seed=1, epochs=(5,), n_features=(1 << 8,))
+    assert all(1e-4 <= s["reg"] <= 1e-1 for s in settings)
+    found = classify.tune_text_clf(examples, "id", settings)
     assert len(found.avgMetrics) == 2
     assert max(found.avgMetrics) > 0.9
