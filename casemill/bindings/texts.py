@@ -32,6 +32,7 @@ from casemill.operators.classify import tokens
 from casemill.operators.cleaning import as_text_columns
 from casemill.operators.reconcile import reconcile_dates, reconcile_names
 from casemill.rules.defaults import HEARING_MODE_PATTERN, HEARING_TYPE_PATTERN
+from casemill.sources.files import spread
 
 
 def docs(spark, sf):
@@ -178,7 +179,7 @@ def dated(spark, sf):
     """Date lists as a cover page shows them, one per order."""
     day = F.col("o_orderdate").cast("date")
     other = F.date_add(day, (F.col("o_custkey") % 400).cast("int"))
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         "o_orderkey",
         F.array(
             F.date_format(day, "MMMM d, yyyy"),
@@ -299,7 +300,7 @@ def _(spark, sf):
         .when(kind == 1, F.array(F.date_format(F.date_add(day, 1), "MMMM d, yyyy")))
         .otherwise(F.array(F.concat(month, F.lit(" the last"))))
     )
-    lists = table(spark, sf, "orders").select("o_orderkey", first.alias("first"), second.alias("second"))
+    lists = spread(table(spark, sf, "orders")).select("o_orderkey", first.alias("first"), second.alias("second"))
     return reconcile_dates(lists, "first", "second").select("o_orderkey", "date_decision")
 
 

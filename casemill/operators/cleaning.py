@@ -21,7 +21,7 @@ def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame
 
 def drop_values(df: DataFrame, column: str, values: list) -> DataFrame:
     """Drop rows whose column holds one of the marker values; rows with a null stay."""
-    return df.filter(F.coalesce(~F.col(column).isin(values), F.lit(True)))
+    return df.filter(F.col(column).isNull() | ~F.col(column).isin(values))
 
 
 def decided_only(df: DataFrame, outcome: str) -> DataFrame:

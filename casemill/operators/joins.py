@@ -107,13 +107,19 @@ def left_join_fill(left: DataFrame, right: DataFrame, on: str, fill: dict) -> Da
     return left.join(right, on, "left").na.fill(fill)
 
 
-def label_join(features: DataFrame, outcomes: DataFrame, on: str, outcome: str, **salting) -> DataFrame:
+def label_join(
+    features: DataFrame, outcomes: DataFrame, on: str, outcome: str, unique: bool = False, **salting
+) -> DataFrame:
     """Features with their outcome; rows without an outcome are dropped, rows without a key too.
 
-    A left join followed by that drop is an inner join, and is written as one.
+    A left join followed by that drop is an inner join, and is written as one. With ``unique`` the
+    features have one row per key, so no key can be hot and none is looked for.
     """
     labelled = outcomes.filter(present(outcomes, [on, outcome]))
-    return salted_join(features.filter(present(features, [on])), labelled, [on], "inner", **salting)
+    keyed = features.filter(present(features, [on]))
+    if unique:
+        return keyed.join(labelled, on)
+    return salted_join(keyed, labelled, [on], "inner", **salting)
 
 
 def gold_join(sentences: DataFrame, gold: DataFrame, on: str, **salting) -> DataFrame:

@@ -93,5 +93,5 @@ def labelled_covers(features: DataFrame, outcomes: DataFrame) -> DataFrame:
         print_date(latest_date(F.col("_days"))).alias("decision_date"),
         date_span(F.col("_days")).alias("span_time_decision"),
     )
-    labelled = label_join(cleaned, outcomes, "decision_id", "decision_outcome")
+    labelled = label_join(cleaned, outcomes, "decision_id", "decision_outcome", unique=True)
     return rename_features(labelled).drop("span_time_decision")

@@ -139,19 +139,26 @@ _MONTH = (
     "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
 )
 
+
+def _sentence_with(words: str) -> str:
+    """The sentence around some words. It can only begin where a sentence begins, so a long text
+    without a match is read once and not once per character."""
+    return rf"(?i)(?<![^.\n])[^.\n]*?\b(?:{words})\b[^.\n]*"
+
+
 ENTITY_RULES = {
     "GPE": r"(?i)\b(?:canada|quebec|ontario|toronto|montreal|ottawa|vancouver|calgary)\b",
     "DATE": rf"(?i)\b{_MONTH} \d{{1,2}},? \d{{4}}\b",
     "NORP": r"(?i)\b(?:canadian|christian|muslim|hindu|sikh|tamil|kurdish|roma)s?\b",
     "ORG": r"(?i)\b(?:immigration and refugee board|refugee protection division|federal court)\b",
     "LAW": r"(?i)\b(?:sub)?sections? \d+(?:\(\d+\))?",
-    "CLAIMANT_EVENTS": r"(?i)[^.\n]*\b(?:was|were) (?:arrested|attacked|detained|threatened)\b[^.\n]*",
-    "CREDIBILITY": r"(?i)[^.\n]*\b(?:credible|credibility|implausible)\b[^.\n]*",
-    "DETERMINATION": r"(?i)[^.\n]*\b(?:claim is (?:rejected|accepted)|(?:rejects|accepts) the claim)\b[^.\n]*",
-    "CLAIMANT_INFO": r"(?i)[^.\n]*\bclaimants? (?:is|are) (?:a |an )?(?:citizens?|nationals?)\b[^.\n]*",
-    "PROCEDURE": r"(?i)[^.\n]*\b(?:hearing|adjourned|postponed)\b[^.\n]*",
+    "CLAIMANT_EVENTS": _sentence_with("(?:was|were) (?:arrested|attacked|detained|threatened)"),
+    "CREDIBILITY": _sentence_with("credible|credibility|implausible"),
+    "DETERMINATION": _sentence_with("claim is (?:rejected|accepted)|(?:rejects|accepts) the claim"),
+    "CLAIMANT_INFO": _sentence_with("claimants? (?:is|are) (?:a |an )?(?:citizens?|nationals?)"),
+    "PROCEDURE": _sentence_with("hearing|adjourned|postponed"),
     "DOC_EVIDENCE": r"(?i)\bexhibits? [a-z]?-?\d+",
-    "EXPLANATION": r"(?i)[^.\n]*\b(?:because|explained that)\b[^.\n]*",
+    "EXPLANATION": _sentence_with("because|explained that"),
     "LEGAL_GROUND": r"(?i)\b(?:well-founded fear|convention refugee|membership in a particular social group)\b",
     "LAW_CASE": r"\b[A-Z][A-Za-z]+ v\. [A-Z][A-Za-z]+",
     "LAW_REPORT": r"\[\d{4}\] \d+ [A-Z.]+ \d+",

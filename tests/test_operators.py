@@ -262,6 +262,13 @@ def test_default_rules(spark):
     assert row["NORP"] == [] and row["LAW_REPORT"] == []
 
 
+def test_default_rules_on_a_long_text(spark):
+    long = "word " * 40_000 + "the claim is rejected"
+    row = tagging.tag_entities(spark.createDataFrame([("One. " + long + ". Two",)], "t string"), "t").first()
+    assert row["DETERMINATION"] == [" " + long]
+    assert row["CREDIBILITY"] == []
+
+
 @pytest.mark.parametrize("inline", [2000, 0], ids=["inline", "joined"])
 def test_gazetteer(spark, inline):
     terms = {"sri lanka": "GPE", "lanka": "GPE", "court": "ORG"}

@@ -161,3 +161,12 @@ def test_signature_items(spark, page, items):
 def test_signature_items_by_pattern(spark):
     page = "<table>signed may 3, 2017 by x</table>"
     assert one(spark, page, lambda c: html.signature_items(c, item_pattern=r"[a-z]+ \d+, \d{4}")) == ["may 3, 2017"]
+
+
+def test_long_inputs(spark):
+    page = "<script>" + "x" * 500_000 + "</script><table>" + "a < b " * 200_000 + "</table><table>last\n" + "y" * 500_000
+    assert len(one(spark, page, html.signature_items)) == 2
+    assert one(spark, "a" + "[SEP]" * 100_000 + "b", text.collapse_separators) == "a[SEP]b"
+    assert one(spark, "w " * 300_000, text.word_count) == 300_000
+    assert len(one(spark, "a  b!" * 300_000, text.strip_punctuation)) == 4 * 300_000
+    assert len(one(spark, "['x']" * 100_000, text.parse_list_repr)) == 100_000
