@@ -38,14 +38,11 @@ def covers_from_files(files: DataFrame, key_pattern: str = FILE_KEY_PATTERN) ->
     the greater path stays.
     """
     keyed = files.select(
-        key_from_path(F.col("path"), key_pattern).alias("decision_id"),
-        "path",
-        normalize_text(F.col("text")).alias("text_case_cover"),
-    )
-    readable = drop_values(
-        drop_values(keyed, "decision_id", [NO_KEY]), "text_case_cover", [UNREADABLE.lower()]
+        key_from_path(F.col("path"), key_pattern).alias("decision_id"), "path", "text"
     )
-    return last_write_wins(readable, "decision_id", "path").drop("path")
+    readable = drop_values(drop_values(keyed, "decision_id", [NO_KEY]), "text", [UNREADABLE])
+    newest = last_write_wins(readable, "decision_id", "path")
+    return newest.select("decision_id", normalize_text(F.col("text")).alias("text_case_cover"))
 
 
 def judges_from_html(
