@@ -110,10 +110,10 @@ def top_words(df: DataFrame, text: str, wrong: Column, k: int = TOP_WORDS) -> Da
 
 
 def mention_counts(df: DataFrame, places: str, excluded: list[str] = EXCLUDED_MENTIONS) -> DataFrame:
-    """Occurrences of every place in an array column, without the excluded ones."""
+    """Occurrences of every place in an array column, without the excluded ones in any case."""
     return (
         df.select(F.explode(places).alias("place"))
-        .filter(~F.col("place").isin(excluded))
+        .filter(~F.lower("place").isin([x.lower() for x in excluded]))
         .groupBy("place")
         .agg(F.count(F.lit(1)).alias("n"))
     )
