@@ -127,8 +127,8 @@ def _(spark, sf):
 def _(spark, sf):
     train, _test = _halves(examples(spark, sf))
     settings = sample_settings(2, n_features=(1 << 12,), epochs=(5, 10))
-    search = tune_text_clf(train, "doc_id", settings)
-    tried = [(s["reg"], s["epochs"], s["n_features"], float(f1)) for s, f1 in zip(settings, search.avgMetrics)]
+    history = tune_text_clf(train, "doc_id", settings).history
+    tried = [(h["reg"], h["epochs"], h["n_features"], h["weighted_f1"]) for h in history]
     return spark.createDataFrame(tried, "reg double, epochs int, n_features int, weighted_f1 double")
 
 

@@ -31,12 +31,17 @@ def tokens(text: Column, max_len: int = CASE_TOKENS) -> Column:
     return F.slice(words(F.lower(text)), 1, max_len)
 
 
-def _feature_stages(text, max_len, n_features):
+def _token_stages(text, max_len):
     return [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern="\\s+"),
         SQLTransformer(
             statement=f"SELECT *, slice(_words, 1, {int(max_len)}) AS _tokens FROM __THIS__"
         ),
+    ]
+
+
+def _vector_stages(n_features):
+    return [
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=n_features),
         IDF(inputCol="_tf", outputCol="features"),
     ]
@@ -55,12 +60,14 @@ def _classifier(label, max_iter=20, reg=0.01):
 def text_pipeline(
     text: str = "text", label: str = "labels", max_len: int = CASE_TOKENS, n_features: int = 1 << 16
 ) -> Pipeline:
-    return Pipeline(stages=[*_feature_stages(text, max_len, n_features), _classifier(label)])
+    return Pipeline(
+        stages=[*_token_stages(text, max_len), *_vector_stages(n_features), _classifier(label)]
+    )
 
 
 @dataclass
 class Trained:
-    """The best model and what every epoch setting scored on the held-out rows."""
+    """The best model and what every setting scored on held-out rows."""
 
     model: PipelineModel
     history: list[dict]
@@ -81,7 +88,7 @@ def train_text_clf(
     The features are computed once and stored in the shared folder; only metrics and model
     weights (bounded by ``n_features``) reach the driver.
     """
-    features = Pipeline(stages=_feature_stages(text, max_len, n_features)).fit(train)
+    features = Pipeline(stages=[*_token_stages(text, max_len), *_vector_stages(n_features)]).fit(train)
     train_x = materialize(features.transform(train).select(label, "features"), "train-features")
     test_x = materialize(features.transform(test).select(label, "features"), "test-features")
     history, best, best_score = [], None, -1.0
@@ -124,32 +131,36 @@ def tune_text_clf(
     folds: int = 2,
     max_len: int = CASE_TOKENS,
     seed: str = "0",
-):
-    """Search the settings for the best weighted F1; returns the fitted ``CrossValidatorModel``.
+) -> Trained:
+    """Search the settings for the best weighted F1; the best one is trained on all rows.
 
     The fold of a row is a hash of its case, so a case is never in both parts and the folds are the
-    same in every run.
+    same in every run. The tokens are made once and stored in the shared folder.
     """
-    pipeline = text_pipeline(text, label, max_len)
-    stages = pipeline.getStages()
+    front = Pipeline(stages=_token_stages(text, max_len)).fit(train)
+    fold = hash_bucket(key_hash(seed, [F.col(case)]), folds).cast("int").alias("_fold")
+    tokenized = front.transform(train).select("_tokens", F.col(label), fold)
+    tf, idf = _vector_stages(settings[0]["n_features"])
+    classifier = _classifier(label)
     grid = [
         {
-            stages[-1].regParam: s["reg"],
-            stages[-1].maxIter: s["epochs"],
-            stages[2].numFeatures: s["n_features"],
+            tf.numFeatures: s["n_features"],
+            classifier.regParam: s["reg"],
+            classifier.maxIter: s["epochs"],
         }
         for s in settings
     ]
-    fold = hash_bucket(key_hash(seed, [F.col(case)]), folds).cast("int")
     search = CrossValidator(
-        estimator=pipeline,
+        estimator=Pipeline(stages=[tf, idf, classifier]),
         estimatorParamMaps=grid,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"),
         numFolds=folds,
         foldCol="_fold",
         parallelism=2,
     )
-    return search.fit(train.select(F.col(text), F.col(label), fold.alias("_fold")))
+    found = search.fit(materialize(tokenized, "tokens"))
+    history = [{**s, "weighted_f1": float(f1)} for s, f1 in zip(settings, found.avgMetrics)]
+    return Trained(PipelineModel(stages=[*front.stages, *found.bestModel.stages]), history)
 
 
 def score_text_clf(

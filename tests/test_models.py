@@ -42,5 +42,7 @@ def test_search(spark, examples):
     assert settings == classify.sample_settings(2, seed=1, epochs=(5,), n_features=(1 << 8,))
     assert all(1e-4 <= s["reg"] <= 1e-1 for s in settings)
     found = classify.tune_text_clf(examples, "id", settings)
-    assert len(found.avgMetrics) == 2
-    assert max(found.avgMetrics) > 0.9
+    assert len(found.history) == 2
+    assert max(h["weighted_f1"] for h in found.history) > 0.9
+    scored = classify.score_text_clf(found.model, examples.select("text", "labels"))
+    assert scored.filter((F.col("prediction") == "POSITIVE") == (F.col("labels") == 1)).count() > 220
