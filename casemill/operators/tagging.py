@@ -7,8 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from casemill.functions.arrays import let
-from casemill.functions.text import all_matches, first_match, normalize_text, words
+from casemill.functions.arrays import empty_texts, let
+from casemill.functions.text import all_matches, first_match, normalize_text
 from casemill.operators.cleaning import non_empty_arrays
 from casemill.operators.joins import lookup_join
 from casemill.rules.defaults import (
@@ -58,16 +58,28 @@ def flagged_sentences(df: DataFrame, text: str, pattern: str, found: str) -> Dat
     return non_empty_arrays(tagged, found).drop(text)
 
 
-def _word_grams(df: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
-    """``key`` and, as ``_grams``, the word n-grams that start at each word, in text order."""
-    clean = F.trim(F.regexp_replace(normalize_text(F.col(text)), r"[^\p{L}\p{N} ]", " "))
-    split = df.select(key, words(clean).alias("_words"))
-    some = F.array(*[F.lit(n) for n in sizes])
-    starting_at = lambda _, i: F.transform(
-        F.filter(some, lambda n: i + n <= F.size("_words")),
-        lambda n: F.array_join(F.slice(F.col("_words"), i + 1, n), " "),
+def _word_grams(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """``key`` and, as ``_grams``, the word n-grams at each word that opens a term, in text order.
+
+    Words that open no term get an empty array, so almost no n-gram is built.
+    """
+    sizes = F.array(*[F.lit(n) for n in sorted({len(term.split(" ")) for term in terms})])
+    openers = F.array(*[F.lit(w) for w in sorted({term.split(" ")[0] for term in terms})])
+    clean = F.regexp_replace(normalize_text(F.col(text)), r"[^\p{L}\p{N} ]", " ")
+    split = df.select(key, F.filter(F.split(clean, " "), lambda w: w != "").alias("_words"))
+
+    def starting_at(i):
+        fitting = F.filter(sizes, lambda n: i + n <= F.size("_words"))
+        return F.transform(fitting, lambda n: F.array_join(F.slice("_words", i + 1, n), " "))
+
+    grams = let(
+        F.array_intersect("_words", openers),
+        lambda found: F.transform(
+            "_words",
+            lambda w, i: F.when(F.array_contains(found, w), starting_at(i)).otherwise(empty_texts()),
+        ),
     )
-    return split.select(key, F.transform("_words", starting_at).alias("_grams"))
+    return split.select(key, grams.alias("_grams"))
 
 
 def _known_terms(terms: list[str]) -> Column:
@@ -86,9 +98,8 @@ def tag_gazetteer(
     n-grams are joined with; then ``key`` must identify a row, as the hits of a row are put
     together again by it.
     """
-    sizes = sorted({len(term.split(" ")) for term in terms})
     labels = sorted(set(terms.values()))
-    grams = _word_grams(df, key, text, sizes)
+    grams = _word_grams(df, key, text, list(terms))
     if len(terms) <= inline_terms:
         flat = grams.select(key, F.flatten("_grams").alias("_grams"))
         found = {x: _known_terms([t for t, y in terms.items() if y == x]) for x in labels}
