@@ -52,7 +52,9 @@ def salted_join(
     Rows of a hot key are spread over its salts by the task that read them, which splits copies of
     one row too and does not change when a task is run again; the matching rows of ``one`` are
     repeated once per salt. Rows of other keys keep salt 0. Rows without a key match nothing and
-    are spread as well. A small ``one`` side is broadcast by Spark's own size check.
+    are spread as well. A small ``one`` side is broadcast by Spark's own size check. ``many`` is
+    read for its keys and for its rows, and must be the same both times: no sample, no unordered
+    limit.
 
     In a full join a repeated row of ``one`` may find no partner under some salts. Its key is hot,
     so it is a key of ``many`` and the row has found partners under another salt: such leftovers

@@ -36,7 +36,11 @@ from casemill.sources.files import (
 
 
 def mask_sentences(
-    spark: SparkSession, sentences: str, target: str, shards: int = 20, pattern: str = PERSON_RULE
+    spark: SparkSession,
+    sentences: str,
+    target: str,
+    shards: int | None = None,
+    pattern: str = PERSON_RULE,
 ) -> None:
     """Delimited sentences -> shards of masked sentences."""
     complete = drop_incomplete(read_delimited(spark, sentences, SENTENCES))

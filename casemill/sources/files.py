@@ -113,13 +113,14 @@ def write_delimited(
     )
 
 
-def write_shards(df: DataFrame, path: str, shards: int, sep: str = ",") -> None:
-    """Write ``shards`` delimited files of even size, each with a header.
+def write_shards(df: DataFrame, path: str, shards: int | None = None, sep: str = ",") -> None:
+    """Write delimited files, each with a header: one per task, or ``shards`` of even size.
 
-    Rows are dealt out by a hash of their content and not by turns, so a task that is run again
-    writes the same rows.
+    A number of shards costs a shuffle. Rows are then dealt out in turns, after Spark has put the
+    rows of each task in a fixed order, so copies of one row spread over all shards and a task that
+    is run again deals the same.
     """
-    write_delimited(df.repartition(shards, *df.columns), path, sep=sep)
+    write_delimited(df if shards is None else df.repartition(shards), path, sep=sep)
 
 
 def merge_shards(
