@@ -9,7 +9,8 @@ from pyspark.sql import Column, functions as F
 from casemill.functions.arrays import let
 from casemill.rules.defaults import FIXUPS, NULL_MARKERS, SEP
 
-_SPACES = r"(?U)\s+"
+# All white space there is, the four separator controls included.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def normalize_text(text: Column) -> Column:
@@ -20,7 +21,7 @@ def normalize_text(text: Column) -> Column:
 def strip_punctuation(text: Column) -> Column:
     """Keep word characters, white space and brackets; the rest becomes a space; squeeze spaces."""
     return F.regexp_replace(
-        F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s\[\]]", " "), " +", " "
+        F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f\[\]]", " "), " +", " "
     )
 
 
@@ -79,7 +80,7 @@ def clean_lines(block: Column) -> Column:
     """Lower-case lines of a text block, without leading space and without blank lines."""
     lines = F.split(F.lower(block), "\n")
     return F.filter(
-        F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+", "")), lambda x: x != ""
+        F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+", "")), lambda x: x != ""
     )
 
 

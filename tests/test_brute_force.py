@@ -31,9 +31,9 @@ def strip(t):
 
 
 PLAIN = [
-    ("normalize", "aÉ \t\n\r ß", text.normalize_text, squeeze),
-    ("strip", "aé_1 .!?[]-ç\n", text.strip_punctuation, strip),
-    ("words", "ab \t\n ", text.word_count, lambda t: len(t.split())),
+    ("normalize", "aÉ \t\n\r ß\x1c\x85\u00a0\u2003", text.normalize_text, squeeze),
+    ("strip", "aé_1 .!?[]-ç\n\x1d\u00a0²Ⅷ٣\u0301\u200b字", text.strip_punctuation, strip),
+    ("words", "ab \t\n \x1e\u00a0\u3000", text.word_count, lambda t: len(t.split())),
     ("separators", ["[SEP]", "a", "["], text.collapse_separators, lambda t: re.sub(r"(\[SEP\]){2,}", "[SEP]", t)),
     ("occurrences", ["[SEP]", "a", "["], text.count_occurrences, lambda t: t.count("[SEP]")),
     (
