@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession, functions as F
 
 from casemill.functions.keys import nullable_key
-from casemill.functions.text import parse_list_repr
+from casemill.functions.text import array_to_text, parse_list_repr
+from casemill.operators.classify import score_text_clf, train_text_clf
 from casemill.operators.cleaning import drop_incomplete, drop_values, map_values
 from casemill.operators.features import train_set_cover
 from casemill.operators.joins import gold_join
@@ -17,7 +19,15 @@ from casemill.operators.tagging import flagged_sentences, tag_entities
 from casemill.plans.cover import cover_features, covers_from_files, judges_from_html, labelled_covers
 from casemill.plans.outcomes import case_outcomes
 from casemill.plans.training import all_entities_examples, labelled_sentences
-from casemill.rules.defaults import ENTITY_RULES, FILE_KEY_PATTERN, NO_KEY, PERSON_RULE, TEST_SHARE
+from casemill.rules.defaults import (
+    ENTITY_RULES,
+    FILE_KEY_PATTERN,
+    MINORITY_COPIES,
+    NO_KEY,
+    PERSON_RULE,
+    SENTENCE_TOKENS,
+    TEST_SHARE,
+)
 from casemill.schemas import (
     CASE_OUTCOMES,
     GOLD_OUTCOMES,
@@ -75,6 +85,52 @@ def label_determinations(spark: SparkSession, determinations: str, gold: str, ta
     gold_join(keyed, annotations, "decision_id").write.parquet(target)
 
 
+def _sentence_rows(table):
+    """Flagged sentences as one text per row."""
+    items = array_to_text(F.col("extracted_sentences_determination"))
+    return table.withColumn("text", items).filter(F.col("text").isNotNull())
+
+
+def train_sentence_model(
+    spark: SparkSession,
+    labelled: str,
+    model: str,
+    test_share: float = TEST_SHARE,
+    copies: int = MINORITY_COPIES,
+    **settings,
+) -> list[dict]:
+    """Labelled determination sentences -> stored model; returns what each setting scored.
+
+    A case is in the training or in the test part, and accepted sentences are repeated in training.
+    """
+    rows = _sentence_rows(spark.read.parquet(labelled)).select(
+        "decision_id", "text", F.col("decision").alias("labels")
+    )
+    parts = split_by_hash(rows, ["decision_id"], test_share)
+    train = oversample(parts.filter("split = 'train'"), "labels", copies=copies)
+    test = parts.filter("split = 'test'")
+    trained = train_text_clf(train, test, max_len=SENTENCE_TOKENS, **settings)
+    trained.model.write().overwrite().save(model)
+    return trained.history
+
+
+def score_sentences(spark: SparkSession, model: str, determinations: str, target: str) -> None:
+    """Stored model and determination sentences -> delimited sentence scores."""
+    keyed = drop_values(spark.read.parquet(determinations), "decision_id", [NO_KEY])
+    rows = _sentence_rows(keyed).select(
+        nullable_key(F.col("decision_id")).alias("decision_id"), "text"
+    )
+    scored = score_text_clf(PipelineModel.load(model), rows)
+    write_delimited(
+        scored.select(
+            "decision_id",
+            F.col("text").alias("extracted_sentences_determination"),
+            "predicted_class",
+        ),
+        target,
+    )
+
+
 def aggregate_outcomes(spark: SparkSession, scores: str, target: str) -> None:
     """Delimited sentence scores -> delimited outcome per case."""
     write_delimited(case_outcomes(read_delimited(spark, scores, SENTENCE_SCORES)), target)

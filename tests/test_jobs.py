@@ -29,6 +29,23 @@ def test_sentence_chain(spark, tmp_path):
     assert [(r["decision_id"], r["decision"]) for r in spark.read.parquet(p["labelled"]).collect()] == [(1, 0)]
 
 
+def test_from_sentences_to_outcomes_with_a_model(spark, tmp_path):
+    p = {n: str(tmp_path / n) for n in ("tail.csv", "flags", "gold.csv", "labelled", "model", "scores", "outcomes")}
+    verdict = ["the claim is rejected for want of proof", "the claim is accepted with thanks"]
+    (tmp_path / "tail.csv").write_text(
+        "decision_id;text\n" + "".join(f"{i};{verdict[i % 3 == 0]}\n{i};other\n" for i in range(90))
+    )
+    (tmp_path / "gold.csv").write_text("decision_id;decision\n" + "".join(f"{i};{int(i % 3 == 0)}\n" for i in range(60)))
+    jobs.flag_determinations(spark, p["tail.csv"], p["flags"])
+    jobs.label_determinations(spark, p["flags"], p["gold.csv"], p["labelled"])
+    history = jobs.train_sentence_model(spark, p["labelled"], p["model"], epochs=(10,), n_features=256)
+    assert history[0]["accuracy"] == 1.0
+    jobs.score_sentences(spark, p["model"], p["flags"], p["scores"])
+    jobs.aggregate_outcomes(spark, p["scores"], p["outcomes"])
+    got = read_delimited(spark, p["outcomes"], "decision_id bigint, decision_outcome int")
+    assert rows(got) == sorted(((i, int(i % 3 == 0)) for i in range(90)), key=repr)
+
+
 def test_outcomes(spark, tmp_path):
     (tmp_path / "scores.csv").write_text(
         "decision_id;extracted_sentences_determination;predicted_class\n1;a;0.1\n1;b;0.2\n2;c;0.9\n3;d;0.5\n"
