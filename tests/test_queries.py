@@ -28,3 +28,30 @@ def test_has_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["decision_id", "decision_outcome"]
+
+
+# Queries that score with the similarity function or call the user's tagger.
+WITH_PYTHON = {
+    "token_set_similarity",
+    "reconcile_names",
+    "reconcile_dates",
+    "tag_with_hook",
+    "cover_features_from_files",
+    "labelled_covers",
+    "examples_from_corpus",
+}
+# Training runs jobs while the query is built; their plans are Spark ML's own.
+TRAINING = {"train_text_clf", "tune_text_clf", "score_text_clf"}
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - TRAINING))
+def test_plan(spark, name):
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert name in WITH_PYTHON or not any(n in plan for n in ("EvalPython", "InPandas", "InArrow"))
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = entry.queries()["drop_unlabelled"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(quality)" in plan
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
