@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from casemill.bindings import ORACLES, QUERIES
 from tests.harness import compare, sql_connection
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -16,12 +17,12 @@ def con():
     return sql_connection(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, con, name):
     assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_has_rows(spark, name):
     assert entry.queries()[name](spark, SF_DIR).limit(1).count() == 1
 
@@ -44,7 +45,7 @@ WITH_PYTHON = {
 TRAINING = {"train_text_clf", "tune_text_clf", "score_text_clf"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - TRAINING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - TRAINING))
 def test_plan(spark, name):
     plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
