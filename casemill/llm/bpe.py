@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from casemill.llm.common import map_chunks
+from casemill.llm.common import map_chunks, per_process
 
 # The pre-split of byte-level BPE and its bytes that are printed as themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [(33, 126), (161, 172), (174, 255)]
 
-#: Words and arcs that a task remembers before it starts anew.
+#: Words and arcs that a worker process remembers before it starts anew.
 REMEMBERED = 300_000
 
 
@@ -192,7 +192,7 @@ def bpe_round_trip(df: DataFrame, file: str, key: str = "doc_id", text: str = "t
     more = ", ids binary, decoded string" if tokens else ""
 
     def make():
-        codec = Codec(file)
+        codec = per_process(("codec", file), lambda: Codec(file))
 
         def work(batch):
             ids = [codec.encode(t) for t in pc.fill_null(batch.column("_text"), "").to_pylist()]

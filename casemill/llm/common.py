@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from casemill.workdir import materialize
+from casemill.workdir import fresh_path, materialize
 
 #: Bytes of text that a task works on at once.
 CHUNK = 2 << 20
 
-__all__ = ["CHUNK", "chunks", "crc_fold", "map_chunks", "materialize", "text_bytes"]
+__all__ = ["CHUNK", "chunks", "crc_fold", "map_chunks", "materialize", "per_process", "store", "text_bytes"]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -49,8 +49,26 @@ def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
     return df.mapInArrow(run, kind)
 
 
+def per_process(name, make):
+    """What ``make`` returns, made once in a Python worker process and kept for its later tasks."""
+    import sys
+    from types import ModuleType
+
+    kept = sys.modules.setdefault("casemill_worker", ModuleType("casemill_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def crc_fold(doc_id, folds: int = 5):
     """The fold of a row: crc32 of its id as text, modulo ``folds``."""
     from pyspark.sql import functions as F
 
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialize``, for wide binary rows: written with a denser compression."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from casemill.llm.bpe import bpe_round_trip
+from casemill.llm.packing import pack_documents
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +25,11 @@ def tokenizer(name):
     return public_tokenizers.path(name)
 
 
+@query
+def op4_pack_concat(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 @query
 def op10_bpe_automaton(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
