@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from casemill.llm.bpe import bpe_round_trip
+from casemill.llm.common import crc_fold, store
+from casemill.llm.language import fit_language, identify_language
 from casemill.llm.packing import pack_documents
+from casemill.llm.quality import THRESHOLD, document_statistics, fit_quality, score_statistics
+from casemill.llm.secrets import scan_secrets
 
 QUERIES = {}
 ORACLES = {}
@@ -25,11 +31,33 @@ def tokenizer(name):
     return public_tokenizers.path(name)
 
 
+@query
+def op1_language_svm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(docs.filter(crc_fold(F.col("doc_id")) != 0))
+    scored = identify_language(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_secret_automaton(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_pack_concat(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op9_quality_fourier(spark, sf_dir):
+    stats = store(document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    held_out = crc_fold(F.col("doc_id")) == 0
+    model = fit_quality(stats.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = score_statistics(stats, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op10_bpe_automaton(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
