@@ -9,7 +9,9 @@ from casemill.llm.common import crc_fold, store
 from casemill.llm.language import fit_language, identify_language
 from casemill.llm.packing import pack_documents
 from casemill.llm.quality import THRESHOLD, document_statistics, fit_quality, score_statistics
+from casemill.llm.phrases import remove_repeated_words
 from casemill.llm.secrets import scan_secrets
+from casemill.llm.suffixes import remove_repeated_bytes
 
 QUERIES = {}
 ORACLES = {}
@@ -39,6 +41,11 @@ def op1_language_svm(spark, sf_dir):
     return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_phrase_automata(spark, sf_dir):
+    return remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_secret_automaton(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -49,6 +56,11 @@ def op4_pack_concat(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op7_prefix_free_parsing(spark, sf_dir):
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_quality_fourier(spark, sf_dir):
     stats = store(document_statistics(table(spark, sf_dir, "documents")), "statistics")

@@ -31,27 +31,55 @@ def mix(x):
 _BYTE = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _GOLDEN)
 
 
-def byte_symbols(data: bytes):
+#: Odd multipliers, one for each doubling.
+_TURN = mix((np.arange(64, dtype=np.uint64) + _U(101)) * _GOLDEN) | _U(1)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLOCK = 1 << 20
+
+
+def byte_symbols(data: bytes) -> np.ndarray:
+    """A symbol for each byte."""
     return _BYTE[np.frombuffer(data, dtype=np.uint8)]
 
 
+def word_symbols(data: bytes) -> np.ndarray:
+    """A symbol for each word, that is, each run of bytes other than white space (9 to 13, and 32)."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + _BLOCK
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        part = np.frombuffer(data, dtype=np.uint8, count=min(end, len(data)) - at, offset=at)
+        at = end
+        inside = np.flatnonzero(~_SPACE[part])
+        if not len(inside):
+            continue
+        new = np.concatenate([[True], np.diff(inside) > 1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(inside)))
+        place = np.arange(len(inside)) - np.repeat(starts, sizes)
+        powers = np.cumprod(np.full(int(sizes.max()), _TURN[60]))
+        out.append(mix(np.add.reduceat(_BYTE[part[inside]] * powers[place], starts) + sizes.astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
 def _spans(base, lengths):
-    """Hashes of all runs of each length (ascending), by doubling: run 2L = run L and the next run L."""
-    out, level, size = {}, base, 1
-    ladder = {1: base}
+    """Hashes of all runs of each length, by doubling: run 2L = run L and the next run L."""
+    out, size, ladder = {}, 1, {1: base}
     while size * 2 <= max(lengths):
+        level = ladder[size]
         n = max(len(level) - size, 0)
-        level = mix(level[:n] * _GOLDEN + level[size : size + n] + _U(size))
+        ladder[size * 2] = level[:n] * _TURN[size.bit_length()] + level[size : size + n]
         size *= 2
-        ladder[size] = level
     for want in lengths:
         at, acc, n = 0, None, max(len(base) - want + 1, 0)
         for size in sorted(ladder, reverse=True):
             if want & size:
                 part = ladder[size][at : at + n]
-                acc = part if acc is None else mix(acc * _GOLDEN + part + _U(at))
+                acc = part if acc is None else acc * _TURN[40 + size.bit_length()] + part
                 at += size
-        out[want] = acc[:n] if acc is not None else base[:0]
+        out[want] = acc
     return out
 
 
@@ -80,7 +108,7 @@ class Anchored:
         if len(symbols) < width:
             return
         hashes = _spans(symbols, [gram, width])
-        grams, self.window = hashes[gram], hashes[width]
+        grams, self.window = mix(hashes[gram]), hashes[width]
         key = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         best = _sliding_min(key, width - gram + 1)[: len(self.window)]
         counts = np.maximum(lengths - width + 1, 0)
@@ -98,8 +126,29 @@ class Anchored:
         self.anchor = grams[self.place]
 
     def context(self):
-        """Two 64-bit hashes of all symbols that the windows of each run cover."""
+        """A hash of all symbols that the windows of each run cover."""
         with np.errstate(over="ignore"):
             span = (self.last - self.first).astype(np.uint64)
-            a, b = self.window[self.first], self.window[self.last]
-            return mix(a * _GOLDEN + b + span), mix((b ^ _M1) * _M2 + a + span)
+            a, b = mix(self.window[self.first]), mix(self.window[self.last] + _M1)
+            return mix(a * _GOLDEN + b + span)
+
+
+def anchored(sequences, width: int, gram: int, size: int = 1 << 17):
+    """``Anchored`` of many sequences, in groups of about ``size`` symbols; a long one is cut into windows'
+    starts of ``size`` each. Yields it with, for each of its sequences, the index and the first symbol's place."""
+    group, lengths, index, places, held = [], [], [], [], 0
+    for i, symbols in enumerate(sequences):
+        if len(symbols) < width:
+            continue
+        for at in range(0, len(symbols) - width + 1, size):
+            part = symbols[at : at + size + width - 1]
+            group.append(part)
+            lengths.append(len(part))
+            index.append(i)
+            places.append(at)
+            held += len(part)
+            if held >= size:
+                yield Anchored(np.concatenate(group), lengths, width, gram), np.array(index), np.array(places)
+                group, lengths, index, places, held = [], [], [], [], 0
+    if group:
+        yield Anchored(np.concatenate(group), lengths, width, gram), np.array(index), np.array(places)
