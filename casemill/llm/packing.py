@@ -156,7 +156,8 @@ def pack_documents(
     totals = ids.groupBy("_part").agg(F.sum("_n").alias("_total"))
     order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of pass one
     bases = totals.select("_part", F.coalesce(F.sum("_total").over(order), F.lit(0)).alias("_base"))
-    placed = ids.join(bases, "_part").select("_key", "_base", "_before", "_n", "_ids")
+    # Two numbers for each task of pass one: that bounds what is broadcast, and the ids stay where they are.
+    placed = ids.join(F.broadcast(bases), "_part").select("_key", "_base", "_before", "_n", "_ids")
     out = map_chunks(
         placed,
         "_ids",
