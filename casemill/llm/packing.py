@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from casemill.llm.common import map_chunks, per_process, store
 
 #: Words that a worker process remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: A letter of Latin-1 stays one letter under NFC and lower case, so a closing mark stands apart from it.
 MARKS = frozenset(",.;:!?")
 
