@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casemill.llm.bpe import bpe_round_trip
 from casemill.llm.common import crc_fold, store
 from casemill.llm.language import fit_language, identify_language
+from casemill.llm.minhash import near_duplicates
 from casemill.llm.packing import pack_documents
 from casemill.llm.quality import THRESHOLD, document_statistics, fit_quality, score_statistics
 from casemill.llm.phrases import remove_repeated_words
@@ -61,6 +62,11 @@ def op7_prefix_free_parsing(spark, sf_dir):
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_circulant_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 @query
 def op9_quality_fourier(spark, sf_dir):
     stats = store(document_statistics(table(spark, sf_dir, "documents")), "statistics")
