@@ -16,7 +16,7 @@ from casemill.workdir import fresh_path, materialize
 #: Bytes of text that a task works on at once.
 CHUNK = 2 << 20
 
-__all__ = ["CHUNK", "chunks", "crc_fold", "map_chunks", "materialize", "per_process", "store", "text_bytes"]
+__all__ = ["CHUNK", "chunks", "crc_fold", "has_direction", "map_chunks", "map_groups", "materialize", "per_process", "store", "text_bytes"]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -72,3 +72,47 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of each group, a RecordBatch in ``order``, which returns columns by name or None.
+
+    Groups are made small by their keys; a task holds one of them at a time.
+    """
+    kind: StructType = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            out = fn(whole[0]) if whole else None
+            if out is not None:
+                return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_pylist() for k in keys]
+            rows = list(zip(*columns))
+            cuts = [i for i in range(1, len(rows)) if rows[i] != rows[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+                if held and rows[a] != last and (out := done()) is not None:
+                    yield out
+                if rows[a] != last:
+                    held, last = [], rows[a]
+                held.append(batch.slice(a, b - a))
+        if held and (out := done()) is not None:
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+
+
+def has_direction(column):
+    """Is an array of numbers a vector with a direction: no null, none that is not finite, not all zero?"""
+    from pyspark.sql import functions as F
+
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return column.isNotNull() & F.coalesce(F.forall(column, number) & F.exists(column, lambda x: x != 0), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casemill.llm.bpe import bpe_round_trip
 from casemill.llm.common import crc_fold, store
+from casemill.llm.descent import link_vectors
 from casemill.llm.language import fit_language, identify_language
 from casemill.llm.minhash import near_duplicates
 from casemill.llm.packing import pack_documents
@@ -57,6 +58,11 @@ def op4_pack_concat(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op6_nn_descent(spark, sf_dir):
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_prefix_free_parsing(spark, sf_dir):
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
