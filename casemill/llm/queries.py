@@ -11,6 +11,7 @@ from casemill.llm.language import fit_language, identify_language
 from casemill.llm.minhash import near_duplicates
 from casemill.llm.packing import pack_documents
 from casemill.llm.quality import THRESHOLD, document_statistics, fit_quality, score_statistics
+from casemill.llm.partitions import search_vectors
 from casemill.llm.phrases import remove_repeated_words
 from casemill.llm.secrets import scan_secrets
 from casemill.llm.suffixes import remove_repeated_bytes
@@ -58,6 +59,11 @@ def op4_pack_concat(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op5_learned_partitions(spark, sf_dir):
+    return search_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op6_nn_descent(spark, sf_dir):
     return link_vectors(table(spark, sf_dir, "embeddings"))
