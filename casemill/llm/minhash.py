@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from casemill.llm.common import map_chunks, materialize, store, text_bytes
 from casemill.llm.graphs import components
-from casemill.llm.repeats import LAST, numbered, packed
+from casemill.llm.repeats import LAST, numbered, packed, text_hash
 from casemill.llm.windows import mix, word_symbols
 
 #: Documents of one block; and how likely two linked ones may miss each other in all bands.
@@ -61,7 +61,19 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` with one document of each group of near duplicates: the first in the order of keys. Of rows
+    with one key and one text, one stays. Documents without words stay."""
+    best = near_duplicates(df, key, text, size, percent).filter("stands")
+    order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
+    best = best.select(order.alias("_order"), F.col("text_hash").alias("_hash")).distinct()
+    marked = df.withColumns({"_order": order, "_hash": text_hash(F.col(text))})
+    return marked.join(best, ["_order", "_hash"], "left_semi").dropDuplicates(["_order", "_hash"]).select(*(f"`{c}`" for c in df.columns))
+
+
 def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    docs = docs.withColumn("text_hash", text_hash(F.col("_text")))
+
     def make():
         def work(batch):
             sets = [shingles(t, size) for t in text_bytes(batch.column("_text"))]
@@ -83,12 +95,13 @@ def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 "p": prints[:, 0],
                 "q": prints[:, 1],
                 "bands": keys,
+                "text_hash": batch.column("text_hash"),
             }
 
         return work
 
     kind = dict(docs.dtypes)["_key"]
-    return map_chunks(docs, "_text", make, f"_key {kind}, _doc long, _copy int, n_shingles long, p long, q long, bands array<long>")
+    return map_chunks(docs, "_text", make, f"_key {kind}, _doc long, _copy int, n_shingles long, p long, q long, bands array<long>, text_hash long")
 
 
 def linked(a: int, b: int, common, percent: int):
@@ -196,7 +209,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     """Group documents by links: their sets of shingles of ``size`` words share ``percent`` of their union or more.
 
     One row for each row: ``key``, ``n_shingles``, ``component_id`` (the smallest key reachable by links, the own
-    included) and ``kept`` (``key`` is that). Words are runs of bytes other than 9 to 13 and 32, A to Z in
+    included), ``kept`` (``key`` is that), ``stands`` (it is the group's first document; of one key, that with the
+    smallest hash) and ``text_hash``. Words are runs of bytes other than 9 to 13 and 32, A to Z in
     lower case. Fewer words than ``size`` are one shingle. A null or empty text, or one without words, has an empty
     set and links with nothing. A null key counts as the largest; repeated keys are documents each, with
     one component. Links are confirmed on whole sets; the bands miss a pair at the limit with probability
@@ -228,11 +242,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         links = _across(open_keys, large, links, size, percent)
     labels = components(links)
     grouped = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = grouped.groupBy("label").agg(F.min("_doc").alias("component"))
-    named = grouped.join(smallest, "label").select("p", "q", "n_shingles", "component")
-    out = sketches.join(named, ["p", "q", "n_shingles"], "left").withColumn("component", F.coalesce("component", "_doc"))
+    smallest = grouped.groupBy("label").agg(F.min(F.struct("_doc", "_copy")).alias("head"))
+    named = grouped.join(smallest, "label").select("p", "q", "n_shingles", "head")
+    out = sketches.join(named, ["p", "q", "n_shingles"], "left").withColumn("component", F.coalesce("head._doc", "_doc"))
+    first = F.col("head").isNull() | ((F.col("_doc") == F.col("head._doc")) & (F.col("_copy") == F.col("head._copy")))
     kind = dict(df.dtypes)[key]
     component = F.when(F.col("component") != LAST, F.col("component")).cast(kind)
     return out.select(
-        F.col("_key").alias(key), "n_shingles", component.alias("component_id"), (F.col("_doc") == F.col("component")).alias("kept")
+        F.col("_key").alias(key), "n_shingles", component.alias("component_id"), (F.col("_doc") == F.col("component")).alias("kept"), first.alias("stands"), "text_hash"
     )

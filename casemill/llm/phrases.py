@@ -8,6 +8,7 @@ from hashlib import sha256
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from casemill.llm.repeats import marked, numbered, removed, repeated_ranges
 from casemill.llm.windows import word_symbols
@@ -63,17 +64,19 @@ def locate_repeats(width: int):
     return resolve
 
 
-def remove_repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20, gram: int = 8, texts: bool = False) -> DataFrame:
+def remove_repeated_words(
+    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20, gram: int = 8, texts: bool = False, carry: list[str] | tuple = ()
+) -> DataFrame:
     """Remove each word that is covered by a window of ``width`` words which also starts earlier, in a document with a
     smaller key or before in the same; windows are judged on the input.
 
     Columns: ``key``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space); with ``texts``
-    also ``kept``: the words that are left, with the white space before each (the first word has none), or
-    null for a null text. Words are runs of bytes other than 9 to 13 and 32. A null or empty text has none.
+    also ``kept``: the words that are left, with the white space before each (the first word has none; a text
+    that loses nothing stays as it is); and the columns ``carry``. Words are runs of bytes other than 9 to 13 and 32. A null or empty text has none.
     Every row gives a row. A null key counts as the last; rows of one key with several texts are ordered by
     hashes of the texts; rows of one key and one text are one document, and each gets its result.
     """
-    docs = numbered(df, key, text)
+    docs = numbered(df, key, text, carry)
     ranges = repeated_ranges(docs, word_symbols, _slicer, locate_repeats(width), width, gram, 4000)
 
     def make():
@@ -93,7 +96,8 @@ def remove_repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text"
         return work
 
     schema = "n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
-    return removed(docs, ranges, make, schema).withColumnRenamed("_key", key)
+    out = removed(docs, ranges, make, schema)
+    return out.select(F.col("_key").alias(key), "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []), *(["_rest.*"] if carry else []))
 
 
 def kept_text(data: bytes, cut: np.ndarray) -> bytes:

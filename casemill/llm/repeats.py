@@ -29,17 +29,24 @@ LAST = 2**63 - 1
 CROWD, HOT = 16, 400
 
 
-def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``_doc`` and ``_copy`` that identify the document, ``_text``."""
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def numbered(df: DataFrame, key: str, text: str, carry: list[str] | tuple = ()) -> DataFrame:
+    """``_key``, ``_doc`` and ``_copy`` that identify the document, ``_text``, and the columns ``carry`` as ``_rest``."""
     docs = df.select(
-        F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_doc"), F.col(text).alias("_text")
+        F.col(key).alias("_key"),
+        F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_doc"),
+        F.col(text).alias("_text"),
+        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_rest")] if carry else []),
     )
     again = docs.groupBy("_doc").count().filter("count > 1").select("_doc")
-    marks = docs.select("_doc", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_mark")).join(again, "_doc", "left_semi").distinct()
+    marks = docs.select("_doc", text_hash(F.col("_text")).alias("_mark")).join(again, "_doc", "left_semi").distinct()
     copies = marks.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc").orderBy("_mark")) - 1)
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    marked = docs.withColumn("_mark", text_hash(F.col("_text")))
     return marked.join(copies, ["_doc", "_mark"], "left").select(
-        "_key", "_doc", F.coalesce("_copy", F.lit(0)).cast("int").alias("_copy"), "_text"
+        "_key", "_doc", F.coalesce("_copy", F.lit(0)).cast("int").alias("_copy"), "_text", *(["_rest"] if carry else [])
     )
 
 
@@ -253,16 +260,16 @@ def marked(ranges, n: int) -> np.ndarray:
 
 def removed(docs: DataFrame, ranges: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Apply ``work(key column, texts, ranges)`` to all documents, each with the ranges that are removed from it."""
-    kind = dict(docs.dtypes)["_key"]
-    joined = packed(docs).join(ranges, ["_doc", "_copy"], "left").select("_key", "_data", "_ranges")
+    same = [(n, t) for n, t in docs.dtypes if n in ("_key", "_rest")]
+    joined = packed(docs).join(ranges, ["_doc", "_copy"], "left").select(*(n for n, _ in same), "_data", "_ranges")
 
     def start():
         unpress, work = zstandard.ZstdDecompressor(), make()
 
         def run(batch):
             texts = [unpress.decompress(x) for x in batch.column("_data").to_pylist()]
-            return {"_key": batch.column("_key")} | work(texts, batch.column("_ranges").to_pylist())
+            return {n: batch.column(n) for n, _ in same} | work(texts, batch.column("_ranges").to_pylist())
 
         return run
 
-    return map_chunks(joined, "_data", start, f"_key {kind}, {schema}")
+    return map_chunks(joined, "_data", start, ", ".join(f"{n} {t}" for n, t in same) + f", {schema}")

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from casemill.llm.automata import BREAK, Nfa, Scanner, compile_rules
 from casemill.llm.common import map_chunks, text_bytes
@@ -112,11 +113,13 @@ def redacted(data: bytes, spans, rules, mark: str = "<{}>") -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def scan_secrets(df: DataFrame, rules=BASE_RULES + MORE_RULES, key: str = "doc_id", text: str = "text", redact: bool = False) -> DataFrame:
+def scan_secrets(
+    df: DataFrame, rules=BASE_RULES + MORE_RULES, key: str = "doc_id", text: str = "text", redact: bool = False, carry: list[str] | tuple = ()
+) -> DataFrame:
     """Spans of secrets in each whole text, one row for each row: ``key``, ``n_<kind>`` for each base
     kind, ``base_sha256`` (of the base spans as ``spans`` writes them), and ``spans``: ``kind:start:end`` by
     start and order of the rules, comma-joined, in code points. With ``redact`` also ``redacted``, the
-    text without its secrets (a null stays null).
+    text without its secrets (a null stays null); and the columns ``carry``.
 
     A null or empty text has no spans. Repeated rows and null keys each give a row. No shuffle.
     """
@@ -141,10 +144,13 @@ def scan_secrets(df: DataFrame, rules=BASE_RULES + MORE_RULES, key: str = "doc_i
             if redact:
                 nulls = batch.column("_text").is_null().to_pylist()
                 out["redacted"] = [None if n else redacted(d, s, rules) for n, d, s in zip(nulls, texts, rows)]
-            return out
+            return out | ({"_rest": batch.column("_rest")} if carry else {})
 
         return work
 
-    rows = df.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_rest")] if carry else []
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *rest)
     schema = f"_key {kind}, " + ", ".join(f"{n} long" for n in counts) + ", base_sha256 string, spans string"
-    return map_chunks(rows, "_text", make, schema + (", redacted string" if redact else "")).withColumnRenamed("_key", key)
+    schema += (", redacted string" if redact else "") + (f", _rest {dict(rows.dtypes)['_rest']}" if carry else "")
+    out = map_chunks(rows, "_text", make, schema)
+    return out.select(F.col("_key").alias(key), *counts, "base_sha256", "spans", *(["redacted"] if redact else []), *(["_rest.*"] if carry else []))
