@@ -67,8 +67,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     best = near_duplicates(df, key, text, size, percent).filter("stands")
     order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     best = best.select(order.alias("_order"), F.col("text_hash").alias("_hash")).distinct()
-    marked = df.withColumns({"_order": order, "_hash": text_hash(F.col(text))})
-    return marked.join(best, ["_order", "_hash"], "left_semi").dropDuplicates(["_order", "_hash"]).select(*(f"`{c}`" for c in df.columns))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), order.alias("_order"), text_hash(F.col(text)).alias("_hash"))
+    return rows.join(best, ["_order", "_hash"], "left_semi").dropDuplicates(["_order", "_hash"]).select("row.*")
 
 
 def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:

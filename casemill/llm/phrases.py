@@ -72,7 +72,7 @@ def remove_repeated_words(
 
     Columns: ``key``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space); with ``texts``
     also ``kept``: the words that are left, with the white space before each (the first word has none; a text
-    that loses nothing stays as it is); and the columns ``carry``. Words are runs of bytes other than 9 to 13 and 32. A null or empty text has none.
+    that loses nothing stays as it is); and ``carried``, a struct of the columns ``carry``. Words are runs of bytes other than 9 to 13 and 32. A null or empty text has none.
     Every row gives a row. A null key counts as the last; rows of one key with several texts are ordered by
     hashes of the texts; rows of one key and one text are one document, and each gets its result.
     """
@@ -97,7 +97,7 @@ def remove_repeated_words(
 
     schema = "n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
     out = removed(docs, ranges, make, schema)
-    return out.select(F.col("_key").alias(key), "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []), *(["_rest.*"] if carry else []))
+    return out.select(F.col("_key").alias(key), "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []), *([F.col("_rest").alias("carried")] if carry else []))
 
 
 def kept_text(data: bytes, cut: np.ndarray) -> bytes:

@@ -119,7 +119,7 @@ def scan_secrets(
     """Spans of secrets in each whole text, one row for each row: ``key``, ``n_<kind>`` for each base
     kind, ``base_sha256`` (of the base spans as ``spans`` writes them), and ``spans``: ``kind:start:end`` by
     start and order of the rules, comma-joined, in code points. With ``redact`` also ``redacted``, the
-    text without its secrets (a null stays null); and the columns ``carry``.
+    text without its secrets (a null stays null); and ``carried``, a struct of the columns ``carry``.
 
     A null or empty text has no spans. Repeated rows and null keys each give a row. No shuffle.
     """
@@ -153,4 +153,4 @@ def scan_secrets(
     schema = f"_key {kind}, " + ", ".join(f"{n} long" for n in counts) + ", base_sha256 string, spans string"
     schema += (", redacted string" if redact else "") + (f", _rest {dict(rows.dtypes)['_rest']}" if carry else "")
     out = map_chunks(rows, "_text", make, schema)
-    return out.select(F.col("_key").alias(key), *counts, "base_sha256", "spans", *(["redacted"] if redact else []), *(["_rest.*"] if carry else []))
+    return out.select(F.col("_key").alias(key), *counts, "base_sha256", "spans", *(["redacted"] if redact else []), *([F.col("_rest").alias("carried")] if carry else []))

@@ -17,7 +17,8 @@ def quality(spark, docs, sf_dir):
     """Documents that the classifier does not reject. It learns from the labels outside the held-out fold."""
     stats = store(document_statistics(docs.filter(crc_fold(F.col("doc_id")) != 0)), "statistics")
     model = fit_quality(stats, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, column="_quality").filter(F.col("_quality") >= THRESHOLD).drop("_quality")
+    score = "score_" + "_".join(docs.columns)  # a name that no column has
+    return score_quality(docs, model, column=score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -27,9 +28,10 @@ def near_dedup(spark, docs, sf_dir):
 
 def _with_text(found, docs, text):
     """The columns of ``docs`` with a new text and its length; a null text stays null."""
-    new = F.when(F.col("text").isNotNull(), F.col(text))
-    columns = {"text": new, "n_chars": F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars"))}
-    return found.select(*((columns[c].cast(t) if c in columns else F.col(f"`{c}`")).alias(c) for c, t in docs.dtypes))
+    where = {c: f"carried.`{c}`" for c in docs.columns} | {"doc_id": "doc_id"}
+    new = F.when(F.col("carried.text").isNotNull(), F.col(text))
+    columns = {"text": new, "n_chars": F.when(new.isNotNull(), F.length(new)).otherwise(F.col("carried.n_chars"))}
+    return found.select(*((columns[c].cast(t) if c in columns else F.col(where[c])).alias(c) for c, t in docs.dtypes))
 
 
 def substring_dedup(spark, docs, sf_dir):
