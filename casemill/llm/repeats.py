@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.common import chunks, map_chunks, store, text_bytes
+from casemill.llm.common import chunks, map_chunks, materialize, store, text_bytes
 from casemill.llm.windows import anchored
 
 LAST = 2**63 - 1
@@ -43,10 +43,13 @@ def numbered(df: DataFrame, key: str, text: str, carry: list[str] | tuple = ())
     )
     again = docs.groupBy("_doc").count().filter("count > 1").select("_doc")
     marks = docs.select("_doc", text_hash(F.col("_text")).alias("_mark")).join(again, "_doc", "left_semi").distinct()
-    copies = marks.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc").orderBy("_mark")) - 1)
+    copies = materialize(marks.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc").orderBy("_mark")) - 1), "copies")
+    rest = ["_rest"] if carry else []
+    if copies.isEmpty():  # no key comes twice, so no text has to move
+        return docs.select("_key", "_doc", F.lit(0).alias("_copy"), "_text", *rest)
     marked = docs.withColumn("_mark", text_hash(F.col("_text")))
     return marked.join(copies, ["_doc", "_mark"], "left").select(
-        "_key", "_doc", F.coalesce("_copy", F.lit(0)).cast("int").alias("_copy"), "_text", *(["_rest"] if carry else [])
+        "_key", "_doc", F.coalesce("_copy", F.lit(0)).cast("int").alias("_copy"), "_text", *rest
     )
 
 
