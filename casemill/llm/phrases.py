@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from casemill.llm.repeats import marked, numbered, removed, repeated_ranges
 from casemill.llm.windows import word_symbols
 
+#: Surroundings of one anchor that a shard takes together.
+HOT = 400
+
 
 def _slicer(data: bytes):
     words = data.split()  # bytes 9 to 13 and 32
@@ -77,7 +80,7 @@ def remove_repeated_words(
     hashes of the texts; rows of one key and one text are one document, and each gets its result.
     """
     docs = numbered(df, key, text, carry)
-    ranges = repeated_ranges(docs, word_symbols, _slicer, locate_repeats(width), width, gram, 4000)
+    ranges = repeated_ranges(docs, word_symbols, _slicer, locate_repeats(width), width, gram, 4000, HOT)
 
     def make():
         def work(data, ranges):

@@ -25,8 +25,8 @@ from casemill.llm.common import chunks, map_chunks, materialize, store, text_byt
 from casemill.llm.windows import anchored
 
 LAST = 2**63 - 1
-#: Surroundings of one anchor in a chunk, or in the corpus, from which they are dealt out one by one.
-CROWD, HOT = 16, 400
+#: Surroundings of one anchor in a chunk from which they are dealt out one by one.
+CROWD = 16
 
 
 def text_hash(text):
@@ -165,9 +165,9 @@ def _settled(occurrences: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _slices(docs: DataFrame, open_ends: DataFrame, slicer, width: int) -> DataFrame:
+def _slices(docs: DataFrame, open_ends: DataFrame, slicer, width: int, crowd: int) -> DataFrame:
     """The text of each surroundings, under its anchor; of a hot anchor, of each window under a hash of it."""
-    hot = open_ends.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = open_ends.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor", F.lit(True).alias("hot"))
     wanted = open_ends.join(hot, "anchor", "left")
     listed = wanted.groupBy("_doc", "_copy").agg(
         F.collect_list(F.struct("anchor", "first", "last", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_wanted")
@@ -236,17 +236,17 @@ def _told_apart(slices: DataFrame, resolve, width: int, limit: int) -> DataFrame
     return rows.mapInArrow(run, "_doc long, _copy int, first long, last long")
 
 
-def repeated_ranges(docs: DataFrame, symbols, slicer, resolve: Callable, width: int, gram: int, limit: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, symbols, slicer, resolve: Callable, width: int, gram: int, limit: int, hot: int) -> DataFrame:
     """``_doc``, ``_copy``, ``_ranges``: of each document with repeats, the ranges of symbols to remove.
 
     ``symbols`` makes hashes of a text's symbols and ``slicer`` a function that returns the bytes of a range
     of them. ``resolve(items, seen)`` gets slices ``(group, doc, copy, first, last, bytes)`` in order, and the
     windows of the first group that came before; it returns for each the ranges that repeat, counted
-    from ``first``, and its windows.
+    from ``first``, and its windows. An anchor with more than ``hot`` surroundings is dealt out by single windows.
     """
     settled = store(_settled(_occurrences(docs, symbols, width, gram), width), "settled")
     open_ends = settled.filter(~F.col("gone")).select("anchor", "_doc", "_copy", "first", "last")
-    found = _told_apart(_slices(docs, open_ends, slicer, width), resolve, width, limit)
+    found = _told_apart(_slices(docs, open_ends, slicer, width, hot), resolve, width, limit)
     gone = settled.filter("gone").select("_doc", "_copy", "first", "last").unionByName(found)
     return gone.groupBy("_doc", "_copy").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
 

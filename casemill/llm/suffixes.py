@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from casemill.llm.repeats import marked, numbered, removed, repeated_ranges
 from casemill.llm.windows import byte_symbols
 
+#: Phrases of one trigger that a shard takes together.
+HOT = 4000
+
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of all suffixes by their first ``depth`` bytes, by doubling; equal beginnings have equal ranks.
@@ -83,7 +86,7 @@ def remove_repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text"
     by hashes of the texts; rows of one key and one text are one document, and each gets its result.
     """
     docs = numbered(df, key, text)
-    ranges = repeated_ranges(docs, byte_symbols, lambda data: lambda a, b: data[a:b], sort_suffixes(width), width, gram, 30_000)
+    ranges = repeated_ranges(docs, byte_symbols, lambda data: lambda a, b: data[a:b], sort_suffixes(width), width, gram, 30_000, HOT)
 
     def make():
         def work(data, ranges):

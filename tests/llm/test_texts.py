@@ -9,7 +9,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from casemill.llm import minhash, repeats
+from casemill.llm import minhash, phrases, repeats, suffixes
 from casemill.llm.bpe import Codec, bpe_round_trip
 from casemill.llm.minhash import keep_one, near_duplicates
 from casemill.llm.packing import pack_documents
@@ -152,7 +152,8 @@ def one_text_a_key(rows):
 @pytest.mark.parametrize("crowd", [(16, 400), (2, 3)])
 def test_repeated_words_and_bytes(spark, rows, crowd, monkeypatch):
     monkeypatch.setattr(repeats, "CROWD", crowd[0])
-    monkeypatch.setattr(repeats, "HOT", crowd[1])
+    monkeypatch.setattr(phrases, "HOT", crowd[1])
+    monkeypatch.setattr(suffixes, "HOT", crowd[1])
     rows = one_text_a_key(rows)
     df = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
     for remove, width, split, join in (
