@@ -81,16 +81,16 @@ def joined_runs(doc, copy, first, last, width):
 
 
 _OCCURRENCES = pa.schema(
-    [("_to", pa.int64()), ("_kind", pa.int8()), ("anchor", pa.int64()), ("around", pa.int64()), ("_doc", pa.int64()), ("_copy", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]
+    [("_to", pa.int64()), ("_kind", pa.int8()), ("anchor", pa.int64()), ("around", pa.int64()), ("_doc", pa.int64()), ("_copy", pa.int32()), ("first", pa.int64()), ("more", pa.int64())]
 )
-_SQL = "_to long, _kind byte, anchor long, around long, _doc long, _copy int, first long, last long"
+_SQL = "_to long, _kind byte, anchor long, around long, _doc long, _copy int, first long, more long"
 ALONE, CROWDED, MARKER, REMOVED = 0, 1, 2, 3
 
 
 def _occurrences(docs: DataFrame, symbols, width: int, gram: int) -> DataFrame:
     """A row for each anchor with its surroundings, once in a chunk: ``ALONE``, or ``CROWDED`` if the chunk has many
     surroundings of the anchor, which then also has a ``MARKER``. Later ones in the chunk are ``REMOVED``
-    ranges. ``_to`` is what the rows are dealt out by."""
+    ranges. ``_to`` is what the rows are dealt out by; ``more`` is how far the end lies behind ``first``."""
 
     def run(batches):
         for batch in chunks(batches, "_text"):
@@ -131,7 +131,7 @@ def _occurrences(docs: DataFrame, symbols, width: int, gram: int) -> DataFrame:
                             np.concatenate([doc, zero, ranges[0]]),
                             np.concatenate([copy, zero.astype(np.int32), ranges[1]]),
                             np.concatenate([first, zero, ranges[2]]),
-                            np.concatenate([last, zero, ranges[3]]),
+                            np.concatenate([last - first, zero, ranges[3] - ranges[2]]),
                         ),
                         _OCCURRENCES,
                     )
@@ -161,7 +161,7 @@ def _settled(occurrences: DataFrame, width: int) -> DataFrame:
         "_doc",
         "_copy",
         "first",
-        F.when(later, F.col("last") + width).otherwise(F.col("last")).alias("last"),
+        (F.col("first") + F.col("more") + F.when(later, width).otherwise(0)).alias("last"),
     )
 
 
