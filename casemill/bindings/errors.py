@@ -173,14 +173,17 @@ def named_predictions(spark, sf):
 
 @query(
     "confusion_matrix",
-    f"""SELECT CASE y WHEN 0 THEN 'REJECTED' ELSE 'GRANTED' END AS label, count(CASE WHEN p = 0 THEN 1 END) AS "predicted_REJECTED",
-        count(CASE WHEN p = 1 THEN 1 END) AS "predicted_GRANTED" FROM {_P} GROUP BY y""",
+    f"""SELECT label, count(CASE WHEN p = 0 THEN 1 END) AS "predicted_REJECTED", count(CASE WHEN p = 1 THEN 1 END) AS "predicted_GRANTED",
+        count(CASE WHEN p IS NULL OR p NOT IN (0, 1) THEN 1 END) AS predicted_other
+        FROM (VALUES ('REJECTED'), ('GRANTED'), ('other')) AS l(label) LEFT JOIN
+          (SELECT CASE y WHEN 0 THEN 'REJECTED' WHEN 1 THEN 'GRANTED' ELSE 'other' END AS label, p, doc_id FROM {_P}) USING (label)
+        GROUP BY label""".replace("p IS NULL OR p NOT", "doc_id IS NOT NULL AND (p IS NULL OR p NOT").replace("(0, 1) THEN", "(0, 1)) THEN"),
 )
 def _(spark, sf):
     return confusion_matrix(named_predictions(spark, sf), "label", "prediction", ["REJECTED", "GRANTED"])
 
 
-@query("misclassified", f"SELECT doc_id, y, p, text FROM {_P} WHERE y <> p")
+@query("misclassified", f"SELECT doc_id, y, p, text FROM {_P} WHERE y IS DISTINCT FROM p")
 def _(spark, sf):
     return misclassified(predictions(spark, sf).select("doc_id", "y", "p", "text"), "y", "p")
 

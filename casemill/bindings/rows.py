@@ -25,6 +25,7 @@ from casemill.operators.joins import (
     left_join_fill,
     literal_table,
     natural_outer_join,
+    salted_join,
 )
 from casemill.operators.outcomes import case_votes, duplicate_rows, duplicate_totals
 from casemill.operators.sampling import (
@@ -229,8 +230,8 @@ def _(spark, sf):
 def _(spark, sf):
     gold = labels(spark, sf).select("doc_id", F.col("quality").cast("bigint").alias("decision"))
     silver = sentences(spark, sf).withColumn("position", F.col("position").cast("bigint"))
-    stored = docs(spark, sf).select("doc_id")
-    return gold_join(silver, gold, "doc_id", hot=hot_keys(stored, ["doc_id"]))
+    stored = docs(spark, sf).select("doc_id", F.size(paragraphs(F.col("text"))).alias("_rows"))
+    return gold_join(silver, gold, "doc_id", hot=hot_keys(stored, ["doc_id"], weight=F.col("_rows")))
 
 
 @query(
@@ -254,9 +255,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     known = labels(spark, sf).select("doc_id", "quality")
+    stored = docs(spark, sf).select("doc_id", F.size(paragraphs(F.col("text"))).alias("_rows"))
+    hot = hot_keys(stored, ["doc_id"], weight=F.col("_rows"))
     main = (
-        sentences(spark, sf)
-        .join(known, "doc_id", "left")
+        salted_join(sentences(spark, sf), known, ["doc_id"], "left", hot=hot)
         .select(
             F.col("doc_id").alias("decision_id"),
             F.coalesce("quality", F.lit(2)).cast("bigint").alias("decision_outcome"),

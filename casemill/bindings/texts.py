@@ -333,13 +333,18 @@ def _(spark, sf):
 _STRIPPED = r"""regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g')"""
 
 
+# A signature with references by name and by number.
+_SIGNED = "<p>G&eacute;rard d&#39;Aub&#233;\n&#xC9;milie&nbsp;Roe</p>"
+
+
 @query(
     "last_block",
     rf"""WITH blocks AS (SELECT page_id, url, CASE WHEN regexp_matches(m, '(?i)<p\b[^>]*>')
              THEN regexp_extract(m, '(?is)^.*<p\b[^>]*>(.*?)(?:</p\s*>|\z)', 1) END AS block
-           FROM (SELECT page_id, url, {_STRIPPED} AS m FROM pages)),
-         texts AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(regexp_replace(block, '(?s)<[^>]*>', '', 'g'),
-             '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM blocks),
+           FROM (SELECT page_id, url, {_STRIPPED} AS m FROM (SELECT page_id, url, html || CASE WHEN page_id % 4 = 0 THEN '{_SIGNED}' ELSE '' END AS html FROM pages))),
+         texts AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+             regexp_replace(block, '(?s)<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
+             '&copy;', '©'), '&middot;', '·'), '&eacute;', 'é'), '&#233;', 'é'), '&#xC9;', 'É'), '&amp;', '&') AS t FROM blocks),
          lined AS (SELECT page_id, url, list_filter(list_transform(string_split(lower(t), chr(10)),
              lambda x: regexp_replace(x, '^[\s\x{{A0}}]+', '')), lambda x: x <> '') AS lines FROM texts)
          SELECT page_id, coalesce(nullif(regexp_extract(url, '/(\d{{1,6}})(?:\.html|/?$)', 1), ''), 'no_match_filename') AS decision_id,
@@ -347,7 +352,8 @@ _STRIPPED = r"""regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?<
            ELSE array_to_string(lines, '|') END AS items FROM lined""",
 )
 def _(spark, sf):
-    items = signature_items(F.col("html"), tag="p", triage="tention|lich")
+    html = F.concat("html", F.when(F.col("page_id") % 4 == 0, _SIGNED).otherwise(""))
+    items = signature_items(html, tag="p", triage="tention|lich")
     key = key_from_path(F.col("url"), r"/(\d{1,6})(?:\.html|/?$)")
     return table(spark, sf, "pages").select(
         "page_id", key.alias("decision_id"), F.array_join(items, "|").alias("items")

@@ -32,11 +32,11 @@ def tokens(text: Column, max_len: int = CASE_TOKENS) -> Column:
 
 
 def _token_stages(text, max_len):
+    """Words of the whole text, or of its beginning if the caller gives a length."""
+    kept = "_words" if max_len is None else f"slice(_words, 1, {int(max_len)})"
     return [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern="\\s+"),
-        SQLTransformer(
-            statement=f"SELECT *, slice(_words, 1, {int(max_len)}) AS _tokens FROM __THIS__"
-        ),
+        SQLTransformer(statement=f"SELECT *, {kept} AS _tokens FROM __THIS__"),
     ]
 
 
@@ -58,7 +58,7 @@ def _classifier(label, max_iter=20, reg=0.01):
 
 
 def text_pipeline(
-    text: str = "text", label: str = "labels", max_len: int = CASE_TOKENS, n_features: int = 1 << 16
+    text: str = "text", label: str = "labels", max_len: int | None = None, n_features: int = 1 << 16
 ) -> Pipeline:
     return Pipeline(
         stages=[*_token_stages(text, max_len), *_vector_stages(n_features), _classifier(label)]
@@ -79,7 +79,7 @@ def train_text_clf(
     text: str = "text",
     label: str = "labels",
     epochs: tuple[int, ...] = (5, 10, 20),
-    max_len: int = CASE_TOKENS,
+    max_len: int | None = None,
     n_features: int = 1 << 16,
     reg: float = 0.01,
 ) -> Trained:
@@ -129,7 +129,7 @@ def tune_text_clf(
     text: str = "text",
     label: str = "labels",
     folds: int = 2,
-    max_len: int = CASE_TOKENS,
+    max_len: int | None = None,
     seed: str = "0",
 ) -> Trained:
     """Search the settings for the best weighted F1; the best one is trained on all rows.

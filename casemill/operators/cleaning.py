@@ -25,7 +25,8 @@ def drop_values(df: DataFrame, column: str, values: list) -> DataFrame:
 
 
 def decided_only(df: DataFrame, outcome: str) -> DataFrame:
-    """Binary task: rows whose outcome is not the uncertain class."""
+    """Binary task: rows whose outcome is not the uncertain class. A row without an outcome is not decided
+    either and drops."""
     return df.filter(F.col(outcome) != UNCERTAIN)
 
 
@@ -40,8 +41,10 @@ def null_markers(df: DataFrame, columns: list[str], markers: list[str] = NULL_MA
 
 
 def map_values(value: Column, mapping: dict) -> Column:
-    """Replace the values named in ``mapping``; a value it lacks becomes NULL."""
-    return F.coalesce(*[F.when(value == F.lit(old), F.lit(new)) for old, new in mapping.items()])
+    """Replace the values named in ``mapping``; a value it lacks stays, as text if the new values are text."""
+    texts = any(isinstance(new, str) for new in mapping.values())
+    named = [F.when(value == F.lit(old), F.lit(new)) for old, new in mapping.items()]
+    return F.coalesce(*named, value.cast("string") if texts else value)
 
 
 def as_text_columns(df: DataFrame, columns: list[str], sep: str = ", ") -> DataFrame:

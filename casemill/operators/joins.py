@@ -5,27 +5,26 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A key is hot when it is one of the HOT_KEYS largest and has more than HOT_ROWS rows. Any other key
-# then holds at most HOT_ROWS rows or less than 1 / HOT_KEYS of all rows, and the table of hot keys
-# has at most HOT_KEYS rows at any data size, which is what bounds its broadcast.
-HOT_KEYS = 1000
+# A key is hot when it has more than HOT_ROWS rows; every such key is split. A table of n rows has at most
+# n / HOT_ROWS of them, which bounds the broadcast of the hot keys: a thousand for a billion rows.
 HOT_ROWS = 1_000_000
-MAX_SALTS = 10_000
+# Parts over which rows without a key are dealt out.
+NO_KEY_SALTS = 10_000
 
 # Lists of the caller up to this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS, weight: Column | None = None) -> DataFrame:
     """The hot keys of a table and, as ``_salts``, the number of parts each is split into.
 
-    Reads the key columns only. Pass the result to the joins when the table is stored and the rows
-    to join are derived from it, so that they are not derived twice.
+    Reads the key columns only. Pass the result to the joins when the rows to join are derived from a
+    stored table, so that they are not derived twice: ``weight`` then says how many rows a stored row
+    becomes, and the keys are counted as they will be joined.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
-    largest = counts.orderBy(F.col("_n").desc(), *on).limit(HOT_KEYS)
-    parts = F.least(F.ceil(F.col("_n") / rows), F.lit(MAX_SALTS)).cast("int")
-    return largest.select(*on, parts.alias("_salts"))
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(*on).agg(number.alias("_n")).filter(F.col("_n") > rows)
+    return counts.select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
 
 
 def present(df: DataFrame, columns: list[str]) -> Column:
@@ -39,6 +38,12 @@ def present(df: DataFrame, columns: list[str]) -> Column:
     return test
 
 
+def _without_nan(df: DataFrame, on: list[str]) -> DataFrame:
+    """NaN is no key."""
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in on if types[c] in ("double", "float")})
+
+
 def salted_join(
     many: DataFrame,
     one: DataFrame,
@@ -49,10 +54,11 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join (``inner``, ``left`` or ``full``) whose ``many`` side may have hot keys.
 
-    Rows of a hot key are spread over its salts by the task that read them, which splits copies of
-    one row too and does not change when a task is run again; the matching rows of ``one`` are
-    repeated once per salt. Rows of other keys keep salt 0. Rows without a key match nothing and
-    are spread as well. A small ``one`` side is broadcast by Spark's own size check. ``many`` is
+    Rows of a hot key are spread over its salts by their other columns and by the task that holds them,
+    which splits rows that a shuffle on the key has put together, and copies of one row over tasks; it
+    does not change when a task is run again. The matching rows of ``one`` are repeated once per
+    salt. Rows of other keys keep salt 0. Rows without a key (NULL; NaN becomes NULL on both sides)
+    match nothing and are spread as well. A small ``one`` side is broadcast by Spark's own size check. ``many`` is
     read for its keys and for its rows, and must be the same both times: no sample, no unordered
     limit.
 
@@ -65,10 +71,13 @@ def salted_join(
         raise ValueError("a salted join is an inner, a left or a full join")
     if how == "full" and hot is not None:
         raise ValueError("a full join finds its hot keys on its own")
+    many, one = _without_nan(many, on), _without_nan(one, on)
     hot = F.broadcast((hot_keys(many, on, rows) if hot is None else hot).na.drop())
     no_key = ~present(many, on)
-    salts = F.when(no_key, MAX_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
-    left = many.join(hot, on, "left").withColumn("_salt", F.pmod(F.spark_partition_id(), salts))
+    salts = F.when(no_key, NO_KEY_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    others = [F.col(f"`{c}`") for c, t in many.dtypes if c not in on and not t.startswith(("map", "variant"))]
+    spread = F.when(salts > 1, F.pmod(F.xxhash64(F.spark_partition_id(), *others), salts)).otherwise(0).cast("int")
+    left = many.join(hot, on, "left").withColumn("_salt", spread)
     right = one.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     )

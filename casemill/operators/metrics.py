@@ -8,6 +8,10 @@ from casemill.functions.arrays import argmax
 from casemill.operators.joins import literal_table
 
 
+# Row and column of the confusion matrix for what is not among its classes.
+OTHER = "other"
+
+
 def _weight(weight: str | None) -> Column:
     return F.lit(1.0) if weight is None else F.col(weight).cast("double")
 
@@ -22,10 +26,17 @@ def confusion_counts(
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: list) -> DataFrame:
-    """One row per true class in the order given, one column per predicted class, 0 where empty."""
-    pairs = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+    """One row per true class in the order given and one for all others, one column per predicted class and one
+    for all others, 0 where empty.
+
+    A label or prediction that is missing or not among ``classes`` counts as ``OTHER``, so the cells sum up to
+    the rows.
+    """
+    known = [F.when(F.col(c).isin(classes), F.col(c).cast("string")).otherwise(OTHER) for c in (label, prediction)]
+    pairs = df.groupBy(known[0].alias("label"), known[1].alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    classes = [*map(str, classes), OTHER]
 
     def cell(true, predicted):
         here = (F.col("label") == F.lit(true)) & (F.col("prediction") == F.lit(predicted))
@@ -152,4 +163,5 @@ def eval_bundle(df: DataFrame, label: str, scores: str) -> DataFrame:
 
 
 def misclassified(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    return df.filter(F.col(label) != F.col(prediction))
+    """Rows whose prediction is not the label; one that is missing is wrong, unless both are."""
+    return df.filter(~F.col(label).eqNullSafe(F.col(prediction)))

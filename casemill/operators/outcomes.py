@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casemill.operators.joins import HOT_ROWS, hot_keys
 from casemill.rules.defaults import (
@@ -17,6 +17,10 @@ from casemill.rules.defaults import (
 )
 
 
+# exp(-0.5 * z * z) is 0.0 as a double for any larger z.
+_REACH = 39.0
+
+
 def bin_score(score: Column, low: float = LOW_SCORE, high: float = HIGH_SCORE) -> Column:
     """Class of a score. The limits themselves, NaN and NULL are uncertain."""
     number = F.nanvl(score, F.lit(None).cast("double"))
@@ -83,9 +87,10 @@ def score_range(df: DataFrame, score: str) -> DataFrame:
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
     """Rows and percent of all rows (two decimals) per class; rows without a class only count in the total."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.filter(F.col(column).isNotNull()).select(
-        column, "n", F.round(F.col("n") * 100 / total, 2).alias("percent")
+    # A row for each class: the total is summed over them, not over the rows again.
+    total = counts.withColumn("_total", F.sum("n").over(Window.partitionBy()))
+    return total.filter(F.col(column).isNotNull()).select(
+        column, "n", F.round(F.col("n") * 100 / F.col("_total"), 2).alias("percent")
     )
 
 
@@ -109,8 +114,10 @@ def score_density(
 ) -> DataFrame:
     """Gaussian kernel density of a score on an even grid that extends ``cut`` bandwidths.
 
-    Equal scores are merged first. Each distinct score then adds to every grid point, which is a
-    partial sum of ``grid`` groups in every task.
+    Equal scores are merged first. A score then adds to the grid points around it: beyond ``_REACH``
+    bandwidths its kernel is 0.0 as a double, so leaving those out changes no value. What is summed are
+    ``grid`` groups in every task. With fewer than two different scores there is no bandwidth: the points
+    come with NULL.
     """
     scores = df.select(F.col(score).cast("double").alias("x")).filter(
         F.col("x").isNotNull() & ~F.isnan("x")
@@ -125,15 +132,24 @@ def score_density(
         )
     ).scalar()
     merged = scores.groupBy("x").agg(F.count(F.lit(1)).alias("weight"))
-    points = merged.select(
-        "x", "weight", stats.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
+    step = (F.col("s.high") - F.col("s.low")) / (grid - 1)
+    at = F.col("s.low") + F.col("point") * step
+    near = [
+        F.try_divide(F.col("x") + side * _REACH * F.col("s.h") - F.col("s.low"), step) for side in (-1, 1)
+    ]
+    first = F.coalesce(F.greatest(F.floor(near[0]), F.lit(0)), F.lit(0)).cast("int")
+    last = F.coalesce(F.least(F.ceil(near[1]), F.lit(grid - 1)), F.lit(grid - 1)).cast("int")
+    points = merged.select("x", "weight", stats.alias("s")).select(
+        "x", "weight", "s", F.explode(F.sequence(first, last)).alias("point")
     )
-    at = F.col("s.low") + F.col("point") * (F.col("s.high") - F.col("s.low")) / (grid - 1)
-    kernel = F.exp(-0.5 * F.pow((at - F.col("x")) / F.col("s.h"), 2))
-    sums = points.groupBy("point").agg(
-        F.sum(F.col("weight") * kernel).alias("_sum"),
-        F.any_value(at).alias("score"),
-        F.any_value(F.col("s.n") * F.col("s.h")).alias("_width"),
+    kernel = F.exp(-0.5 * F.pow(F.try_divide(at - F.col("x"), F.col("s.h")), 2))
+    sums = points.groupBy("point").agg(F.sum(F.col("weight") * kernel).alias("_sum"))
+    # Every point has a row, also one that no score reaches; without a score there is none.
+    every = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("point"), stats.alias("s"))
+    norm = F.col("s.n") * F.col("s.h") * F.sqrt(F.lit(2.0) * F.pi())
+    total = F.when(F.col("s.h").isNotNull(), F.coalesce("_sum", F.lit(0.0)))
+    return (
+        every.filter(F.col("s.n") > 0)
+        .join(sums, "point", "left")
+        .select("point", at.alias("score"), F.try_divide(total, norm).alias("density"))
     )
-    norm = F.col("_width") * F.sqrt(F.lit(2.0) * F.pi())
-    return sums.select("point", "score", (F.col("_sum") / norm).alias("density"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from casemill.functions.keys import hash_bucket, key_hash
 from casemill.rules.defaults import MINORITY_COPIES, TEST_SHARE
+from casemill.workdir import materialize
 
-# Hex digits that group the hashes of an exact split: 16^4 groups at any data size.
-_PREFIX = 4
+# Hex digits by which the search for the border of an exact split goes on, and the hashes it then ranks.
+_STEP, _RANKED = 4, 100_000
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: str = "0") -> DataFrame:
@@ -34,30 +35,25 @@ def split_exact(
 ) -> DataFrame:
     """Add ``split``: the first ``int(test_share * n)`` rows in hash order are ``test``.
 
-    ``keys`` identify a row. The hash where the test part ends is found from row counts per hash
-    prefix (a fixed number of them) and the order of the hashes in the one prefix that holds it,
-    so no row is moved and no task sees more than that prefix.
+    ``keys`` identify a row; rows of one key stay together, so a key that repeats at the border can make
+    the test part larger. The hashes are stored once. The hash where the test part ends is found from
+    row counts per prefix (65,536 at most), again within the prefix that holds it, and so on until that
+    one is small at any data size; its hashes alone are ranked. No row is moved.
     """
     hashed = key_hash(seed, [F.col(k) for k in keys])
-    prefix = F.substring(F.col("_h"), 1, _PREFIX)
-    hashes = df.select(hashed.alias("_h"))
-    per_prefix = hashes.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    running = per_prefix.select(
-        "_p",
-        "_n",
-        F.sum("_n").over(Window.orderBy("_p")).alias("_upto"),
-        F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(test_share)).cast("bigint").alias("_size"),
-    )
-    before = F.col("_upto") - F.col("_n")
-    border = (
-        running.filter((before < F.col("_size")) & (F.col("_upto") >= F.col("_size")))
-        .select(F.struct("_p", (F.col("_size") - before).alias("take")))
-        .scalar()
-    )
-    ranked = hashes.filter(prefix == border["_p"]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(prefix).orderBy("_h"))
-    )
-    last_test = ranked.filter(F.col("_rank") == border["take"]).agg(F.max("_h")).scalar()
+    hashes = materialize(df.select(hashed.alias("_h")), "hashes")
+    rows = hashes.count()
+    prefix, inside, take = "", rows, int(test_share * rows)
+    if not take:
+        return df.withColumn("split", F.lit("train"))
+    while inside > _RANKED and len(prefix) < 32:
+        here = hashes.filter(F.col("_h").startswith(prefix))
+        counts = here.groupBy(F.substring("_h", 1, len(prefix) + _STEP).alias("_p")).count()
+        upto = F.sum("count").over(Window.orderBy("_p"))
+        found = counts.withColumn("_upto", upto).filter(F.col("_upto") >= take).orderBy("_p").first()
+        prefix, inside, take = found["_p"], found["count"], take - (found["_upto"] - found["count"])
+    here = hashes.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(take)
+    last_test = here.agg(F.max("_h")).first()[0]
     return df.withColumn("split", F.when(hashed <= last_test, "test").otherwise("train"))
 
 
@@ -70,10 +66,19 @@ def oversample(
 
 
 def last_write_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the one with the greatest ``order`` value (a path, a position)."""
-    rest = [c for c in df.columns if c != key]
-    newest = F.max_by(F.struct(*rest), F.col(order)).alias("_row")
-    return df.groupBy(key).agg(newest).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    """One row per key: the one with the greatest ``order`` value (a path, a position).
+
+    Keys are counted without the other columns. Only rows of a key that comes again are ranked; all others
+    stay where they are. A row without an order is kept if its key has no other; rows without a key are one
+    group. Of rows with equal order one stays.
+    """
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    again = counts.filter(F.col("_n") > 1).select("_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    newest = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())
+    ranked = df.join(again, same, "left_semi").withColumn("_rank", F.row_number().over(newest))
+    best = ranked.filter(F.col("_rank") == 1).drop("_rank")
+    return df.join(again, same, "left_anti").unionByName(best).select(key, *[c for c in df.columns if c != key])
 
 
 def last_rows(df: DataFrame, case: str, position: str, n: int) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from casemill.functions.arrays import empty_texts, let
 from casemill.functions.text import all_matches, first_match, normalize_text
-from casemill.operators.cleaning import non_empty_arrays
-from casemill.operators.joins import lookup_join
+from casemill.operators.joins import literal_table
 from casemill.rules.defaults import (
     COVER_RULES,
     ENTITY_RULES,
@@ -53,33 +52,36 @@ def tag_cover(
 
 
 def flagged_sentences(df: DataFrame, text: str, pattern: str, found: str) -> DataFrame:
-    """Rows with at least one span of one label, with the spans instead of the text."""
-    tagged = df.withColumn(found, all_matches(F.col(text), pattern))
-    return non_empty_arrays(tagged, found).drop(text)
+    """Rows with at least one span of one label, with the spans instead of the text. Texts without a match are
+    left out by one look; the others are searched once."""
+    matching = df.filter(F.col(text).rlike(pattern))
+    return matching.withColumn(found, all_matches(F.col(text), pattern)).drop(text)
 
 
-def _word_grams(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """``key`` and, as ``_grams``, the word n-grams at each word that opens a term, in text order.
+def _word_grams(df: DataFrame, text: str, lengths: list[int], openers: list[str] | None) -> DataFrame:
+    """All columns and, as ``_grams``, the word n-grams of some lengths at each word, in text order.
 
-    Words that open no term get an empty array, so almost no n-gram is built.
+    With ``openers``, words that open no term get an empty array, so almost no n-gram is built.
     """
-    sizes = F.array(*[F.lit(n) for n in sorted({len(term.split(" ")) for term in terms})])
-    openers = F.array(*[F.lit(w) for w in sorted({term.split(" ")[0] for term in terms})])
-    clean = F.regexp_replace(normalize_text(F.col(text)), r"[^\p{L}\p{N} ]", " ")
-    split = df.select(key, F.filter(F.split(clean, " "), lambda w: w != "").alias("_words"))
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    clean = F.regexp_replace(normalize_text(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N} ]", " ")
+    split = df.withColumn("_words", F.filter(F.split(clean, " "), lambda w: w != ""))
 
     def starting_at(i):
         fitting = F.filter(sizes, lambda n: i + n <= F.size("_words"))
         return F.transform(fitting, lambda n: F.array_join(F.slice("_words", i + 1, n), " "))
 
-    grams = let(
-        F.array_intersect("_words", openers),
-        lambda found: F.transform(
-            "_words",
-            lambda w, i: F.when(F.array_contains(found, w), starting_at(i)).otherwise(empty_texts()),
-        ),
-    )
-    return split.select(key, grams.alias("_grams"))
+    if openers is None:
+        grams = F.transform("_words", lambda w, i: starting_at(i))
+    else:
+        grams = let(
+            F.array_intersect("_words", F.array(*[F.lit(w) for w in openers])),
+            lambda found: F.transform(
+                "_words",
+                lambda w, i: F.when(F.array_contains(found, w), starting_at(i)).otherwise(empty_texts()),
+            ),
+        )
+    return split.withColumn("_grams", grams).drop("_words")
 
 
 def _known_terms(terms: list[str]) -> Column:
@@ -91,34 +93,54 @@ def _known_terms(terms: list[str]) -> Column:
 def tag_gazetteer(
     df: DataFrame, key: str, text: str, terms: dict[str, str], inline_terms: int = INLINE_TERMS
 ) -> DataFrame:
-    """``key`` and one array of found terms per label, in text order.
+    """``key`` and one array of found terms per label, in text order: one row for each row, also for rows
+    with one key or without a text, whose arrays are empty.
 
-    ``terms`` maps a lower-case term of one or more words to its label. Up to ``inline_terms``
-    terms are looked up inside the row, without a shuffle. More terms become a table that the
-    n-grams are joined with; then ``key`` must identify a row, as the hits of a row are put
-    together again by it.
+    ``terms`` maps a lower-case term of one or more words to its label. Up to ``inline_terms`` terms are
+    looked up inside the row, without a shuffle; more terms become a table. The result is the same.
     """
     labels = sorted(set(terms.values()))
-    grams = _word_grams(df, key, text, list(terms))
-    if len(terms) <= inline_terms:
-        flat = grams.select(key, F.flatten("_grams").alias("_grams"))
-        found = {x: _known_terms([t for t, y in terms.items() if y == x]) for x in labels}
-        return flat.select(key, *[c.alias(x) for x, c in found.items()])
-    spread = grams.select(key, F.posexplode_outer("_grams").alias("_pos", "_here")).select(
-        key, "_pos", F.explode_outer("_here").alias("_term")
+    if len(terms) > inline_terms:
+        columns = {"term": list(terms), "label": list(terms.values())}
+        table = literal_table(df.sparkSession, columns, dict.fromkeys(columns, "string"))
+        return tag_gazetteer_table(df, key, text, table, labels, sorted({len(t.split(" ")) for t in terms}))
+    grams = _word_grams(
+        df.select(key, text),
+        text,
+        sorted({len(term.split(" ")) for term in terms}),
+        sorted({term.split(" ")[0] for term in terms}),
+    )
+    flat = grams.select(key, F.flatten("_grams").alias("_grams"))
+    found = {x: _known_terms([t for t, y in terms.items() if y == x]) for x in labels}
+    return flat.select(key, *[c.alias(x) for x, c in found.items()])
+
+
+def tag_gazetteer_table(
+    df: DataFrame, key: str, text: str, terms: DataFrame, labels: list[str], lengths: list[int]
+) -> DataFrame:
+    """``tag_gazetteer`` with a table ``term``, ``label`` of any size; ``lengths`` are the terms' numbers of words.
+
+    Each row gets a number, so that its hits come together again whatever its key. All its n-grams of these
+    lengths are looked up; no term is part of the plan. Common n-grams that are no terms leave with the
+    join, and adaptive execution splits those that are.
+    """
+    numbered = df.select(key, text).withColumn("_row", F.monotonically_increasing_id())
+    spread = _word_grams(numbered, text, lengths, None).select(
+        key, "_row", F.posexplode_outer("_grams").alias("_pos", "_here")
     )
-    columns = {"_term": list(terms), "_label": list(terms.values())}
-    joined = lookup_join(spread, columns, dict.fromkeys(columns, "string"), "_term", "left")
-    # The first word of a row is kept without a hit too, so that no row is lost.
-    kept = joined.filter(F.col("_label").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
-    hit = F.struct("_pos", F.length("_term").alias("_size"), "_term")
+    grams = spread.select(key, "_row", "_pos", F.posexplode_outer("_here").alias("_nth", "term"))
+    known = terms.select("term", "label").distinct()
+    # The first n-gram of a row is kept without a hit too, so that no row is lost.
+    first = (F.coalesce("_pos", F.lit(0)) == 0) & (F.coalesce("_nth", F.lit(0)) == 0)
+    hits = grams.join(known, "term", "left").filter(F.col("label").isNotNull() | first)
+    hit = F.struct("_pos", F.length("term").alias("_size"), "term")
     per_label = [
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_label") == x, hit))), lambda h: h["_term"]
+            F.array_sort(F.collect_list(F.when(F.col("label") == x, hit))), lambda h: h["term"]
         ).alias(x)
         for x in labels
     ]
-    return kept.groupBy(key).agg(*per_label)
+    return hits.groupBy("_row").agg(F.first(key).alias(key), *per_label).drop("_row")
 
 
 def tag_with_hook(

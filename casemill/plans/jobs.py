@@ -25,7 +25,6 @@ from casemill.rules.defaults import (
     MINORITY_COPIES,
     NO_KEY,
     PERSON_RULE,
-    SENTENCE_TOKENS,
     TEST_SHARE,
 )
 from casemill.schemas import (
@@ -109,7 +108,7 @@ def train_sentence_model(
     parts = split_by_hash(rows, ["decision_id"], test_share)
     train = oversample(parts.filter("split = 'train'"), "labels", copies=copies)
     test = parts.filter("split = 'test'")
-    trained = train_text_clf(train, test, max_len=SENTENCE_TOKENS, **settings)
+    trained = train_text_clf(train, test, **settings)
     trained.model.write().overwrite().save(model)
     return trained.history
 

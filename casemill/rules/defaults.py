@@ -164,11 +164,13 @@ ENTITY_RULES = {
     "LAW_REPORT": r"\[\d{4}\] \d+ [A-Z.]+ \d+",
 }
 
-PERSON_RULE = r"\b[A-Z][a-z]+ (?:[A-Z]\. )?[A-Z][a-z]+\b"
+# Part of a name: a capital and letters of any script, also after a hyphen or an apostrophe; all capitals too.
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:[-'’]\p{L}+)*"
+PERSON_RULE = rf"(?<![\p{{L}}\p{{N}}]){_NAME} (?:\p{{Lu}}\. )?{_NAME}(?![\p{{L}}\p{{N}}])"
 
 COVER_RULES = {
     "DATE": ENTITY_RULES["DATE"],
     "GPE": ENTITY_RULES["GPE"],
     "ORG": ENTITY_RULES["ORG"],
-    "PERSON": r"(?i)(?<=member )[a-z.]+ [a-z.]+",
+    "PERSON": r"(?i)(?<=member )[\p{L}.'’-]+ [\p{L}.'’-]+",
 }

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _scratch() -> str:
+    """A folder for a local master without the setting: one for the process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="casemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local master without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,7 +26,7 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="casemill-")
+    return _scratch()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
