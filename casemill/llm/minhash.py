@@ -3,7 +3,7 @@
 Two permutations make all coordinates of a signature: the first scatters the shingles, the second,
 shifted round by one more place for each coordinate, orders them. Documents with the same values in a
 band are candidates. Equal sets stand as one. Candidates that hang together form a cluster; clusters are
-compared whole, large ones in blocks, and then across blocks until no bucket has an open pair.
+compared whole, large ones in blocks and then across blocks, where whoever is not in the largest group asks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import map_chunks, materialize, store, text_bytes
+from casemill.llm.common import map_chunks, map_groups, materialize, store, text_bytes
 from casemill.llm.graphs import components
 from casemill.llm.repeats import LAST, numbered, packed, text_hash
 from casemill.llm.windows import mix, word_symbols
@@ -164,44 +164,66 @@ def _in_blocks(members: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs ``a``, ``b`` the linked ones, by their whole sets."""
-    left, right = texts.select(F.col("node").alias("a"), F.col("_data").alias("_left")), texts.select(F.col("node").alias("b"), F.col("_data").alias("_right"))
+def _against(dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the queries and the other members of (``cluster``, ``block``, ``pack``): of each query to one member
+    of each group that it links with."""
 
-    def run(batches):
+    def compare(batch):
         unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_left").to_pylist(), batch.column("_right").to_pylist()):
-                x, y = (shingles(unpress.decompress(d), size) for d in (x, y))
-                keep.append(bool(linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long")
-
-
-def _across(open_keys: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
+        asks, nodes, groups = (batch.column(n).to_pylist() for n in ("asks", "node", "group"))
+        sets = [shingles(unpress.decompress(d), size) for d in batch.column("_data").to_pylist()]
+        rows, queries = [i for i, x in enumerate(asks) if not x], [i for i, x in enumerate(asks) if x]
+        if not rows or not queries:
+            return None
+        sizes = np.array([len(sets[i]) for i in rows])
+        starts = np.cumsum(sizes) - sizes
+        stream = np.concatenate([sets[i] for i in rows])
+        known, names = np.unique(stream, return_inverse=True)
+        mark, out = np.zeros(len(known), dtype=np.int32), ([], [])
+        for q in queries:
+            at = np.searchsorted(known, sets[q])
+            at[at == len(known)] = 0
+            at = at[known[at] == sets[q]]
+            mark[at] = 1
+            common = np.add.reduceat(mark[names], starts)
+            mark[at] = 0
+            met = {groups[q]}
+            for j in np.flatnonzero(linked(len(sets[q]), sizes, common, percent)).tolist():
+                if groups[rows[j]] not in met:
+                    met.add(groups[rows[j]])
+                    out[0].append(nodes[q])
+                    out[1].append(nodes[rows[j]])
+        return {"a": out[0], "b": out[1]}
+
+    return map_groups(dealt, ["cluster", "block", "pack"], ["asks", "node"], compare, "a long, b long")
+
+
+def _across(keyed: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
     """Links of large clusters with those that lie across blocks.
 
-    In each bucket, the largest group that already hangs together is compared with one of each other group,
-    twice, with other members; then whoever is still outside it, with all that are not of its own group.
-    So every pair of a bucket whose ends do not already hang together has been compared.
+    First one member of each group that hangs together, and has others, asks all blocks with which it shares a
+    bucket; so what the blocks have cut apart grows together. Then every document that is still outside its
+    cluster's largest group asks them. A pair of a bucket whose ends do not hang together by then has one
+    that asks, and is compared; no pair is a row.
     """
-    for pick in ("min", "max", "all"):
-        # Before the first round the links are those of the blocks.
+    for leaders in (True, False):
         labels = components(links)
-        keyed = open_keys.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("group"))
-        sizes = keyed.groupBy("band", "group").agg(F.count("*").alias("n"), F.min("node").alias("min"), F.max("node").alias("max"))
-        sizes = materialize(sizes, "groups")
-        most = sizes.groupBy("band").agg(F.max(F.struct("n", "group", "min", "max")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
-        if pick != "all":
-            pairs = sizes.join(most, "band").filter("group <> most.group").select(F.col(f"most.{pick}").alias("a"), F.col(pick).alias("b"))
+        members = texts.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
+        sizes = materialize(members.groupBy("cluster", "group").agg(F.count("*").alias("n"), F.min("node").alias("leader")), "groups")
+        if leaders:
+            asking = sizes.filter("n > 1").select(F.col("leader").alias("node"))
         else:
-            keyed = keyed.join(most.select("band", F.col("most.group").alias("largest")), "band")
-            outside = keyed.filter("group <> largest").select("band", "largest", F.col("node").alias("b"), F.col("group").alias("own"))
-            pairs = outside.join(keyed.select("band", F.col("node").alias("a"), "group"), "band").filter("group <> own AND (group = largest OR a < b)").select("a", "b")
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        links = materialize(links.unionByName(_confirmed(pairs, texts, size, percent)), "links")
+            largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "group")).alias("most")).select("cluster", F.col("most.group").alias("largest"))
+            asking = members.join(largest, "cluster").filter("group <> largest").select("node")
+        places = keyed.join(members.select("node", "block"), "node").select("band", "block").distinct()
+        sent = materialize(keyed.join(asking, "node").join(places, "band").select("node", "block").distinct(), "sent")
+        queries = sent.join(members.drop("block", "blocks"), "node")
+        packs = queries.groupBy("cluster", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("packs"))
+        pack = F.pmod(F.xxhash64("node"), F.col("packs")).cast("int").alias("pack")
+        every = F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack")
+        asks = queries.join(packs, ["cluster", "block"]).select("cluster", "block", pack, F.lit(True).alias("asks"), "node", "group", "_data")
+        rows = members.join(packs, ["cluster", "block"]).select("cluster", "block", every, F.lit(False).alias("asks"), "node", "group", "_data")
+        links = materialize(links.unionByName(_against(rows.unionByName(asks), size, percent)), "links")
     return links
 
 
