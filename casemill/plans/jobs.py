@@ -199,7 +199,7 @@ def report_errors(spark: SparkSession, predictions: str, target: str) -> None:
             F.col("prediction"), {"NEGATIVE": "REJECTED", "POSITIVE": "GRANTED"}
         ).alias("prediction"),
     )
-    wrong = F.col("label") != F.col("prediction")
+    wrong = ~F.col("label").eqNullSafe(F.col("prediction"))
     reports = {
         "confusion_matrix": confusion_matrix(rows, "label", "prediction", ["REJECTED", "GRANTED"]),
         "misclassified": misclassified(rows, "label", "prediction"),

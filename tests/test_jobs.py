@@ -87,16 +87,16 @@ def test_cover_and_example_chain(spark, tmp_path):
 
 def test_error_reports(spark, tmp_path):
     (tmp_path / "p.csv").write_text(
-        "text,labels,prediction\na[SEP]b,0,NEGATIVE\nb c,1,NEGATIVE\nc,1,POSITIVE\n"
+        "text,labels,prediction\na[SEP]b,0,NEGATIVE\nb c,1,NEGATIVE\nc,1,POSITIVE\nd e,1,\n"
     )
     out = str(tmp_path / "out")
     jobs.report_errors(spark, str(tmp_path / "p.csv"), out)
-    confusion = read_delimited(spark, f"{out}/confusion_matrix", "label string, r bigint, g bigint", sep=",")
-    assert rows(confusion) == [("GRANTED", 1, 1), ("REJECTED", 1, 0)]
-    wrong = read_delimited(spark, f"{out}/misclassified", "text string, label string, p string", sep=",")
-    assert rows(wrong) == [("b c", "GRANTED", "REJECTED")]
+    confusion = read_delimited(spark, f"{out}/confusion_matrix", "label string, predicted_REJECTED bigint, predicted_GRANTED bigint, predicted_other bigint", sep=",")
+    assert rows(confusion) == [("GRANTED", 1, 1, 1), ("REJECTED", 1, 0, 0), ("other", 0, 0, 0)]
+    wrong = read_delimited(spark, f"{out}/misclassified", "text string, label string, prediction string", sep=",")
+    assert rows(wrong) == [("b c", "GRANTED", "REJECTED"), ("d e", "GRANTED", None)]
     words = spark.read.csv(f"{out}/top_words", header=True)
-    assert words.filter(F.col("sample") == "misclassified").count() == 2
+    assert words.filter(F.col("sample") == "misclassified").count() == 4
 
 
 def test_legacy_lists(spark, tmp_path):

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from casemill.functions import html
 from casemill.functions.similarity import token_set_score
 from casemill.operators import cleaning, features, joins, masking, metrics, outcomes, profile
 from casemill.operators import reconcile, sampling, tagging
@@ -186,7 +187,8 @@ def test_null_handling(spark):
 def test_map_values(spark):
     df = spark.createDataFrame([(0,), (1,), (7,)], "x int")
     got = df.select(cleaning.map_values(F.col("x"), {0: "REJECTED", 1: "GRANTED"}))
-    assert rows(got) == [("GRANTED",), ("REJECTED",), (None,)]
+    assert rows(got) == [("7",), ("GRANTED",), ("REJECTED",)]
+    assert rows(df.select(cleaning.map_values(F.col("x"), {0: 5}))) == [(1,), (5,), (7,)]
 
 
 def test_split_exact(spark):
@@ -449,7 +451,7 @@ def test_eval_bundle(spark):
 def test_confusion_matrix_order_and_zeros(spark):
     df = spark.createDataFrame([("R", "R"), ("G", "R"), ("G", "R")], "y string, p string")
     got = metrics.confusion_matrix(df, "y", "p", ["R", "G"])
-    assert [tuple(r) for r in got.collect()] == [("R", 1, 0), ("G", 2, 0)]
+    assert [tuple(r) for r in got.collect()] == [("R", 1, 0, 0), ("G", 2, 0, 0), ("other", 0, 0, 0)]
 
 
 # Profiles --------------------------------------------------------------------------------------
@@ -502,3 +504,74 @@ def test_sentence_sets(spark):
     df = spark.createDataFrame([("['a', 'b']", 1.0), ("['c']", None), (None, 1.0)], "s string, y double")
     assert rows(features.train_set_sentences(df, "s", "y")) == [("a, b", 1)]
     assert rows(features.inference_set_sentences(df, "s", "y")) == [("a, b",), ("c",), (None,)]
+
+
+def test_unknown_and_missing_labels_are_counted(spark):
+    df = spark.createDataFrame([("R", "R"), ("G", None), (None, "G"), ("X", "R"), ("R", "Y"), (None, None)], "y string, p string")
+    matrix = metrics.confusion_matrix(df, "y", "p", ["R", "G"])
+    assert [tuple(r) for r in matrix.collect()] == [("R", 1, 0, 1), ("G", 0, 0, 1), ("other", 1, 1, 1)]
+    assert metrics.misclassified(df, "y", "p").count() == 4
+
+
+def test_gazetteer_paths_agree(spark):
+    df = spark.createDataFrame([(1, "New York or york"), (1, "new york"), (2, None), (None, "Quebec"), (3, "")], "k int, t string")
+    terms = {"new york": "CITY", "york": "CITY", "quebec": "PLACE"}
+    inline = tagging.tag_gazetteer(df, "k", "t", terms)
+    joined = tagging.tag_gazetteer(df, "k", "t", terms, inline_terms=0)
+    assert sorted(map(str, inline.collect())) == sorted(map(str, joined.collect()))
+    assert inline.count() == 5 and inline.filter("CITY IS NULL OR PLACE IS NULL").count() == 0
+
+
+def test_hot_keys_split_after_a_shuffle(spark):
+    many = spark.range(4000).select(F.lit(1.0).alias("k"), "id").repartition(8, "k")
+    one = spark.createDataFrame([(1.0, "a")], "k double, v string")
+    joined = joins.salted_join(many, one, ["k"], rows=500)
+    assert joined.count() == 4000
+    hot = joins.hot_keys(many, ["k"], 500)
+    assert hot.first()["_salts"] == 8
+    spread = many.select(F.pmod(F.xxhash64(F.spark_partition_id(), "id"), F.lit(8))).distinct().count()
+    assert spread == 8
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_nan_is_no_key(spark, parts):
+    nan = float("nan")
+    many = spark.createDataFrame([(nan, 1), (nan, 2), (1.0, 3), (None, 4)], "k double, x int").repartition(parts)
+    one = spark.createDataFrame([(nan, "n"), (1.0, "a")], "k double, v string")
+    got = joins.salted_join(many, one, ["k"], "left").select("k", "x", "v")
+    assert sorted(got.collect(), key=lambda r: r.x) == [(None, 1, None), (None, 2, None), (1.0, 3, "a"), (None, 4, None)]
+    assert joins.salted_join(many, one, ["k"], "full").count() == 5
+
+
+def test_last_write_wins_without_an_order(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, "p", "c"), (3, "x", "d"), (3, "y", None), (None, "z", "e")], "k int, o string, v string")
+    kept = sampling.last_write_wins(df, "k", "o")
+    assert rows(kept.select("k", "v")) == rows(spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (None, "e")], "k int, v string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_density_of_equal_scores(spark):
+    df = spark.createDataFrame([(0.5,), (0.5,), (None,)], "s double")
+    got = outcomes.score_density(df, "s", grid=5)
+    assert got.count() == 5 and got.filter("density IS NOT NULL AND density > 0").count() == 0
+    assert outcomes.score_density(df.limit(0), "s", grid=5).count() == 0
+
+
+def test_references_are_decoded(spark):
+    df = spark.createDataFrame([("G&eacute;rard <b>Montr&#233;al</b> &amp;lt; &#x1F642; &bogus; &#0; A&B",), (None,)], "t string")
+    assert [r[0] for r in df.select(html.block_text(F.col("t"))).collect()] == ["Gérard Montréal &lt; 🙂 &bogus; &#0; A&B", None]
+
+
+def test_exact_split_finds_its_border_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "_RANKED", 3)
+    df = spark.range(500)
+    split = sampling.split_exact(df, ["id"], 0.3)
+    assert split.filter("split = 'test'").count() == 150
+    assert sampling.split_exact(df.limit(0), ["id"]).count() == 0
+
+
+def test_accented_names_are_masked(spark):
+    df = spark.createDataFrame([("Élise Côté-Roy et JEAN D'Arc, the Board",)], "t string")
+    text = df.select(masking.mask_text(F.col("t"))).first()[0]
+    assert text == "X" * 14 + " et " + "X" * 10 + ", the Board"
