@@ -10,6 +10,7 @@ from casemill.operators.joins import lookup_join
 from casemill.operators.masking import mask_column
 from casemill.sources.files import (
     merge_shards,
+    read_checked,
     read_columns,
     read_delimited,
     read_documents,
@@ -31,6 +32,24 @@ def _(spark, sf):
     return read_delimited(spark, path, _DOCS)
 
 
+@query(
+    "reject_report",
+    """SELECT count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS keys, count(CASE WHEN doc_id % 5 = 0 THEN 1 END) AS n_rejected FROM documents""",
+)
+def _(spark, sf):
+    """Every fifth key spoilt by a letter: what fits is read, what does not is counted."""
+    path = fresh_path(spark, "spoilt")
+    docs = table(spark, sf, "documents")
+    spoilt = F.when(F.col("doc_id") % 5 == 0, F.concat("doc_id", F.lit("x"))).otherwise(F.col("doc_id").cast("string"))
+    write_delimited(docs.select(spoilt.alias("doc_id"), "text"), path)
+    good, bad = read_checked(spark, path, "doc_id bigint, text string")
+    repaired = bad.select(F.regexp_extract("record", r"\A(\d+)x;", 1).cast("bigint").alias("doc_id"), F.lit(1).alias("bad"))
+    both = good.select("doc_id", F.lit(0).alias("bad")).unionByName(repaired)
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("doc_id").alias("keys"), F.sum(F.col("bad").cast("bigint")).alias("n_rejected")
+    )
+
+
 @query("pruned_scan", "SELECT doc_id, lang FROM documents")
 def _(spark, sf):
     return read_columns(spark, f"{sf}/documents.parquet", ["doc_id", "lang"])

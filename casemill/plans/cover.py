@@ -21,6 +21,7 @@ from casemill.operators.reconcile import reconcile_dates, reconcile_names
 from casemill.operators.sampling import last_write_wins
 from casemill.operators.tagging import tag_cover
 from casemill.rules.defaults import (
+    COVER_KEY_PATTERN,
     COVER_RULES,
     DEFAULT_HEARING_MODE,
     FILE_KEY_PATTERN,
@@ -31,7 +32,7 @@ from casemill.rules.defaults import (
 )
 
 
-def covers_from_files(files: DataFrame, key_pattern: str = FILE_KEY_PATTERN) -> DataFrame:
+def covers_from_files(files: DataFrame, key_pattern: str = COVER_KEY_PATTERN) -> DataFrame:
     """Clean cover text per decision from ``(path, text)`` rows.
 
     Files without a key and unreadable covers are left out; of two files with one key the one with

@@ -1,4 +1,7 @@
-"""The chain from file to file: each job reads what another one wrote and can be run on its own."""
+"""The chain from file to file: each job reads what another one wrote and can be run on its own.
+
+Options of the delimited reader (``multi_line``, ``sep``, ``encoding``) go through every job that reads such files.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from casemill.functions.keys import nullable_key
 from casemill.functions.text import array_to_text, parse_list_repr
-from casemill.operators.classify import score_text_clf, train_text_clf
+from casemill.operators.classify import sample_settings, score_text_clf, train_text_clf, tune_text_clf
 from casemill.operators.cleaning import drop_incomplete, drop_values, map_values
 from casemill.operators.features import train_set_cover
 from casemill.operators.joins import gold_join
@@ -20,6 +23,7 @@ from casemill.plans.cover import cover_features, covers_from_files, judges_from_
 from casemill.plans.outcomes import case_outcomes
 from casemill.plans.training import all_entities_examples, labelled_sentences
 from casemill.rules.defaults import (
+    COVER_KEY_PATTERN,
     ENTITY_RULES,
     FILE_KEY_PATTERN,
     MINORITY_COPIES,
@@ -36,7 +40,7 @@ from casemill.schemas import (
     TAIL_SENTENCES,
 )
 from casemill.sources.files import (
-    merge_shards,
+    read_checked,
     read_delimited,
     read_documents,
     write_delimited,
@@ -44,23 +48,40 @@ from casemill.sources.files import (
 )
 
 
+def _rows(spark: SparkSession, path, schema, rejected: str | None, **reading):
+    """Rows of delimited files. A row that does not fit the schema is an error, or, with ``rejected``, is stored there
+    with its file."""
+    if rejected is None:
+        return read_delimited(spark, path, schema, **reading)
+    good, bad = read_checked(spark, path, schema, **reading)
+    bad.write.mode("append").json(rejected)
+    return good
+
+
 def mask_sentences(
     spark: SparkSession,
     sentences: str,
     target: str,
     shards: int | None = None,
     pattern: str = PERSON_RULE,
+    rejected: str | None = None,
+    **reading,
 ) -> None:
     """Delimited sentences -> shards of masked sentences."""
-    complete = drop_incomplete(read_delimited(spark, sentences, SENTENCES))
+    complete = drop_incomplete(_rows(spark, sentences, SENTENCES, rejected, **reading))
     write_shards(mask_column(complete, "text", pattern), target, shards)
 
 
 def tag_sentences(
-    spark: SparkSession, shards: str | list[str], target: str, rules: dict[str, str] = ENTITY_RULES
+    spark: SparkSession,
+    shards: str | list[str],
+    target: str,
+    rules: dict[str, str] = ENTITY_RULES,
+    rejected: str | None = None,
+    **reading,
 ) -> None:
     """Shards of sentences -> Parquet table with one array column per label."""
-    known = drop_incomplete(merge_shards(spark, shards, SENTENCES), ["text"])
+    known = drop_incomplete(_rows(spark, shards, SENTENCES, rejected, **{"sep": ",", **reading}), ["text"])
     tag_entities(known, "text", rules).write.parquet(target)
 
 
@@ -69,18 +90,22 @@ def flag_determinations(
     tail: str,
     target: str,
     pattern: str = ENTITY_RULES["DETERMINATION"],
+    rejected: str | None = None,
+    **reading,
 ) -> None:
     """Delimited tail sentences -> Parquet table of those with a determination."""
-    complete = drop_incomplete(read_delimited(spark, tail, TAIL_SENTENCES))
+    complete = drop_incomplete(_rows(spark, tail, TAIL_SENTENCES, rejected, **reading))
     flagged = flagged_sentences(complete, "text", pattern, "extracted_sentences_determination")
     flagged.write.parquet(target)
 
 
-def label_determinations(spark: SparkSession, determinations: str, gold: str, target: str) -> None:
+def label_determinations(
+    spark: SparkSession, determinations: str, gold: str, target: str, rejected: str | None = None, **reading
+) -> None:
     """Determination sentences of the annotated cases with their annotation."""
     flagged = drop_values(spark.read.parquet(determinations), "decision_id", [NO_KEY])
     keyed = flagged.withColumn("decision_id", nullable_key(F.col("decision_id")))
-    annotations = read_delimited(spark, gold, GOLD_OUTCOMES)
+    annotations = _rows(spark, gold, GOLD_OUTCOMES, rejected, **reading)
     gold_join(keyed, annotations, "decision_id").write.parquet(target)
 
 
@@ -130,9 +155,11 @@ def score_sentences(spark: SparkSession, model: str, determinations: str, target
     )
 
 
-def aggregate_outcomes(spark: SparkSession, scores: str, target: str) -> None:
+def aggregate_outcomes(
+    spark: SparkSession, scores: str, target: str, rejected: str | None = None, **reading
+) -> None:
     """Delimited sentence scores -> delimited outcome per case."""
-    write_delimited(case_outcomes(read_delimited(spark, scores, SENTENCE_SCORES)), target)
+    write_delimited(case_outcomes(_rows(spark, scores, SENTENCE_SCORES, rejected, **reading)), target)
 
 
 def extract_covers(
@@ -142,23 +169,31 @@ def extract_covers(
     target: str,
     cover_glob: str = "*.txt",
     key_pattern: str = FILE_KEY_PATTERN,
+    cover_key_pattern: str = COVER_KEY_PATTERN,
+    unmatched: str | None = None,
     **rules,
 ) -> None:
-    """Directories of cover texts and of HTML decisions -> Parquet table of cover features."""
-    texts = read_documents(spark, covers, cover_glob, key_pattern)
+    """Directories of cover texts and of HTML decisions -> Parquet table of cover features.
+
+    Files whose names hold no key are left out; ``unmatched`` is where their paths are stored.
+    """
+    texts = read_documents(spark, covers, cover_glob, cover_key_pattern)
     html = read_documents(spark, pages, "*.html", key_pattern, text="html")
     features = cover_features(
-        covers_from_files(texts, key_pattern), judges_from_html(html, key_pattern), **rules
+        covers_from_files(texts, cover_key_pattern), judges_from_html(html, key_pattern), **rules
     )
     features.write.parquet(target)
+    if unmatched is not None:
+        files = texts.select("decision_id", "path").unionByName(html.select("decision_id", "path"))
+        files.filter(F.col("decision_id") == NO_KEY).select("path").write.json(unmatched)
 
 
 def build_cover_examples(
-    spark: SparkSession, features: str, outcomes: str, target: str, test_share: float = TEST_SHARE
+    spark: SparkSession, features: str, outcomes: str, target: str, test_share: float = TEST_SHARE, rejected: str | None = None, **reading
 ) -> None:
     """Cover features and outcomes -> training set, written by split."""
     labelled = labelled_covers(
-        spark.read.parquet(features), read_delimited(spark, outcomes, CASE_OUTCOMES)
+        spark.read.parquet(features), _rows(spark, outcomes, CASE_OUTCOMES, rejected, **reading)
     )
     examples = split_by_hash(train_set_cover(labelled), ["decision_id"], test_share)
     examples.write.partitionBy("split").parquet(target)
@@ -172,12 +207,14 @@ def build_all_examples(
     target: str,
     test_share: float = TEST_SHARE,
     minority: int | None = None,
+    rejected: str | None = None,
+    **reading,
 ) -> None:
     """Tagged sentences, cover features and outcomes -> training set, written by split.
 
     With ``minority`` the training part repeats the examples of that class.
     """
-    known = read_delimited(spark, outcomes, CASE_OUTCOMES)
+    known = _rows(spark, outcomes, CASE_OUTCOMES, rejected, **reading)
     covers = labelled_covers(spark.read.parquet(features), known)
     sentences = spark.read.parquet(tagged)
     main = labelled_sentences(sentences, known, rules={}, mask=None).drop("text")
@@ -189,9 +226,48 @@ def build_all_examples(
     examples.write.partitionBy("split").parquet(target)
 
 
-def report_errors(spark: SparkSession, predictions: str, target: str) -> None:
+def train_case_model(
+    spark: SparkSession, examples: str, model: str, copies: int | None = None, **settings
+) -> list[dict]:
+    """Training set of cases, written by split -> stored model; returns what each number of epochs scored.
+
+    With ``copies`` the accepted cases are repeated in training.
+    """
+    parts = spark.read.parquet(examples)
+    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
+    if copies is not None:
+        train = oversample(train, "labels", copies=copies).drop("copy")
+    trained = train_text_clf(train, test, **settings)
+    trained.model.write().overwrite().save(model)
+    return trained.history
+
+
+def tune_case_model(
+    spark: SparkSession, examples: str, model: str, trials: int = 10, seed: int = 0, **settings
+) -> list[dict]:
+    """Training set of cases -> stored model of the best of some random settings; returns what each scored."""
+    train = spark.read.parquet(examples).filter("split = 'train'")
+    found = tune_text_clf(train, "decision_id", sample_settings(trials, seed), **settings)
+    found.model.write().overwrite().save(model)
+    return found.history
+
+
+def predict_cases(
+    spark: SparkSession, model: str, examples: str, target: str, split: str | None = "test"
+) -> None:
+    """Stored model and cases -> delimited predictions, as ``report_errors`` reads them; of one split, or of all."""
+    rows = spark.read.parquet(examples)
+    if split is not None:
+        rows = rows.filter(F.col("split") == split)
+    scored = score_text_clf(PipelineModel.load(model), rows.select("text", "labels"))
+    write_delimited(scored.select("text", "labels", "prediction"), target, sep=",")
+
+
+def report_errors(
+    spark: SparkSession, predictions: str, target: str, rejected: str | None = None, **reading
+) -> None:
     """Delimited predictions -> confusion table, wrong rows, their profile and their top words."""
-    read = read_delimited(spark, predictions, PREDICTIONS, sep=",")
+    read = _rows(spark, predictions, PREDICTIONS, rejected, **{"sep": ",", **reading})
     rows = read.select(
         "text",
         map_values(F.col("labels"), {0: "REJECTED", 1: "GRANTED"}).alias("label"),
@@ -211,8 +287,9 @@ def report_errors(spark: SparkSession, predictions: str, target: str) -> None:
 
 
 def import_legacy_lists(
-    spark: SparkSession, source: str, target: str, schema: str, lists: list[str], sep: str = ";"
+    spark: SparkSession, source: str, target: str, schema: str, lists: list[str], sep: str = ";",
+    rejected: str | None = None, **reading
 ) -> None:
     """Delimited table whose list columns were written out as text -> Parquet with real arrays."""
-    table = read_delimited(spark, source, schema, sep=sep)
+    table = _rows(spark, source, schema, rejected, sep=sep, **reading)
     table.withColumns({c: parse_list_repr(F.col(c)) for c in lists}).write.parquet(target)

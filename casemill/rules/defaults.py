@@ -65,6 +65,8 @@ FEATURE_NAMES = {
 # File names carry the decision id as 1 to 6 digits.
 FILE_KEY_PATTERN = r"canlii(\d{1,6})(?:\.pdf|\.html)"
 NO_KEY = "no_match_filename"
+# Names of covers that were taken out of a document and stored as text, beside those of the documents.
+COVER_KEY_PATTERN = r"canlii(\d{1,6})(?:\.pdf|\.html|\.txt)"
 
 # Cover text of a document that could not be read.
 UNREADABLE = "False"

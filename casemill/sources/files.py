@@ -23,19 +23,29 @@ def read_delimited(
     header: bool = True,
     encoding: str = "UTF-8",
     multi_line: bool = True,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """Read delimited files with a declared schema.
 
+    A header must have the schema's names in its order. A row with a value that does not fit its type, or with
+    too few or too many fields, is an error; with ``corrupt`` it is kept, and its text is in the column of that
+    name, which is NULL for all other rows (see ``read_checked``).
+
     With ``multi_line`` a quoted field may hold line breaks, and one file is then read by one task;
     turn it off for large files without such fields, or store the data in shards or as Parquet.
     """
+    if corrupt is not None:
+        declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        schema = T.StructType([*declared.fields, T.StructField(corrupt, T.StringType())])
     return spark.read.schema(schema).csv(
         path,
         sep=sep,
         header=header,
         encoding=_ENCODINGS.get(encoding.lower(), encoding),
         multiLine=multi_line,
-        enforceSchema=True,
+        enforceSchema=not header,
+        mode="FAILFAST" if corrupt is None else "PERMISSIVE",
+        columnNameOfCorruptRecord=corrupt,
         lineSep="\n",
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
@@ -43,13 +53,30 @@ def read_delimited(
     )
 
 
+def read_checked(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, **options
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of delimited files that fit the schema, and the others: ``file`` and ``record``, the text of the row.
+
+    Both read the files; a row is in one of them.
+    """
+    read = read_delimited(spark, path, schema, corrupt="_corrupt_record", **options)
+    columns = [F.col(f"`{c}`") for c in read.columns if c != "_corrupt_record"]
+    # Spark tells a bad row by parsing it, so both parts need all columns, even where only rows are counted.
+    parsed = F.length(F.repeat(F.lit(""), F.hash(*columns))) == 0
+    good = read.filter(parsed & F.col("_corrupt_record").isNull()).select(*columns)
+    bad = read.filter(parsed & F.col("_corrupt_record").isNotNull())
+    return good, bad.select(F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").alias("record"))
+
+
 def read_named(
     spark: SparkSession, path: str, names: list[str], key: str, header_key: str, sep: str = ","
 ) -> DataFrame:
-    """Read delimited files under the caller's column names; header lines are data and are dropped."""
+    """Read delimited files under the caller's column names; header lines are data and are dropped. A row
+    with a NULL key stays."""
     schema = ", ".join(f"`{n}` string" for n in names)
     rows = read_delimited(spark, path, schema, sep=sep, header=False)
-    return rows.filter(F.col(key) != header_key)
+    return rows.filter(~F.col(key).eqNullSafe(F.lit(header_key)))
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -124,10 +151,10 @@ def write_shards(df: DataFrame, path: str, shards: int | None = None, sep: str =
 
 
 def merge_shards(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType | str, sep: str = ","
+    spark: SparkSession, paths: str | list[str], schema: T.StructType | str, sep: str = ",", **options
 ) -> DataFrame:
-    """All rows of a set of shards as one table; each shard's header is read once and left out."""
-    return read_delimited(spark, paths, schema, sep=sep)
+    """All rows of a set of shards as one table; each shard's header is read once, checked, and left out."""
+    return read_delimited(spark, paths, schema, sep=sep, **options)
 
 
 def write_documents(df: DataFrame, path: str, key: str, text: Column) -> None:

@@ -64,8 +64,8 @@ def test_cover_and_example_chain(spark, tmp_path):
     (covers / "other.txt").write_text("no key")
     (tmp_path / "outcomes.csv").write_text("decision_id;decision_outcome\n1;1\n2;0\n3;2\n")
     features, outcomes = str(tmp_path / "features"), str(tmp_path / "outcomes.csv")
-    pattern = r"canlii(\d{1,6})\.(?:txt|html)"
-    jobs.extract_covers(spark, str(covers), str(pages), features, key_pattern=pattern)
+    jobs.extract_covers(spark, str(covers), str(pages), features, unmatched=str(tmp_path / "unmatched"))
+    assert spark.read.json(str(tmp_path / "unmatched")).filter("path LIKE '%other.txt'").count() == 1
     table = spark.read.parquet(features)
     assert rows(table.select("decision_id", "judge_name", "date_decision")) == [
         (str(i), "john doe", f"may {i} 2017") for i in (1, 2, 3)
@@ -103,3 +103,26 @@ def test_legacy_lists(spark, tmp_path):
     (tmp_path / "l.csv").write_text("id;names\n1;\"['a', 'b']\"\n2;[]\n")
     jobs.import_legacy_lists(spark, str(tmp_path / "l.csv"), str(tmp_path / "o"), "id int, names string", ["names"])
     assert rows(spark.read.parquet(str(tmp_path / "o"))) == [(1, ["a", "b"]), (2, [])]
+
+
+def test_from_covers_to_error_report(spark, tmp_path):
+    covers, pages = tmp_path / "covers", tmp_path / "pages"
+    covers.mkdir(), pages.mkdir()
+    for i in range(1, 81):
+        place = "Toronto" if i % 2 else "Montreal"
+        (covers / f"2015canlii{i}.txt").write_text(f"Member John Doe\nMay {i % 28 + 1}, 2017 in {place}")
+        (pages / f"2015canlii{i}.html").write_text(f"<table>G&eacute;rard Roe\nMay {i % 28 + 1}, 2017</table>")
+    lines = "".join(f"{i};{i % 2}\n" for i in range(1, 81))
+    (tmp_path / "outcomes.csv").write_text(f"decision_id;decision_outcome\n{lines}x1;1\n7;0;9\n")
+    p = {n: str(tmp_path / n) for n in ("features", "examples", "model", "tuned", "predictions", "report", "rejected")}
+    jobs.extract_covers(spark, str(covers), str(pages), p["features"])
+    jobs.build_cover_examples(spark, p["features"], str(tmp_path / "outcomes.csv"), p["examples"], rejected=p["rejected"])
+    assert sorted(r.record for r in spark.read.json(p["rejected"]).collect()) == ["7;0;9", "x1;1"]
+    history = jobs.train_case_model(spark, p["examples"], p["model"], copies=2, epochs=(10,), n_features=256)
+    assert history[0]["accuracy"] == 1.0
+    assert len(jobs.tune_case_model(spark, p["examples"], p["tuned"], trials=1, folds=2)) == 1
+    jobs.predict_cases(spark, p["model"], p["examples"], p["predictions"])
+    jobs.report_errors(spark, p["predictions"], p["report"])
+    matrix = spark.read.csv(p["report"] + "/confusion_matrix", header=True, inferSchema=True).collect()
+    tested = spark.read.parquet(p["examples"]).filter("split = 'test'").count()
+    assert sum(r[1] + r[2] + r[3] for r in matrix) == tested > 0

@@ -124,3 +124,26 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     assert run() == [("1", "AB ; c", ["AB"])]
     (landing / "b.csv").write_text("decision_id;text\n3;D e F\n")
     assert run() == [("1", "AB ; c", ["AB"]), ("3", "D e F", ["D", "F"])]
+
+
+def test_bad_rows_are_errors_or_rejects(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k;v\n1;0.5\nx;0.7\n2\n3;0.1;9\n;0.2\n")
+    schema = "k bigint, v double"
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        files.read_delimited(spark, str(tmp_path / "a.csv"), schema).collect()
+    good, bad = files.read_checked(spark, str(tmp_path / "a.csv"), schema)
+    assert sorted(good.collect(), key=str) == [(1, 0.5), (None, 0.2)]
+    assert sorted(r.record for r in bad.collect()) == ["2", "3;0.1;9", "x;0.7"]
+    assert good.count() == 2 and bad.count() == 3
+
+
+def test_headers_are_checked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("v;k\n0.5;1\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_delimited(spark, str(tmp_path / "a.csv"), "k bigint, v double").collect()
+
+
+def test_named_keeps_missing_keys(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n1,a\n,b\nid,x\n")
+    got = files.read_named(spark, str(tmp_path / "a.csv"), ["k", "v"], "k", "id")
+    assert sorted(map(tuple, got.collect()), key=str) == [("1", "a"), (None, "b")]
