@@ -168,12 +168,14 @@ def _settled(occurrences: DataFrame, width: int) -> DataFrame:
 def _slices(docs: DataFrame, open_ends: DataFrame, slicer, width: int, crowd: int) -> DataFrame:
     """The text of each surroundings, under its anchor; of a hot anchor, of each window under a hash of it."""
     hot = open_ends.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor", F.lit(True).alias("hot"))
+    # Stored, so that its size is known: few anchors are hot, and then no row moves to meet them.
+    hot = materialize(hot, "hot")
     wanted = open_ends.join(hot, "anchor", "left")
     listed = wanted.groupBy("_doc", "_copy").agg(
         F.collect_list(F.struct("anchor", "first", "last", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_wanted")
     )
-    texts = packed(docs.select("_doc", "_copy", "_text")).dropDuplicates(["_doc", "_copy"])
-    joined = texts.join(listed, ["_doc", "_copy"])
+    # Rows of one key and text give the same slices twice; equal places do not count as repeats.
+    joined = packed(docs.select("_doc", "_copy", "_text")).join(listed, ["_doc", "_copy"])
 
     def make():
         unpress = zstandard.ZstdDecompressor()
