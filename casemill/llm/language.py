@@ -27,8 +27,8 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BUCKETS = 4096
-#: Labelled rows that are fitted on, for each language; and languages, the most frequent first.
-SAMPLE, LANGUAGES = 500, 200
+#: Labelled rows that are fitted on: for each language, and in all; and languages, the most frequent first.
+SAMPLE, ROWS, LANGUAGES = 500, 12_000, 200
 
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -130,7 +130,7 @@ class LanguageModel(NamedTuple):
 def fit_language(
     df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, families=None
 ) -> LanguageModel | None:
-    """Fit on at most ``sample`` rows of each of the ``LANGUAGES`` most frequent languages.
+    """Fit on at most ``sample`` rows of each of the ``LANGUAGES`` most frequent languages, and ``ROWS`` in all.
 
     Rows without text or language are left out. The sample is the rows with the smallest hashes of
     their keys, so it is the same whatever the partitions. None if no row has a language.
@@ -141,6 +141,7 @@ def fit_language(
     counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
     if not counts:
         return None
+    sample = min(sample, ROWS // len(counts))
     # Hashes are even, so a share of their range holds that share of the rows, give or take a little.
     share = {r["_lang"]: min(1.0, (sample + 6 * sample**0.5) / r["count"]) for r in counts}
     limit = F.create_map(*[F.lit(v) for k, s in share.items() for v in (k, int(s * 2**64) - 2**63 - (s == 1.0))])[F.col("_lang")]
