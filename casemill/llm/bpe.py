@@ -188,11 +188,11 @@ def bpe_round_trip(df: DataFrame, file: str, key: str = "doc_id", text: str = "t
     A null text is empty: no tokens. Every row gives one row, also repeated ones and rows with a null key.
     ``file`` is read by each task, so it must be at the same place on all executors. No shuffle.
     """
-    kind = dict(df.dtypes)[key]
+    kind, name = dict(df.dtypes)[key], ("codec", file)
     more = ", ids binary, decoded string" if tokens else ""
 
     def make():
-        codec = per_process(("codec", file), lambda: Codec(file))
+        codec = per_process(name, lambda: Codec(file))
 
         def work(batch):
             ids = [codec.encode(t) for t in pc.fill_null(batch.column("_text"), "").to_pylist()]
@@ -208,5 +208,5 @@ def bpe_round_trip(df: DataFrame, file: str, key: str = "doc_id", text: str = "t
         return work
 
     rows = df.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")
-    out = map_chunks(rows, "_text", make, f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    out = map_chunks(rows, "_text", make, f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}", name)
     return out.withColumnRenamed("_key", key)

@@ -16,7 +16,7 @@ from casemill.workdir import fresh_path, materialize
 #: Bytes of text that a task works on at once.
 CHUNK = 2 << 20
 
-__all__ = ["CHUNK", "chunks", "crc_fold", "has_direction", "map_chunks", "map_groups", "materialize", "per_process", "store", "text_bytes"]
+__all__ = ["CHUNK", "chunks", "crc_fold", "has_direction", "let_go", "map_chunks", "map_groups", "materialize", "per_process", "store", "text_bytes"]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -35,12 +35,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
-def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """Apply a function of small batches. ``make`` runs once per task; its function returns columns by name."""
+def map_chunks(
+    df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, kept=None
+) -> DataFrame:
+    """Apply a function of small batches. ``make`` runs once per task; its function returns columns by name. ``kept`` is
+    the name of what it keeps by ``per_process``."""
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches):
+        let_go(kept)
         work = make()
         for batch in chunks(batches, column):
             out = work(batch)
@@ -50,16 +54,32 @@ def map_chunks(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
 
 
 def per_process(name, make):
-    """What ``make`` returns, made once in a Python worker process and kept for its later tasks."""
-    import sys
-    from types import ModuleType
+    """What ``make`` returns, made once in a Python worker process and kept for its next task of this kind.
 
-    kept = sys.modules.setdefault("casemill_worker", ModuleType("casemill_worker")).__dict__
+    A task of any other kind lets it go (``let_go``), so that a worker holds no more than its task needs.
+    """
+    kept = _kept()
     if name not in kept:
+        kept.clear()
         kept[name] = make()
     return kept[name]
 
 
+def _kept() -> dict:
+    import sys
+    from types import ModuleType
+
+    module = sys.modules.setdefault("casemill_worker", ModuleType("casemill_worker"))
+    return module.__dict__.setdefault("kept", {})
+
+
+def let_go(but=None) -> None:
+    """Drop what an earlier task of another kind has kept in this process; ``but`` is the name that stays."""
+    kept = _kept()
+    for name in [n for n in kept if n != but]:
+        del kept[name]
+
+
 def crc_fold(doc_id, folds: int = 5):
     """The fold of a row: crc32 of its id as text, modulo ``folds``."""
     from pyspark.sql import functions as F
@@ -83,6 +103,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, s
     arrow = to_arrow_schema(kind)
 
     def run(batches):
+        let_go()
         held: list[pa.RecordBatch] = []
 
         def done():

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import map_chunks, map_groups, materialize, store, text_bytes
+from casemill.llm.common import let_go, map_chunks, map_groups, materialize, store, text_bytes
 from casemill.llm.graphs import components
 from casemill.llm.repeats import LAST, numbered, packed, text_hash
 from casemill.llm.windows import mix, word_symbols
@@ -141,6 +141,7 @@ def _in_blocks(members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` within blocks of (``cluster``, ``block``, ``node``, ``_data``): from each node to the first it reaches."""
 
     def run(batches):
+        let_go()
         unpress = zstandard.ZstdDecompressor()
         at, nodes, sets = None, [], []
 

@@ -114,11 +114,11 @@ def pack_documents(
     equal or null keys are packed each. An empty table gives no rows. ``words=False`` is for tokenizers
     that keep white space. One job runs when this is called: it stores the ids in the shared folder.
     """
-    kind = dict(df.dtypes)[key]
+    kind, name = dict(df.dtypes)[key], ("tokens", file, words)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def count():
-        encoder = per_process(("tokens", file, words), lambda: Tokens(file, words))
+        encoder = per_process(name, lambda: Tokens(file, words))
         part, before = TaskContext.get().partitionId(), 0
 
         def work(batch):
@@ -152,7 +152,7 @@ def pack_documents(
         return work
 
     rows = df.selectExpr(f"`{key}` AS _key", f"`{text}` AS _text")
-    ids = store(map_chunks(rows, "_text", count, f"_key {kind}, _part long, _before long, _n long, _ids binary"), "ids")
+    ids = store(map_chunks(rows, "_text", count, f"_key {kind}, _part long, _before long, _n long, _ids binary", name), "ids")
     totals = ids.groupBy("_part").agg(F.sum("_n").alias("_total"))
     order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of pass one
     bases = totals.select("_part", F.coalesce(F.sum("_total").over(order), F.lit(0)).alias("_base"))

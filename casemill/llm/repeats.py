@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.common import chunks, map_chunks, materialize, store, text_bytes
+from casemill.llm.common import chunks, let_go, map_chunks, materialize, store, text_bytes
 from casemill.llm.windows import anchored
 
 LAST = 2**63 - 1
@@ -93,6 +93,7 @@ def _occurrences(docs: DataFrame, symbols, width: int, gram: int) -> DataFrame:
     ranges. ``_to`` is what the rows are dealt out by; ``more`` is how far the end lies behind ``first``."""
 
     def run(batches):
+        let_go()
         for batch in chunks(batches, "_text"):
             docs, copies = batch.column("_doc").to_numpy(), batch.column("_copy").to_numpy()
             parts = []
@@ -210,6 +211,7 @@ def _told_apart(slices: DataFrame, resolve, width: int, limit: int) -> DataFrame
     rows = slices.repartition("group").sortWithinPartitions("group", "_doc", "_copy", "first")
 
     def run(batches):
+        let_go()
         items: list[tuple] = []
         held, seen, carried = 0, set(), None
 
