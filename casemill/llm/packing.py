@@ -10,6 +10,7 @@ cuts each document where a window ends. No text and no ids are shuffled.
 from __future__ import annotations
 
 import os
+from string import punctuation
 from zlib import crc32
 
 import numpy as np
@@ -22,8 +23,6 @@ from casemill.llm.common import map_chunks, per_process, store
 
 #: Words that a worker process remembers before it starts anew.
 REMEMBERED = 700_000
-#: A letter of Latin-1 stays one letter under NFC and lower case, so a closing mark stands apart from it.
-MARKS = frozenset(",.;:!?")
 
 
 class Tokens:
@@ -52,7 +51,7 @@ class Tokens:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _word_ids(self, words: list[str], group: int = 2000) -> list[bytes]:
-        """Ids of words that are letters or one mark, many in a text: a word ends where a last piece does."""
+        """Ids of words that are letters or marks alone, many in a text: a word ends where a last piece does."""
         if self.last is None:
             return self._ids(words)
         groups = [words[i : i + group] for i in range(0, len(words), group)]
@@ -69,10 +68,11 @@ class Tokens:
 
     @staticmethod
     def _halves(word: str) -> tuple[str, ...]:
-        """The word in lower case, and the mark that closes it; nothing for all else."""
-        core, mark = (word[:-1], word[-1:]) if word[-1:] in MARKS else (word, "")
+        """Letters of Latin-1 in lower case, and the marks that close them; nothing for all else. Such a letter stays one
+        letter under NFC and lower case, so marks stand apart from it."""
+        core = word.rstrip(punctuation)
         if core.isalpha() and (core.isascii() or max(core) < "Ā"):
-            return (core.lower(), mark) if mark else (core.lower(),)
+            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
         return ()
 
     def encode(self, texts: list[str]) -> list[bytes]:
