@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from casemill.llm.common import map_chunks, per_process, store
 
 #: Words that a worker process remembers before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 
 class Tokens:
