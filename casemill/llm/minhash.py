@@ -199,11 +199,11 @@ def _against(dealt: DataFrame, size: int, percent: int) -> DataFrame:
     return map_groups(dealt, ["cluster", "block", "pack"], ["asks", "node"], compare, "a long, b long")
 
 
-def _across(keyed: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
     """Links of large clusters with those that lie across blocks.
 
-    First one member of each group that hangs together, and has others, asks all blocks with which it shares a
-    bucket; so what the blocks have cut apart grows together. Then every document that is still outside its
+    First one member of each group that hangs together, and has others, asks all blocks of its
+    cluster; so what the blocks have cut apart grows together. Then every document that is still outside its
     cluster's largest group asks them. A pair of a bucket whose ends do not hang together by then has one
     that asks, and is compared; no pair is a row.
     """
@@ -216,9 +216,8 @@ def _across(keyed: DataFrame, texts: DataFrame, links: DataFrame, size: int, per
         else:
             largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "group")).alias("most")).select("cluster", F.col("most.group").alias("largest"))
             asking = members.join(largest, "cluster").filter("group <> largest").select("node")
-        places = keyed.join(members.select("node", "block"), "node").select("band", "block").distinct()
-        sent = materialize(keyed.join(asking, "node").join(places, "band").select("node", "block").distinct(), "sent")
-        queries = sent.join(members.drop("block", "blocks"), "node")
+        blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+        queries = members.join(asking, "node", "left_semi").select("node", "cluster", "group", "_data", blocks)
         packs = queries.groupBy("cluster", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("packs"))
         pack = F.pmod(F.xxhash64("node"), F.col("packs")).cast("int").alias("pack")
         every = F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack")
@@ -261,8 +260,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     links = materialize(_in_blocks(texts, size, percent), "links")
     large = texts.filter("blocks > 1")
     if not large.isEmpty():
-        open_keys = materialize(keyed.join(large.select("node"), "node", "left_semi"), "open")
-        links = _across(open_keys, large, links, size, percent)
+        links = _across(large, links, size, percent)
     labels = components(links)
     grouped = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min(F.struct("_doc", "_copy")).alias("head"))
