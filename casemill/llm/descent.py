@@ -10,111 +10,131 @@ from casemill.llm.common import has_direction, map_groups, materialize
 from casemill.llm.graphs import components
 from casemill.llm.vectors import cosines, matrix, unit
 
-#: Length of a list; rows of a block; tables that the first lists come from; rounds at most; audited vectors.
-LIST, BLOCK, TABLES, ROUNDS, AUDIT = 8, 64, 6, 6, 48
+#: Length of a list, of others of the own group and of other groups; rows of a block; rounds of a pass and passes at most.
+LIST, BLOCK, ROUNDS, PASSES = 8, 64, 6, 4
+#: How likely a pair at the limit may share no table of one pass; rows of a block where all of a component meet.
+MISS, MEMBERS = 0.01, 256
 SLACK = 1e-6
-
-
-def _best(nodes: np.ndarray, vectors: np.ndarray, keep: int, floor=None):
-    """For each row the ``keep`` nearest others in the block that beat its ``floor``: places and cosines."""
-    near = vectors @ vectors.T
-    near[nodes[:, None] == nodes[None, :]] = -2
-    if floor is not None:
-        near[near <= floor[:, None]] = -2
-    keep = min(keep, len(nodes))
-    at = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-    rows = np.repeat(np.arange(len(nodes)), keep)
-    at = at.ravel()
-    good = near[rows, at] > -2
-    return rows[good], at[good], near[rows, at][good]
+_MET = "u long, v long, near double, new boolean, inside boolean, tie boolean"
+
+
+def _links(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Products of all rows of ``a`` and ``b``, and which of them are links; what the product leaves open the cosine settles."""
+    near = a @ b.T
+    links = near >= least
+    unsure = np.argwhere(np.abs(near - least) < SLACK)
+    if len(unsure):
+        i, j = unsure.T
+        links[i, j] = cosines(a[i], b[j]) >= least
+    return near, links
+
+
+def _reached(links: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row that it reaches."""
+    first = np.arange(len(links))
+    if not links.any():
+        return first
+    while True:
+        then = np.minimum(first, np.where(links, first, len(links)).min(axis=1))
+        then = then[then]
+        if (then == first).all():
+            return first
+        first = then
+
+
+def _meet(ids: np.ndarray, group: np.ndarray, x: np.ndarray, least: float, floors=None, fresh=None) -> dict:
+    """All of a block compared: for each row the ``LIST`` nearest others of its own group and of other groups, those that
+    beat its ``floors`` (by kind) and are not both old; and ties, which join groups as all links of the block do."""
+    near, links = _links(x, x, least)
+    others = ids[:, None] != ids[None, :]
+    first = _reached(links & others)
+    tied = np.flatnonzero(group[first] != group)
+    inside = group[:, None] == group[None, :]
+    u, v, is_inside = [tied], [first[tied]], [np.zeros(len(tied), dtype=bool)]
+    keep = min(LIST, len(ids))
+    for kind in (False, True):
+        fit = others & (inside == kind)
+        if floors is not None:
+            fit &= near > floors[kind][:, None]
+        if fresh is not None:
+            fit &= fresh[:, None] | fresh[None, :]
+        if not fit.any():
+            continue
+        at = np.argpartition(np.where(fit, -near, 2), keep - 1, axis=1)[:, :keep].ravel()
+        rows = np.repeat(np.arange(len(ids)), keep)
+        good = fit[rows, at]
+        u.append(rows[good]), v.append(at[good]), is_inside.append(np.full(int(good.sum()), kind))
+    u, v = np.concatenate(u), np.concatenate(v)
+    tie = np.arange(len(u)) < len(tied)
+    return {"u": ids[u], "v": ids[v], "near": near[u, v], "new": np.ones(len(u), dtype=bool), "inside": np.concatenate(is_inside), "tie": tie}
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """The ``LIST`` nearest of each node, each neighbour once."""
-    once = edges.groupBy("u", "v").agg(F.max("near").alias("near"), F.min("new").alias("new"))
-    ranked = once.withColumn("_rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("near"), "v")))
+    """The ``LIST`` nearest of each node, in its own group and in others, each neighbour once."""
+    once = edges.groupBy("u", "v", "inside").agg(F.max("near").alias("near"), F.min("new").alias("new"))
+    ranked = once.withColumn("_rank", F.row_number().over(Window.partitionBy("u", "inside").orderBy(F.desc("near"), "v")))
     return ranked.filter(F.col("_rank") <= LIST).drop("_rank")
 
 
-def _first_lists(nodes: DataFrame, dim: int, count: int) -> DataFrame:
-    """Lists from blocks of nodes whose vectors lie on the same sides of random planes."""
+def _tables(bits: int, least: float) -> int:
+    """Tables in which a pair at the limit lies on one side of all planes once, but for a share of ``MISS``."""
+    same = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
+    return int(np.ceil(np.log(MISS) / np.log1p(-same))) if same < 1 - MISS else 1
+
+
+def _first_meetings(nodes: DataFrame, dim: int, count: int, least: float, turn: int) -> DataFrame:
+    """What blocks of nodes hold whose vectors lie on the same sides of random planes, others for each ``turn``."""
     bits = int(np.clip(np.ceil(np.log2(max(count, 1) / (BLOCK // 2))), 0, 40))
-    planes = np.random.default_rng(11).normal(size=(TABLES, bits, dim))
+    tables = _tables(bits, least)
+    planes = np.random.default_rng(11 + turn).normal(size=(tables, bits, dim))
 
     def coded(batches):
         import pyarrow as pa
 
         for batch in batches:
             x = matrix(batch.column("vector")) if len(batch) else np.zeros((0, dim))
-            for t in range(TABLES):
+            for t in range(tables):
                 sides = (x @ planes[t].T > 0).astype(np.int64)
                 code = (sides << np.arange(bits)).sum(axis=1) + (t << 41)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("space", "node", "vector")), pa.array(code)], names=["space", "node", "vector", "code"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("space", "node", "group", "vector")), pa.array(code)], names=["space", "node", "group", "vector", "code"])
 
-    rows = nodes.select("space", "node", "vector").mapInArrow(coded, "space long, node long, vector array<double>, code long")
+    rows = nodes.select("space", "node", "group", "vector").mapInArrow(coded, "space long, node long, group long, vector array<double>, code long")
     blocks = rows.groupBy("space", "code").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
-    dealt = rows.join(blocks, ["space", "code"], "left").withColumn("block", F.pmod(F.xxhash64("node", "code"), F.coalesce("blocks", F.lit(1))))
+    dealt = rows.join(blocks, ["space", "code"], "left").withColumn("block", F.pmod(F.xxhash64("node", "code", F.lit(turn)), F.coalesce("blocks", F.lit(1))))
 
     def near(batch):
         if len(batch) > 1:
-            ids = batch.column("node").to_numpy()
-            rows, at, values = _best(ids, matrix(batch.column("vector")), LIST)
-            return {"u": ids[rows], "v": ids[at], "near": values, "new": np.ones(len(rows), dtype=bool)}
+            return _meet(batch.column("node").to_numpy(), batch.column("group").to_numpy(), matrix(batch.column("vector")), least)
 
-    found = map_groups(dealt.select("space", "code", "block", "node", "vector"), ["space", "code", "block"], ["node"], near, "u long, v long, near double, new boolean")
-    return _lists(found)
+    return map_groups(dealt.select("space", "code", "block", "node", "group", "vector"), ["space", "code", "block"], ["node"], near, _MET)
 
 
-def _joined(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def _joined(lists: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Neighbours of neighbours: around each node its list and the nodes that list it, in blocks; those nearer than the
     last of a list are new for it."""
-    ends = lists.groupBy("u").agg(F.when(F.count("*") >= LIST, F.min("near")).otherwise(-1.5).alias("floor"))
+    floor = {k: F.when(F.count_if(c) >= LIST, F.min(F.when(c, F.col("near")))).otherwise(-1.5) for k, c in (("near_in", F.col("inside")), ("near_out", ~F.col("inside")))}
+    ends = lists.groupBy("u").agg(*(f.alias(k) for k, f in floor.items()))
     both = lists.select(F.col("u").alias("hub"), F.col("v").alias("node"), "new").unionByName(lists.select(F.col("v").alias("hub"), F.col("u").alias("node"), "new"))
     around = both.groupBy("hub", "node").agg(F.max("new").alias("new"))
     # A hub that very many list is dealt out over blocks; its own list's members meet in some of them.
     crowd = around.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max("new").alias("any")).filter("any")
     dealt = around.join(crowd, "hub").withColumn("block", F.pmod(F.xxhash64("node", "hub"), F.col("blocks")))
-    full = dealt.join(nodes.select("node", "vector"), "node").join(ends, F.col("node") == F.col("u"), "left")
-    full = full.select("hub", "block", "node", "new", "vector", F.coalesce("floor", F.lit(-1.5)).alias("floor"))
+    full = dealt.join(nodes.select("node", "group", "vector"), "node").join(ends, F.col("node") == F.col("u"), "left")
+    full = full.select("hub", "block", "node", "group", "new", "vector", *(F.coalesce(k, F.lit(-1.5)).alias(k) for k in floor))
 
     def near(batch):
         if len(batch) > 1:
-            ids, floor = batch.column("node").to_numpy(), batch.column("floor").to_numpy()
-            fresh = np.asarray(batch.column("new"))
-            rows, at, values = _best(ids, matrix(batch.column("vector")), LIST, floor)
-            some = fresh[rows] | fresh[at]  # two old ones have met before
-            return {"u": ids[rows[some]], "v": ids[at[some]], "near": values[some], "new": np.ones(int(some.sum()), dtype=bool)}
-
-    return map_groups(full, ["hub", "block"], ["node"], near, "u long, v long, near double, new boolean")
-
-
-def _audit(nodes: DataFrame, lists: DataFrame, least: float) -> float:
-    """Share of the links of ``AUDIT`` nodes, found by comparing them with all, that their lists hold; the lists are
-    at most ``LIST`` long, so a node counts no more than that."""
-    some = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(AUDIT).select("node", "space", "vector").collect()
-    if not some:
-        return 1.0
-    ids, spaces = np.array([r["node"] for r in some]), np.array([r["space"] for r in some])
-    x = np.array([r["vector"] for r in some])
-
-    def count(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if len(batch):
-                near = (x @ matrix(batch.column("vector")).T >= least) & (spaces[:, None] == batch.column("space").to_numpy())
-                near &= ids[:, None] != batch.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(axis=1))], names=["u", "n"])
+            ids, group, x = batch.column("node").to_numpy(), batch.column("group").to_numpy(), matrix(batch.column("vector"))
+            floors = batch.column("near_out").to_numpy(), batch.column("near_in").to_numpy()
+            return _meet(ids, group, x, least, floors, np.asarray(batch.column("new")))  # two old ones have met before
 
-    true = {r["u"]: min(r["n"], LIST) for r in nodes.mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).collect()}
-    found = lists.filter((F.col("near") >= least) & F.col("u").isin(ids.tolist())).groupBy("u").count().collect()
-    return sum(min(r["count"], true.get(r["u"], 0)) for r in found) / max(sum(true.values()), 1) if sum(true.values()) else 1.0
+    return map_groups(full, ["hub", "block"], ["node"], near, _MET)
 
 
-def _whole(members: DataFrame, least: float) -> DataFrame:
-    """Lists without an end, as sums: how many vectors each node of a component links with, all its members compared
-    in pairs of blocks."""
-    sizes = members.groupBy("label").agg(F.ceil(F.count("*") / 256).cast("int").alias("blocks"))
+def _whole(members: DataFrame, least: float, size: int, ties: bool = False) -> DataFrame:
+    """Lists without an end, as sums: how many vectors (``links``) each node links with among those of its ``label``, all
+    compared in pairs of blocks of ``size``. With ``ties`` also, in ``to``, the first node of a pair of blocks that it reaches."""
+    sizes = members.groupBy("label").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.select("label", "node", "vector", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(
@@ -125,18 +145,23 @@ def _whole(members: DataFrame, least: float) -> DataFrame:
         ids, v, copies = batch.column("node").to_numpy(), matrix(batch.column("vector")), batch.column("copies").to_numpy()
         block, x, y = batch.column("block").to_numpy(), batch.column("x")[0].as_py(), batch.column("y")[0].as_py()
         own, other = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        near = v[own] @ v[other].T
-        unsure = np.argwhere(np.abs(near - least) < SLACK)
-        links = near >= least
-        if len(unsure):
-            i, j = unsure.T
-            links[i, j] = cosines(v[own[i]], v[other[j]]) >= least
-        links &= ids[own][:, None] != ids[other][None, :]
-        if x == y:
-            return {"node": ids[own], "links": links @ copies[other]}
-        return {"node": np.concatenate([ids[own], ids[other]]), "links": np.concatenate([links @ copies[other], links.T @ copies[own]])}
+        links = _links(v[own], v[other], least)[1] & (ids[own][:, None] != ids[other][None, :])
+        sums = np.zeros(len(ids), dtype=np.int64)
+        sums[own] += links @ copies[other]
+        if x != y:
+            sums[other] += links.T @ copies[own]
+        to = ids
+        if ties and links.any():
+            all_ = np.zeros((len(ids), len(ids)), dtype=bool)
+            all_[np.ix_(own, other)] = links
+            to = ids[_reached(all_ | all_.T)]
+        return {"node": ids, "links": sums, "to": to}
+
+    return map_groups(dealt, ["label", "x", "y"], ["node"], count, "node long, links long, to long")
+
 
-    return map_groups(dealt, ["label", "x", "y"], ["node"], count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
@@ -147,9 +172,11 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     that are null, empty, all zero, or hold a null or a value that is not finite link with nothing, as do
     rows without a label. Null keys count as rows and are nobody's smallest key. Jobs run when this is called.
 
-    Lists of ``LIST`` neighbours are refined by joins of neighbours of neighbours until hardly any change, and an audit
-    against all rows finds at least 0.99 of the links. A list whose last entry still is a link is saturated: it
-    is enlarged to all of the component that the links make.
+    Lists of ``LIST`` neighbours are refined by joins of neighbours of neighbours until hardly any change. All links of
+    what meets in a join tie groups together, whether a list has place for them or not. Then a pass with other planes
+    begins, in which each node also has a list of its nearest outside its group, so a link that is left
+    out of one group to another has a place however many are within; passes end when one ties nothing. Links are counted in whole
+    components.
     """
     kind, number = dict(df.dtypes)[key], F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(label).alias("_label"), number.alias("vector"))
@@ -160,15 +187,14 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     )
     nodes = _normed(nodes)
     spaces = nodes.groupBy(F.size("vector").alias("dim"), "space").count().groupBy("dim").agg(F.max("count").alias("most")).orderBy("dim").collect()
-    links = totals = None
+    labels = totals = None
     for dim, most in ((r["dim"], r["most"]) for r in spaces):
         own = nodes.filter(F.size("vector") == dim)
-        links_, totals_ = _descend(own, dim, most, least)
-        links, totals = (links_, totals_) if links is None else (links.unionByName(links_), totals.unionByName(totals_))
-    if links is None:
+        labels_, totals_ = _descend(own, dim, most, least)
+        labels, totals = (labels_, totals_) if labels is None else (labels.unionByName(labels_), totals.unionByName(totals_))
+    if labels is None:
         out = rows.withColumn("links", F.lit(0)).withColumn("component", F.col("_id"))
     else:
-        labels = components(links)
         grouped = nodes.select("node", "copies", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         smallest = grouped.groupBy("label").agg(F.min("least").alias("component"))
         named = grouped.join(smallest, "label").join(totals, "node", "left")
@@ -196,35 +222,39 @@ def _normed(nodes: DataFrame) -> DataFrame:
     return materialize(nodes.mapInArrow(work, fields), "nodes")
 
 
-def _descend(nodes: DataFrame, dim: int, most: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Links between nodes of one length, enough to connect them, and how many vectors each node links with."""
-    lists = materialize(_first_lists(nodes, dim, most), "lists")
+def _grouped(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    found = nodes.drop("group").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
+    return materialize(found, "groups")
+
+
+def _pass(nodes: DataFrame, lists: DataFrame | None, dim: int, most: int, least: float, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Lists from tables of planes and from ``lists``, refined until hardly any change; and the ties of all that met."""
+    met = materialize(_first_meetings(nodes, dim, most, least, turn), "met")
+    found, ties = met.filter("NOT tie").drop("tie"), met.filter("tie").select("u", "v")
+    if lists is not None:
+        at_u, at_v = (nodes.select(F.col("node").alias(n), F.col("group").alias(f"{n}_group")) for n in "uv")
+        again = lists.drop("inside").join(at_u, "u").join(at_v, "v").withColumn("inside", F.col("u_group") == F.col("v_group"))
+        found = found.unionByName(again.select("u", "v", "near", F.lit(True).alias("new"), "inside"))
+    lists = materialize(_lists(found), "lists")
     for _ in range(ROUNDS):
+        met = materialize(_joined(lists, nodes, least), "met")
+        ties = ties.unionByName(met.filter("tie").select("u", "v"))
         old = lists.withColumn("new", F.lit(False))
-        lists = materialize(_lists(old.unionByName(_joined(lists, nodes))), "lists")
+        lists = materialize(_lists(old.unionByName(met.filter("NOT tie").drop("tie"))), "lists")
         changed, total = lists.agg(F.sum(F.col("new").cast("long")), F.count("*")).first()
-        if (changed or 0) <= 0.02 * (total or 0) or _audit(nodes, lists, least) >= 0.99:
+        if (changed or 0) <= 0.02 * (total or 0):
             break
-    near = lists.filter(F.col("near") >= least - SLACK)
-    ends = nodes.select("node", "vector", "copies")
-    pairs = near.join(ends.select(F.col("node").alias("u"), F.col("vector").alias("x"), F.col("copies").alias("m")), "u").join(
-        ends.select(F.col("node").alias("v"), F.col("vector").alias("y"), F.col("copies").alias("n")), "v"
-    )
+    return lists, materialize(ties.distinct(), "ties")
 
-    def exact(batches):
 
-        for batch in batches:
-            if len(batch):
-                good = cosines(matrix(batch.column("x")), matrix(batch.column("y"))) >= least
-                yield batch.filter(good).select(["u", "v", "m", "n"])
-
-    kept = materialize(pairs.select("u", "v", "m", "n", "x", "y").mapInArrow(exact, "u long, v long, m long, n long"), "links")
-    both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("n").alias("m"), F.col("m").alias("n"))).distinct()
-    links = kept.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    labels = components(links)
-    saturated = kept.groupBy("u").count().filter(F.col("count") >= LIST).select(F.col("u").alias("node"))
-    open_ = labels.join(saturated, "node").select("label").distinct()
-    members = labels.join(open_, "label").join(ends, "node")
-    whole = materialize(_whole(members, least), "sums")
-    counted = both.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links")).join(whole, "node", "left_anti")
-    return links, counted.unionByName(whole)
+def _descend(nodes: DataFrame, dim: int, most: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Components of nodes of one length, as ``node`` and ``label``, and how many vectors each node links with."""
+    nodes, lists, ties, labels = nodes.withColumn("group", F.col("node")), None, None, None
+    for turn in range(PASSES):
+        lists, new = _pass(nodes, lists, dim, most, least, turn)
+        if turn and new.isEmpty():
+            break
+        ties = new if ties is None else ties.unionByName(new)
+        labels = components(ties.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        nodes = _grouped(nodes, labels)
+    return labels, _summed(_whole(labels.join(nodes, "node"), least, MEMBERS))

@@ -108,6 +108,22 @@ def test_links(spark):
     assert link_vectors(df.limit(0)).collect() == []
 
 
+def _tight(rng, centre, n, spread):
+    x = centre + rng.normal(size=(n, len(centre))) * spread / np.sqrt(len(centre))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_links_of_tight_groups_across(spark):
+    """Groups larger than a list, which link only with members of the other beyond its end."""
+    rng = np.random.default_rng(3)
+    a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    x = np.concatenate([_tight(rng, a, 20, 0.02), _tight(rng, a * 0.985 + b * np.sqrt(1 - 0.985**2), 20, 0.02)])
+    near = x @ x.T
+    assert near[:20, :20].min() > 0.998 and near[20:, 20:].min() > 0.998 and near[:20, 20:].max() < 0.99 and near.min() > 0.9805
+    df = spark.createDataFrame([(i, row.tolist(), 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, link_vectors(df).collect())) == [(i, 39, 0, i == 0) for i in range(40)]
+
+
 def test_search(spark):
     rows, df = vectors(spark)
     out = search_vectors(df, F.col("vec_id") % 20 == 0).collect()
