@@ -12,8 +12,10 @@ from casemill.llm.vectors import cosines, matrix, unit
 
 #: Length of a list, of others of the own group and of other groups; rows of a block; rounds of a pass and passes at most.
 LIST, BLOCK, ROUNDS, PASSES = 8, 64, 6, 4
-#: How likely a pair at the limit may share no table of one pass; rows of a block where all of a component meet.
-MISS, MEMBERS = 0.01, 256
+#: Audited vectors, the links that they must have between them, and the share of these to be found.
+AUDIT, EVIDENCE, RECALL = 256, 30, 0.99
+#: How likely a pair at the limit may share no table of one pass; rows of a block where all of a component, or of a space, meet.
+MISS, MEMBERS, ALL = 0.01, 256, 1024
 SLACK = 1e-6
 _MET = "u long, v long, near double, new boolean, inside boolean, tie boolean"
 
@@ -131,6 +133,41 @@ def _joined(lists: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return map_groups(full, ["hub", "block"], ["node"], near, _MET)
 
 
+def _audit(nodes: DataFrame, lists: DataFrame, least: float) -> tuple[int, int, DataFrame]:
+    """``AUDIT`` nodes compared with all, half of them ends of near edges: how many links they have, all counted, how
+    many of these lie within groups, and ties for the others."""
+    some = nodes.select("node", "space", "group", "vector").orderBy(F.xxhash64("node", F.lit(3)))
+    ends = lists.filter(F.col("near") >= least - 0.05).select(F.col("u").alias("node")).distinct()
+    picked = {r["node"]: r for df in (some.join(ends, "node", "left_semi").orderBy(F.xxhash64("node", F.lit(5))), some) for r in df.limit(AUDIT // 2).collect()}
+    ids, spaces, groups = (np.array([r[c] for r in picked.values()], dtype=np.int64) for c in ("node", "space", "group"))
+    x = np.array([r["vector"] for r in picked.values()])
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch) and len(ids):
+                node, group = batch.column("node").to_numpy(), batch.column("group").to_numpy()
+                links = _links(x, matrix(batch.column("vector")), least)[1]
+                links &= (spaces[:, None] == batch.column("space").to_numpy()) & (ids[:, None] != node)
+                missed = links & (groups[:, None] != group)
+                u, v = [], []
+                for i in np.flatnonzero(missed.any(axis=1)):
+                    at = np.flatnonzero(missed[i])
+                    at = at[np.unique(group[at], return_index=True)[1]]  # one for each group
+                    u.append(np.full(len(at), ids[i])), v.append(node[at])
+                u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *c]) for c in (u, v))
+                sums = np.zeros((2, len(u) + 1), dtype=np.int64)
+                sums[:, 0] = links.sum(), links.sum() - missed.sum()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None, *u.tolist()], pa.int64()), pa.array([None, *v.tolist()], pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=["u", "v", "n", "held"]
+                )
+
+    seen = materialize(nodes.select("node", "space", "group", "vector").mapInArrow(count, "u long, v long, n long, held long"), "audit")
+    true, held = seen.agg(F.sum("n"), F.sum("held")).first()
+    return true or 0, held or 0, seen.filter("u IS NOT NULL").select("u", "v")
+
+
 def _whole(members: DataFrame, least: float, size: int, ties: bool = False) -> DataFrame:
     """Lists without an end, as sums: how many vectors (``links``) each node links with among those of its ``label``, all
     compared in pairs of blocks of ``size``. With ``ties`` also, in ``to``, the first node of a pair of blocks that it reaches."""
@@ -176,7 +213,8 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     what meets in a join tie groups together, whether a list has place for them or not. Then a pass with other planes
     begins, in which each node also has a list of its nearest outside its group, so a link that is left
     out of one group to another has a place however many are within; passes end when one ties nothing. Links are counted in whole
-    components.
+    components. An audit compares nodes with all rows and counts all their links: if it sees fewer than ``EVIDENCE``, or
+    less than ``RECALL`` of them in one component, all vectors of each space are compared in pairs of blocks.
     """
     kind, number = dict(df.dtypes)[key], F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(label).alias("_label"), number.alias("vector"))
@@ -249,12 +287,23 @@ def _pass(nodes: DataFrame, lists: DataFrame | None, dim: int, most: int, least:
 
 def _descend(nodes: DataFrame, dim: int, most: int, least: float) -> tuple[DataFrame, DataFrame]:
     """Components of nodes of one length, as ``node`` and ``label``, and how many vectors each node links with."""
-    nodes, lists, ties, labels = nodes.withColumn("group", F.col("node")), None, None, None
+    nodes, lists, ties, labels, good = nodes.withColumn("group", F.col("node")), None, None, None, False
     for turn in range(PASSES):
         lists, new = _pass(nodes, lists, dim, most, least, turn)
-        if turn and new.isEmpty():
+        grown = not new.isEmpty()
+        if grown:
+            ties = new if ties is None else ties.unionByName(new)
+            labels = components(ties.select(F.col("u").alias("a"), F.col("v").alias("b")))
+            nodes = _grouped(nodes, labels)
+        true, held, missed = _audit(nodes, lists, least)
+        good = true >= EVIDENCE and held >= RECALL * true
+        if held < true:
+            ties = missed if ties is None else ties.unionByName(missed)
+            labels = components(ties.select(F.col("u").alias("a"), F.col("v").alias("b")))
+            nodes = _grouped(nodes, labels)
+        if not grown and held == true:
             break
-        ties = new if ties is None else ties.unionByName(new)
-        labels = components(ties.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        nodes = _grouped(nodes, labels)
-    return labels, _summed(_whole(labels.join(nodes, "node"), least, MEMBERS))
+    if good:
+        return labels, _summed(_whole(labels.join(nodes, "node"), least, MEMBERS))
+    met = materialize(_whole(nodes.withColumn("label", F.col("space")), least, ALL, ties=True), "sums")
+    return components(met.select(F.col("node").alias("a"), F.col("to").alias("b"))), _summed(met)

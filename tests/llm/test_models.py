@@ -124,6 +124,20 @@ def test_links_of_tight_groups_across(spark):
     assert sorted(map(tuple, link_vectors(df).collect())) == [(i, 39, 0, i == 0) for i in range(40)]
 
 
+def test_rare_links_in_a_cone(spark):
+    """Planes do not part these vectors, and an audit of a few of them sees hardly any of the 30 links."""
+    rng = np.random.default_rng(6)
+    x = np.eye(1, 48)[0] * 2 + rng.normal(size=(1800, 48)) / np.sqrt(48)
+    for i in range(30):
+        x[1700 + i] = x[i] + rng.normal(size=48) * 0.35 / np.sqrt(48)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.98
+    np.fill_diagonal(links, False)
+    assert 40 < links.sum() < 200
+    df = spark.createDataFrame([(i, row.tolist(), 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert [r.n_links for r in sorted(link_vectors(df).collect(), key=lambda r: r.vec_id)] == links.sum(axis=1).tolist()
+
+
 def test_search(spark):
     rows, df = vectors(spark)
     out = search_vectors(df, F.col("vec_id") % 20 == 0).collect()
