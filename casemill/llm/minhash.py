@@ -63,12 +63,15 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` with one document of each group of near duplicates: the first in the order of keys. Of rows
-    with one key and one text, one stays. Documents without words stay."""
+    with one key and one text that has words, one stays. Documents without words stay, all of them."""
     best = near_duplicates(df, key, text, size, percent).filter("stands")
     order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     best = best.select(order.alias("_order"), F.col("text_hash").alias("_hash")).distinct()
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), order.alias("_order"), text_hash(F.col(text)).alias("_hash"))
-    return rows.join(best, ["_order", "_hash"], "left_semi").dropDuplicates(["_order", "_hash"]).select("row.*")
+    # Rows without words are nobody's duplicates, whatever key and text they share.
+    words = F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\t-\r ]"), F.lit(False))
+    one = rows.filter(words).join(best, ["_order", "_hash"], "left_semi").dropDuplicates(["_order", "_hash"])
+    return one.unionByName(rows.filter(~words)).select("row.*")
 
 
 def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:

@@ -219,6 +219,13 @@ def test_near_duplicates(spark, rows, docs, block, monkeypatch):
     assert Counter(map(tuple, out.collect())) == want
 
 
+def test_keep_one_keeps_rows_without_words(spark):
+    rows = [(None, None, "a"), (None, "", "b"), (None, None, "a"), (3, " \n\t", "c"), (3, " \n\t", "d"), (4, "x y z", "e"), (4, "x y z", "f"), (5, "\u00a0", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    out = sorted(r.other for r in keep_one(df).collect())
+    assert out[:5] == ["a", "a", "b", "c", "d"] and out[5] in ("e", "f") and out[6:] == ["g"]
+
+
 def test_keep_one(spark):
     text = " ".join(map(str, range(60)))
     rows = [(4, text, 1), (4, text, 1), (2, text + " x", 2), (9, "other words", 3), (8, "", 4), (7, None, 5)]
