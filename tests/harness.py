@@ -61,9 +61,11 @@ def compare(spark, con, query, sql, sf_dir):
 
 
 def main(sf="0.01", *names):
-    from casemill.bindings import ORACLES, QUERIES
+    import __spark_entry__ as entry
     from casemill.session import get_session
 
+    queries, oracles = entry.queries(), entry.oracle_sql()
+
     spark = get_session(
         master="local[8]",
         conf={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"},
@@ -72,14 +74,14 @@ def main(sf="0.01", *names):
     sf_dir = f"/root/testdata/sf{sf}"
     con = sql_connection(sf_dir)
     bad = 0
-    for name in names or sorted(QUERIES):
+    for name in names or sorted(queries):
         start = time.time()
         try:
-            if name in ORACLES:
-                problem = compare(spark, con, QUERIES[name], ORACLES[name], sf_dir)
+            if name in oracles:
+                problem = compare(spark, con, queries[name], oracles[name], sf_dir)
                 note = "same"
             else:
-                n = len(QUERIES[name](spark, sf_dir).collect())
+                n = len(queries[name](spark, sf_dir).collect())
                 problem, note = (None if n else "no rows"), f"{n} rows, no SQL"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
