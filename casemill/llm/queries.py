@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casemill.llm.bpe import bpe_round_trip
 from casemill.llm.common import crc_fold, store
 from casemill.llm.descent import link_vectors
+from casemill.llm.filters import audit_filters
 from casemill.llm.language import fit_language, identify_language
 from casemill.llm.minhash import near_duplicates
 from casemill.llm.packing import pack_documents
@@ -91,3 +92,59 @@ def op9_quality_fourier(spark, sf_dir):
 @query
 def op10_bpe_automaton(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op13_removal_potential(spark, sf_dir):
+    flags = {"good_lost": "quality = 1", "toxic_lost": "toxic = 1"}
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), flags)
+
+
+ORACLES["op13_removal_potential"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+firsts AS (SELECT t, min(coalesce(doc_id, 9223372036854775807)) AS first FROM texts GROUP BY t),
+fails AS (
+  SELECT part, doc_id,
+    (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(words.t) - length(regexp_replace(words.t, '[A-Z]', '', 'g'))) > 10 * length(words.t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(words.t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN coalesce(doc_id, 9223372036854775807) > first THEN 'E' ELSE '' END) AS failed
+  FROM words JOIN firsts ON words.t = firsts.t
+),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+counted AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM fails LEFT JOIN marks ON fails.doc_id = marks.doc_id GROUP BY part, failed
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+),
+seen AS (
+  SELECT *, contains(failed, own) AS fails_own, translate(failed, earlier, '') <> failed AS gone FROM counted, steps
+),
+summed AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN NOT fails_own AND NOT gone THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails_own AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails_own AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails_own AND NOT gone THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails_own AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
