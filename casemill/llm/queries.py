@@ -8,6 +8,7 @@ from casemill.llm.bpe import bpe_round_trip
 from casemill.llm.common import crc_fold, store
 from casemill.llm.descent import link_vectors
 from casemill.llm.filters import audit_filters
+from casemill.llm.impact import search_products
 from casemill.llm.language import fit_language, identify_language
 from casemill.llm.minhash import near_duplicates
 from casemill.llm.packing import pack_documents
@@ -94,6 +95,31 @@ def op10_bpe_automaton(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op12_impact_index(spark, sf_dir):
+    return search_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_impact_index"] = """
+WITH flat AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS place, unnest(embedding) AS value FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+),
+ints AS (
+  SELECT vec_id, list(floor(1024 * CAST(value AS DOUBLE)) ORDER BY place) AS x FROM flat
+  GROUP BY vec_id HAVING bool_and(value IS NOT NULL AND isfinite(value))
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON len(q.x) = len(c.x) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op13_removal_potential(spark, sf_dir):
     flags = {"good_lost": "quality = 1", "toxic_lost": "toxic = 1"}
