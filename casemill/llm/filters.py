@@ -119,7 +119,7 @@ def audit_filters(
     players, counts = len(names), ["n", *flags]
     rows = _failures(df, filters, key, text, part)
     known = labels.select(F.col(f"`{label_key}`").alias("_id"), *(F.expr(f"CAST(coalesce({x}, false) AS int)").alias(c) for c, x in flags.items()))
-    known = known.filter(F.col("_id").isNotNull()).groupBy("_id").agg(*(F.max(c).alias(c) for c in flags))
+    known = known.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.count("*").alias("_rows"), *(F.max(c).alias(c) for c in flags))
     rows = rows.join(known, "_id", "left").select(
         "_id", "_part", "_hash", "_fails", "n", *((F.coalesce(F.col(c), F.lit(0)) * F.col("n")).alias(c) for c in flags)
     )

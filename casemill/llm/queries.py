@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casemill.llm.alignment import align_tokenizers
 from casemill.llm.bpe import bpe_round_trip
 from casemill.llm.common import crc_fold, store
 from casemill.llm.descent import link_vectors
@@ -95,6 +96,11 @@ def op10_bpe_automaton(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op11_pair_bitmaps(spark, sf_dir):
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 @query
 def op12_impact_index(spark, sf_dir):
     return search_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
