@@ -28,7 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from casemill.llm.bpe import byte_letters
-from casemill.llm.common import chunks, let_go, map_groups, per_process, store
+from casemill.llm.common import chunks, let_go, map_groups, per_process, store, text_bytes
+from casemill.llm.words import bytes_list, distinct_words, ragged, word_starts
 
 #: Words that a worker remembers; entries (a pair in a document) after which a container is closed; documents in one.
 REMEMBERED, ENTRIES, DOCUMENTS = 200_000, 4_000_000, 1 << 16
@@ -38,28 +39,6 @@ BITMAP, TOGETHER, BATCH = DOCUMENTS // 8, 2000, 50_000
 __all__ = ["Aligner", "align_tokenizers", "decode_containers", "encode_containers", "pair_counts", "pair_index"]
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of all runs, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def word_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Where words start in texts that each begin with a space at ``texts``: there, and at single spaces between two
-    characters that are surely no white space."""
-    at = np.flatnonzero(data == 32)
-    first = np.zeros(len(data) + 1, dtype=bool)
-    first[texts] = first[-1] = True
-    at = at[~first[at] & ~first[at + 1]]
-    blank = np.zeros(256, dtype=bool)
-    blank[[*range(9, 14), *range(28, 33)]] = True
-    after, before = data[at + 1], data[at - 1]
-    # Other white space has two bytes from 0xC2, or three from 0xE1 to 0xE3.
-    two, three = data[at - 2] == 0xC2, (data[at - 3] >= 0xE1) & (data[at - 3] <= 0xE3)
-    ok = ~blank[after] & ~blank[before] & (after != 0xC2) & ~((after >= 0xE1) & (after <= 0xE3)) & ~((before >= 0x80) & (two | three))
-    return np.sort(np.concatenate([texts, at[ok]]))
-
-
 class Aligner:
     """Tokens of two tokenizer files on words, aligned; what a word gives is remembered."""
 
@@ -101,7 +80,7 @@ class Aligner:
         used = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
         used = np.sort(used[self.uses[used] > 1])
         words, strings, counts = list(self.known), self.strings, self.counts[used]
-        pairs = self.pairs[_ragged(self.starts[used], counts[:, 3])]
+        pairs = self.pairs[ragged(self.starts[used], counts[:, 3])]
         self.known = {words[i]: n for n, i in enumerate(used.tolist())}
         self.strings = [strings[i] for i in used.tolist()]
         self.counts, self.pairs = counts, pairs
@@ -176,15 +155,11 @@ class Aligner:
         sizes = np.array([len(texts[i]) + 1 for i in live], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
         starts = word_starts(np.frombuffer(data, dtype=np.uint8), begins)
-        offsets = np.append(starts, len(data)).astype(np.int64)
-        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        encoded = column.dictionary_encode()
         if len(self.known) > REMEMBERED:
             self._shrink()
-        distinct = encoded.dictionary.to_pylist()
+        distinct, codes = distinct_words(data, starts)
         if new := [w for w in distinct if w not in self.known]:
             self._add(new)
-        codes = encoded.indices.to_numpy()
         named = np.array([self.known[w] for w in distinct], dtype=np.int64)
         self.uses[named] += np.bincount(codes, minlength=len(distinct))
         words, firsts = named[codes], np.searchsorted(starts, begins)
@@ -206,7 +181,7 @@ class Aligner:
         lengths = self.counts[used, 3]
         text_of = np.repeat(np.array(live, dtype=np.int64), lasts - firsts)[keep]
         links_of.append(np.repeat(text_of, lengths))
-        pairs_of.append(self.pairs[_ragged(self.starts[used], lengths)])
+        pairs_of.append(self.pairs[ragged(self.starts[used], lengths)])
         return counts, groups, np.concatenate(links_of), np.concatenate(pairs_of)
 
 
@@ -229,7 +204,7 @@ def encode_containers(sizes: np.ndarray, low: np.ndarray) -> pa.Array:
 def decode_containers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The size of each set, and the numbers of all."""
     lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = b"".join(column.to_pylist())
+    data = b"".join(bytes_list(column))
     sizes, starts, parts, at = lengths // 2, np.cumsum(lengths) - lengths, [], 0
     for i in np.flatnonzero(lengths == BITMAP).tolist():
         start = int(starts[i])
@@ -303,7 +278,7 @@ def pair_index(df: DataFrame, byte_file: str, piece_file: str, key: str = "doc_i
             container, used = container + 1, 0
 
         for batch in chunks(batches, "_text"):
-            texts = pc.fill_null(batch.column("_text").cast(pa.binary()), b"").to_pylist()
+            texts = text_bytes(batch.column("_text"))
             counts, strings, owner, pairs = aligner.align(texts)
             if used + len(texts) > DOCUMENTS:
                 yield from close()
@@ -360,7 +335,7 @@ def _walk(batch: pa.RecordBatch) -> dict:
         give(np.repeat(np.arange(len(sizes)), sizes), where, 1)
         planes = postings.column("planes")
         held = pc.list_value_length(planes).to_numpy(zero_copy_only=False).astype(np.int64)
-        pair, digit = np.repeat(np.arange(len(held)), held), _ragged(np.zeros(len(held), dtype=np.int64), held)
+        pair, digit = np.repeat(np.arange(len(held)), held), ragged(np.zeros(len(held), dtype=np.int64), held)
         sizes, where = decode_containers(planes.flatten())
         give(np.repeat(pair, sizes), where, np.repeat(1 << digit, sizes))
     names = ["_key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"]

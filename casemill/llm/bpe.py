@@ -12,7 +12,6 @@ arc exists is read off these tables, and kept.
 from __future__ import annotations
 
 import json
-from array import array
 from hashlib import sha256
 
 import ahocorasick
@@ -22,13 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from casemill.llm.common import map_chunks, per_process
+from casemill.llm.words import WordStore, distinct_words, ragged, word_starts
 
 # The pre-split of byte-level BPE and its bytes that are printed as themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [(33, 126), (161, 172), (174, 255)]
 
-#: Words and arcs that a worker process remembers before it starts anew.
-REMEMBERED = 300_000
+#: Arcs that a worker process remembers before it starts anew, and parts of words before it lets older ones go.
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -136,49 +136,72 @@ class Codec:
         self.label = {**labels, **{i: t.encode() for t, i in self.special.items()}}
         self.stops = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split = regex.compile(SPLIT)
-        self.words: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a stretch of text whose ends are ends of words."""
-        out, words = [], self.words
-        for word in self.split.findall(piece):
-            ids = words.get(word)
-            if ids is None:
-                ids = array("I", self.automaton.path(word.encode())).tobytes()
-                if len(word) <= 64:
-                    if len(words) >= REMEMBERED:
-                        words.clear()
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _plain(self, text: str) -> bytes:
-        """A single space between two other characters starts a word, so a text falls apart there."""
-        parts, known, piece = text.split(" "), self.words.get, self._piece
-        held, out = parts[0], []
-        for part in parts[1:]:
-            if part and held and not part[0].isspace() and not held[-1].isspace():
-                found = known(held)
-                out.append(piece(held) if found is None else found)
-                held = " " + part
-            else:
-                held = f"{held} {part}"
-        out.append(piece(held))
-        return b"".join(out)
+        self.store = WordStore({c.encode(): [i] for c, i in self.special.items()})
+        self.parts: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.label_sizes = np.zeros(1 + max(self.label), dtype=np.int64)
+        self.label_sizes[list(self.label)] = list(map(len, self.label.values()))
+        self.label_starts = np.cumsum(self.label_sizes) - self.label_sizes
+        self.label_bytes = np.frombuffer(b"".join(self.label[i] for i in sorted(self.label)), dtype=np.uint8)
+
+    def _learn(self, words: list[bytes]):
+        """Lengths and ids of words whose ends are ends of what the pre-split makes."""
+        path, split, parts = self.automaton.path, self.split.findall, self.parts
+        lengths, ids = [], []
+        for word in words:
+            before = len(ids)
+            for part in split(word.decode()):
+                known = parts.get(part)
+                if known is None:
+                    known = parts[part] = self.older.get(part) or path(part.encode())
+                ids += known
+            lengths.append(len(ids) - before)
+        if len(parts) > REMEMBERED:  # those of the last generation that are not asked for again are let go
+            self.parts, self.older = {}, parts
+        return lengths, np.array(ids, dtype=np.uint32)
+
+    def _stretches(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Texts cut at special tokens, and which text each stretch is of."""
+        parts, owner = [], []
+        for n, text in enumerate(texts):
+            at = 0
+            for m in self.stops.finditer(text) if self.stops else ():
+                for part in (text[at : m.start()], m.group()):
+                    if part:
+                        parts.append(part.encode())
+                        owner.append(n)
+                at = m.end()
+            if at < len(text):
+                parts.append(text[at:].encode())
+                owner.append(n)
+        return parts, np.array(owner, dtype=np.int64)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all."""
+        parts, owner = self._stretches(texts)
+        if not parts:
+            return np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        begins = np.cumsum([0, *map(len, parts)])[:-1]
+        data = b"".join(parts)
+        starts = word_starts(np.frombuffer(data, dtype=np.uint8), begins)
+        self.store.shrink()
+        words, code = distinct_words(data, starts)
+        lengths, ids = self.store.runs(self.store.places(words, self._learn)[code])
+        counts = np.zeros(len(texts), dtype=np.int64)
+        np.add.at(counts, owner, np.add.reduceat(lengths, np.searchsorted(starts, begins)))
+        return counts, ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not self.stops or not self.stops.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.stops.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.special[m.group()].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return self.encode_all([text])[1].astype("<u4").tobytes()
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The labels of the arcs, in a row."""
+        return self.label_bytes[ragged(self.label_starts[ids], self.label_sizes[ids])].tobytes()
 
     def decode(self, ids: bytes) -> str:
         """Emit the labels of the arcs."""
-        return b"".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.spell(np.frombuffer(ids, "<u4")).decode("utf-8", "replace")
 
 
 def bpe_round_trip(df: DataFrame, file: str, key: str = "doc_id", text: str = "text", tokens: bool = False) -> DataFrame:
@@ -195,11 +218,13 @@ def bpe_round_trip(df: DataFrame, file: str, key: str = "doc_id", text: str = "t
         codec = per_process(name, lambda: Codec(file))
 
         def work(batch):
-            ids = [codec.encode(t) for t in pc.fill_null(batch.column("_text"), "").to_pylist()]
+            counts, every = codec.encode_all(pc.fill_null(batch.column("_text"), "").to_pylist())
+            data, ends = every.astype("<u4").tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
+            ids = [data[a:b] for a, b in zip(ends, ends[1:])]
             decoded = [codec.decode(x) for x in ids]
             out = {
                 "_key": batch.column("_key"),
-                "n_tokens": [len(x) // 4 for x in ids],
+                "n_tokens": counts,
                 "ids_sha256": [sha256(x).hexdigest() for x in ids],
                 "decoded_sha256": [sha256(x.encode()).hexdigest() for x in decoded],
             }

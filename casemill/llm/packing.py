@@ -10,19 +10,22 @@ cuts each document where a window ends. No text and no ids are shuffled.
 from __future__ import annotations
 
 import os
+from itertools import chain
 from string import punctuation
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.common import map_chunks, per_process, store
+from casemill.llm.common import map_chunks, per_process, store, text_bytes
+from casemill.llm.words import WordStore, bytes_list, distinct_words, ragged
 
-#: Words that a worker process remembers before it starts anew.
-REMEMBERED = 500_000
+#: Words that are tokenised together.
+TOGETHER = 200
 
 
 class Tokens:
@@ -39,60 +42,96 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = words
-        self.known: dict[str, bytes] = {}
+        self.words, self.store, self.halves = words, WordStore({b" ": []}), WordStore({b"": []})
         self.last = None
         if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
             self.last = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
             self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _word_ids(self, words: list[str], group: int = 2000) -> list[bytes]:
-        """Ids of words that are letters or marks alone, many in a text: a word ends where a last piece does."""
-        if self.last is None:
+        # A special token that parts a text before anything else is done to it.
+        added = self.tokenizer.get_added_tokens_decoder()
+        marks = [(i, t.content) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = marks[0] if marks else None
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of texts, one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(map(len, found)), dtype=np.int64), np.array(list(chain.from_iterable(found)), dtype=np.uint32)
+
+    def _together(self, words: list[str], between: str, ends_of, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of words that are encoded as one text with ``between`` after each; ``ends_of`` says which ids
+        end a word, of which ``closing`` are not its own."""
+        lengths, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for ws, e in zip(groups, self.tokenizer.encode_batch_fast([between.join([*g, ""]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends = ends_of(ids)
+            at = np.flatnonzero(ends)
+            if len(at) == len(ws):
+                size, ids = np.diff(at, prepend=-1) - closing, ids[~ends] if closing else ids
+            else:
+                size, ids = self._ids(ws)
+            lengths.append(size)
+            values.append(ids)
+        return np.concatenate(lengths), np.concatenate(values)
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are letters, or marks, alone: a word ends where a last piece does."""
+        words = [w.decode() for w in words]
+        return self._ids(words) if self.last is None else self._together(words, " ", lambda ids: self.last[ids], 0)
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Any words, with a special token between, unless one holds it."""
+        if self.mark is None or any(self.mark[1] in w for w in words):
             return self._ids(words)
-        groups = [words[i : i + group] for i in range(0, len(words), group)]
-        out = []
-        for ws, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-            if len(cuts) != len(ws):
-                out += self._ids(ws)
-                continue
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
-        return out
+        return self._together(words, self.mark[1], lambda ids: ids == self.mark[0], 1)
 
     @staticmethod
-    def _halves(word: str) -> tuple[str, ...]:
-        """Letters of Latin-1 in lower case, and the marks that close them; nothing for all else. Such a letter stays one
-        letter under NFC and lower case, so marks stand apart from it."""
-        core = word.rstrip(punctuation)
-        if core.isalpha() and (core.isascii() or max(core) < "Ā"):
-            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
-        return ()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def _halves(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Letters in lower case, the marks that close them, and which words are nothing else. Letters of Latin-1 stay
+        letters under NFC and lower case, so marks stand apart from them."""
+        cores = pc.utf8_rtrim(words, characters=punctuation)
+        plain = pc.and_(pc.utf8_is_alpha(cores), pc.invert(pc.match_substring_regex(cores, r"[^\x00-\x{ff}]")))
+        sizes, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (cores, words))
+        data, starts = b"".join(bytes_list(words.cast(pa.binary()))), np.cumsum(whole) - whole
+        tails = np.frombuffer(data, dtype=np.uint8)[ragged(starts + sizes, whole - sizes)].tobytes()
+        offsets = np.append(0, np.cumsum(whole - sizes)).astype(np.int32)
+        tails = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(tails)])
+        return pc.utf8_lower(cores), tails, plain.to_numpy(zero_copy_only=False)
+
+    def _learn(self, words: list[bytes]):
+        """Lengths and ids of new words, each with the space before it."""
+        column = pa.array([w[1:] for w in words], pa.binary()).cast(pa.string())
+        cores, tails, plain = self._halves(column)
+        places = []
+        for half in (cores, tails):
+            chosen = half.filter(pa.array(plain)).dictionary_encode()
+            places.append(self.halves.places(bytes_list(chosen.dictionary.cast(pa.binary())), self._plain)[chosen.indices.to_numpy()])
+        of_halves, first = self.halves.runs(np.stack(places, axis=1).ravel())
+        of_others, second = self._other(column.filter(pa.array(~plain)).to_pylist())
+        lengths, at = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        for chosen, sizes, before in ((plain, of_halves.reshape(-1, 2).sum(axis=1), 0), (~plain, of_others, len(first))):
+            lengths[chosen], at[chosen] = sizes, before + np.cumsum(sizes) - sizes
+        return lengths, np.concatenate([first, second])[ragged(at, lengths)]
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, with the end id that closes it, and the ids of all."""
         if not self.words:
-            return self._ids(texts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, split, new = self.known, [t.split(" ") for t in texts], set()
-        new.update(*split)
-        new.difference_update(known)
-        halves = {w: self._halves(w) for w in new}
-        pieces = list({h for hs in halves.values() for h in hs}.difference(known))
-        known.update(zip(pieces, self._word_ids(pieces)))
-        others = [w for w, hs in halves.items() if not hs]
-        known.update(zip(others, self._ids(others)))
-        for word, hs in halves.items():
-            if hs:
-                known[word] = known[hs[0]] + known[hs[1]] if len(hs) == 2 else known[hs[0]]
-        return [b"".join([known[w] for w in ws]) for ws in split]
+            counts, ids = self._ids([t.decode() for t in texts])
+            return counts + 1, np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+        data = b" " + b" ".join(texts)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        starts = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+        self.store.shrink()
+        self.halves.shrink()
+        words, code = distinct_words(data, starts)
+        places = self.store.places(words, self._learn)
+        lengths, ids = self.store.runs(places[code])
+        counts = np.add.reduceat(lengths, np.searchsorted(starts, begins)) if texts else np.zeros(0, dtype=np.int64)
+        own = np.ones(len(ids) + len(counts), dtype=bool)
+        own[np.cumsum(counts + 1) - 1] = False
+        out = np.full(len(own), end_id, dtype=np.uint32)
+        out[own] = ids
+        return counts + 1, out
 
 
 def pack_documents(
@@ -115,7 +154,6 @@ def pack_documents(
     that keep white space. One job runs when this is called: it stores the ids in the shared folder.
     """
     kind, name = dict(df.dtypes)[key], ("tokens", file, words)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def count():
         encoder = per_process(name, lambda: Tokens(file, words))
@@ -123,11 +161,12 @@ def pack_documents(
 
         def work(batch):
             nonlocal before
-            ids = [x + end for x in encoder.encode(pc.fill_null(batch.column("_text"), "").to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            sizes, ids = encoder.encode(text_bytes(batch.column("_text")), end_id)
             places = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            return {"_key": batch.column("_key"), "_part": np.full(len(ids), part), "_before": places, "_n": sizes, "_ids": ids}
+            offsets = np.append(0, 4 * np.cumsum(sizes)).astype(np.int64)
+            held = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())])
+            return {"_key": batch.column("_key"), "_part": np.full(len(sizes), part), "_before": places, "_n": sizes, "_ids": held.cast(pa.binary())}
 
         return work
 
