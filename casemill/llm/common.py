@@ -41,16 +41,17 @@ def map_chunks(
     """Apply a function of small batches. ``make`` runs once per task; its function returns columns by name. ``kept`` is
     the name of what it keeps by ``per_process``."""
     kind: StructType = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(kind)
+    arrow, names = to_arrow_schema(kind), df.columns
 
     def run(batches):
         let_go(kept)
         work = make()
-        for batch in chunks(batches, column):
+        for batch in chunks((b.rename_columns(names) for b in batches), column):
             out = work(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    # Spark takes a dot in a name for a field of a struct, so names travel apart.
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(run, kind)
 
 
 def per_process(name, make):
@@ -94,6 +95,26 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _wide(kind: pa.DataType) -> pa.DataType:
+    """The same type with 64-bit offsets: a column of it holds any number of bytes in one piece."""
+    if pa.types.is_binary(kind):
+        return pa.large_binary()
+    if pa.types.is_string(kind):
+        return pa.large_string()
+    if pa.types.is_list(kind):
+        return pa.large_list(_wide(kind.value_type))
+    return kind
+
+
+def one_batch(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """All rows of ``batches`` in one, also beyond 2 GB of bytes; None if there are none."""
+    whole = pa.Table.from_batches(batches)
+    whole = whole.cast(pa.schema([f.with_type(_wide(f.type)) for f in whole.schema])).combine_chunks().to_batches()
+    if len(whole) > 1:
+        raise ValueError("the rows of a group do not fit in one batch")
+    return whole[0] if whole else None
+
+
 def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str) -> DataFrame:
     """Apply ``fn`` to the rows of each group, a RecordBatch in ``order``, which returns columns by name or None.
 
@@ -107,9 +128,8 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, s
         held: list[pa.RecordBatch] = []
 
         def done():
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-            out = fn(whole[0]) if whole else None
-            if out is not None:
+            whole = one_batch(held)
+            if whole is not None and (out := fn(whole)) is not None:
                 return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
         last = None

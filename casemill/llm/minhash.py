@@ -21,8 +21,8 @@ from casemill.llm.graphs import components
 from casemill.llm.repeats import LAST, numbered, packed, text_hash
 from casemill.llm.windows import mix, word_symbols
 
-#: Documents of one block; and how likely two linked ones may miss each other in all bands.
-BLOCK, MISS = 1000, 1e-6
+#: Documents of one block, and their shingles; and how likely two linked ones may miss each other in all bands.
+BLOCK, SHINGLES, MISS = 1000, 2_000_000, 1e-6
 _U = np.uint64
 
 
@@ -140,6 +140,12 @@ def group_sets(sets: list[np.ndarray], percent: int) -> list[int]:
     return [root(i) for i in range(len(sets))]
 
 
+def _blocks(most_shingles: int | None = None):
+    """Blocks for the documents of a group: so many that each holds few documents and few shingles, or one long document."""
+    shingles_each = SHINGLES if most_shingles is None else most_shingles
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / shingles_each))
+
+
 def _in_blocks(members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` within blocks of (``cluster``, ``block``, ``node``, ``_data``): from each node to the first it reaches."""
 
@@ -220,8 +226,8 @@ def _across(texts: DataFrame, links: DataFrame, size: int, percent: int) -> Data
             largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "group")).alias("most")).select("cluster", F.col("most.group").alias("largest"))
             asking = members.join(largest, "cluster").filter("group <> largest").select("node")
         blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
-        queries = members.join(asking, "node", "left_semi").select("node", "cluster", "group", "_data", blocks)
-        packs = queries.groupBy("cluster", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("packs"))
+        queries = members.join(asking, "node", "left_semi").select("node", "cluster", "group", "n_shingles", "_data", blocks)
+        packs = queries.groupBy("cluster", "block").agg(_blocks().cast("int").alias("packs"))
         pack = F.pmod(F.xxhash64("node"), F.col("packs")).cast("int").alias("pack")
         every = F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack")
         asks = queries.join(packs, ["cluster", "block"]).select("cluster", "block", pack, F.lit(True).alias("asks"), "node", "group", "_data")
@@ -254,12 +260,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
     near = keyed.join(hubs, "band").filter("node <> hub")
     clusters = components(near.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "cluster")
-    counts = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    clusters = clusters.join(reps.select("node", "n_shingles"), "node")
+    counts = clusters.groupBy("cluster").agg(_blocks().alias("blocks"))
     placed = materialize(clusters.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "clusters")
     texts = packed(docs.select("_doc", "_copy", "_text")).join(
         placed.join(reps.select("node", "_doc", "_copy"), "node"), ["_doc", "_copy"]
     )
-    texts = store(texts.dropDuplicates(["node"]).select("node", "cluster", "block", "blocks", "_data"), "members")
+    texts = store(texts.dropDuplicates(["node"]).select("node", "cluster", "block", "blocks", "n_shingles", "_data"), "members")
     links = materialize(_in_blocks(texts, size, percent), "links")
     large = texts.filter("blocks > 1")
     if not large.isEmpty():

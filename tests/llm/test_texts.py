@@ -7,9 +7,12 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from casemill.llm import minhash, phrases, repeats, suffixes
+from casemill.llm.common import one_batch
 from casemill.llm.bpe import Codec, bpe_round_trip
 from casemill.llm.minhash import keep_one, near_duplicates
 from casemill.llm.packing import pack_documents
@@ -73,6 +76,16 @@ def test_packing(spark, rows, docs):
     assert not parts and whole == want
 
 
+def test_groups_of_any_size_are_whole():
+    """Three rows that share 800 MB each: beyond what one batch of 32-bit offsets holds."""
+    data = pa.py_buffer(bytes(800 << 20))
+    offsets = pa.py_buffer(np.array([0, 800 << 20], dtype=np.int32))
+    row = pa.Array.from_buffers(pa.binary(), 1, [None, offsets, data])
+    whole = one_batch([pa.RecordBatch.from_arrays([row, pa.array([i])], names=["x", "n"]) for i in range(3)])
+    assert whole.column("n").to_pylist() == [0, 1, 2] and pc.sum(pc.binary_length(whole.column("x"))).as_py() == 3 * (800 << 20)
+    assert one_batch([pa.RecordBatch.from_arrays([pa.array([], pa.list_(pa.binary()))], names=["x"])]) is None
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     file = public.path("word_bpe_49k.json")
