@@ -27,8 +27,12 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 BUCKETS = 4096
-#: Labelled rows that are fitted on: for each language, and in all; and languages, the most frequent first.
-SAMPLE, ROWS, LANGUAGES = 500, 12_000, 200
+#: Labelled rows that are fitted on: for each language at most and, of many languages, at least; and about so many in all.
+SAMPLE, FEWEST, ROWS = 500, 20, 12_000
+#: Languages of no listed family that are families of their own; more are put together with those most like them.
+ALONE = 12
+#: Rows of a family that tell it from others.
+FAMILY_ROWS = 600
 
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -57,19 +61,43 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 50.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, both classes weighted alike; accelerated gradient steps."""
+    """Linear machine with squared hinge loss, both classes weighted alike; accelerated gradient steps.
+
+    The steps are taken on the rows' coefficients, through their products with one another: a machine is a sum of
+    its rows, and there are fewer rows than features."""
     side = np.where(y, 1.0, -1.0).astype(np.float32)
     weight = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1)).astype(np.float32) * c
-    w = look = np.zeros(x.shape[1], dtype=np.float32)
+    products = x @ x.T
+    w = look = np.zeros(len(x), dtype=np.float32)
     b = look_b = 0.0
     rate = 1.0 / (1.0 + 4.0 * c)  # unit vectors and a constant: the curvature is at most 1 + 2 * 2c
     for t in range(1, rounds + 1):
-        slack = np.maximum(0, 1 - side * (x @ look + look_b)) * side * weight
-        new, new_b = look + rate * (2 * (slack @ x) - look), look_b + rate * 2 * float(slack.sum())
+        slack = np.maximum(0, 1 - side * (products @ look + look_b)) * side * weight
+        new, new_b = look + rate * (2 * slack - look), look_b + rate * 2 * float(slack.sum())
         push = (t - 1) / (t + 2)
-        look, look_b = new + push * (new - w), new_b + push * (new_b - b)
+        look, look_b = (new + push * (new - w)).astype(np.float32), new_b + push * (new_b - b)
         w, b = new, new_b
-    return w, float(b)
+    return (w @ x).astype(np.float32), float(b)
+
+
+def family_of(x: np.ndarray, labels: np.ndarray, listed: dict) -> dict[str, str]:
+    """The family of each language. Those that ``listed`` lacks stand alone, or, if there are many, a language and those
+    whose mean vectors are nearest make a family of about the root of their number: so machines stay few."""
+    of = {lang: f for f, ls in listed.items() for lang in ls}
+    names = sorted(set(labels))
+    left = [n for n in names if n not in of]
+    if len(left) <= ALONE:
+        return {n: of.get(n, n) for n in names}
+    size = int(np.ceil(len(left) ** 0.5))
+    means = np.array([x[labels == n].mean(axis=0) for n in left])
+    means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+    open_, out = np.ones(len(left), dtype=bool), {n: of[n] for n in names if n in of}
+    for i, name in enumerate(left):
+        if open_[i]:
+            near = np.argsort(-np.where(open_, means @ means[i], -2), kind="stable")[: min(size, int(open_.sum()))]
+            open_[near] = False
+            out.update((left[k], f"like {name}") for k in near)
+    return out
 
 
 class Machines(NamedTuple):
@@ -101,6 +129,13 @@ class Machines(NamedTuple):
         return out / out.sum(axis=1, keepdims=True)
 
 
+def _evenly(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """At most ``FAMILY_ROWS`` rows of a family, as many of each of its languages."""
+    names = sorted(set(labels[rows]))
+    each = max(1, FAMILY_ROWS // len(names)) if len(rows) > FAMILY_ROWS else len(rows)
+    return np.concatenate([rows[labels[rows] == n][:each] for n in names])
+
+
 class LanguageModel(NamedTuple):
     families: Machines
     languages: dict[str, Machines]
@@ -109,10 +144,11 @@ class LanguageModel(NamedTuple):
     def fit(cls, x: np.ndarray, labels: np.ndarray, families=None) -> LanguageModel | None:
         if not len(labels):
             return None
-        of = {lang: f for f, ls in (families or FAMILIES).items() for lang in ls}
-        own = np.array([of.get(lang, lang) for lang in labels], dtype=object)
+        of = family_of(x, labels, families or FAMILIES)
+        own = np.array([of[lang] for lang in labels], dtype=object)
         inside = {f: Machines.fit(x[own == f], labels[own == f], sorted(set(labels[own == f]))) for f in sorted(set(own))}
-        return cls(Machines.fit(x, own, sorted(inside)), inside)
+        some = np.concatenate([_evenly(np.flatnonzero(own == f), labels) for f in sorted(inside)])
+        return cls(Machines.fit(x[some], own[some], sorted(inside)), inside)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         family = self.families.shares(x)
@@ -130,22 +166,26 @@ class LanguageModel(NamedTuple):
 def fit_language(
     df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, families=None
 ) -> LanguageModel | None:
-    """Fit on at most ``sample`` rows of each of the ``LANGUAGES`` most frequent languages, and ``ROWS`` in all.
+    """Fit on at most ``sample`` rows of each language; of many languages on fewer of each, ``ROWS`` in all, but
+    ``FEWEST`` at least. No language is left out.
 
-    Rows without text or language are left out. The sample is the rows with the smallest hashes of
-    their keys, so it is the same whatever the partitions. None if no row has a language.
+    Rows without text or language are left out, and repeated rows count once. The sample is the rows with the smallest
+    hashes of key and text, so it is the same whatever the partitions. None if no row has a language.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key), F.lit(7)).alias("_order")
+        F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key), F.lit(7), F.col(text)).alias("_order")
     )
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_order").alias("n")).collect()
     if not counts:
         return None
-    sample = min(sample, ROWS // len(counts))
+    sample = min(sample, max(FEWEST, ROWS // len(counts)))
     # Hashes are even, so a share of their range holds that share of the rows, give or take a little.
-    share = {r["_lang"]: min(1.0, (sample + 6 * sample**0.5) / r["count"]) for r in counts}
-    limit = F.create_map(*[F.lit(v) for k, s in share.items() for v in (k, int(s * 2**64) - 2**63 - (s == 1.0))])[F.col("_lang")]
-    chosen = rows.filter(F.col("_order") <= limit)
+    share = {r["_lang"]: min(1.0, 1.25 * (sample + 6 * sample**0.5) / r["n"]) for r in counts}
+    limits = [(name, int(s * 2**64) - 2**63 - (s == 1.0)) for name, s in share.items()]
+    limits = df.sparkSession.createDataFrame(limits, "_lang string, _limit long")
+    # A row for each language bounds the broadcast; copies of a row become one before they move.
+    chosen = rows.join(F.broadcast(limits), "_lang").filter(F.col("_order") <= F.col("_limit"))
+    chosen = chosen.groupBy("_lang", "_order").agg(F.first("_text").alias("_text"))
 
     def make():
         def work(batch):

@@ -34,6 +34,20 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in identify_language(df.filter("doc_id < 3"), one).collect()} == {"en"}
 
 
+def test_every_language_is_learned(spark):
+    """205 languages with words of their own, one of them in a table where a third of all rows are one row."""
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüéñçøå"))
+    lexicons = {f"x{i:03d}": ["".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(12)] for i in range(203)} | {"de": ["der", "und"], "en": ["the", "and"]}
+    say = lambda lang: " ".join(rng.choice(lexicons[lang], 30))
+    rows = [(i, say(lang), lang) for i, lang in enumerate(lang for lang in lexicons for _ in range(8))]
+    rows += [(7, rows[7][1], rows[7][2])] * (len(rows) // 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    asked = spark.createDataFrame([(say(lang), lang) for lang in lexicons], "text string, lang string").withColumn("a.b", F.lit(1))
+    out = identify_language(asked, fit_language(df)).collect()
+    assert {r.lang_pred for r in out} == set(lexicons) and np.mean([r.lang == r.lang_pred for r in out]) > 0.97
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = QUERIES["op9_quality_fourier"](spark, sf)
@@ -52,6 +66,9 @@ def test_quality_edges(spark):
     both = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
     scores = [r.score for r in score_quality(docs, fit_quality(stats, both)).collect()]
     assert len(scores) == 5 and all(0 <= s <= 1 for s in scores)
+    dotted = docs.withColumn("a.b", F.lit(3)).withColumn("score.x", F.lit("y"))
+    out = score_quality(dotted, fit_quality(stats, both))
+    assert set(out.columns) >= {"a.b", "score.x"} and {r["a.b"] for r in out.collect()} == {3}
 
 
 def test_isotonic():
