@@ -99,7 +99,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = fresh_path(spark, "shards")
     write_shards(table(spark, sf, "documents"), path, 8)
-    back = merge_shards(spark, path, _DOCS).select("n_chars", F.col("_metadata.file_path").alias("shard"))
+    back = merge_shards(spark, path, _DOCS, file="shard").select("n_chars", "shard")
     return back.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("n_chars").alias("n_chars"),

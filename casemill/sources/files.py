@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from casemill.functions.keys import key_from_path
 from casemill.functions.text import array_to_text
 from casemill.rules.defaults import FILE_KEY_PATTERN, NO_KEY
+from casemill.sources.quoted import count_quotes, records
 
 # Quotes inside a field are doubled. An empty field is a missing value.
 _CSV = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
@@ -15,6 +16,10 @@ _CSV = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
 _ENCODINGS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1"}
 
 
+def _declared(schema: T.StructType | str) -> T.StructType:
+    return T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -24,33 +29,51 @@ def read_delimited(
     encoding: str = "UTF-8",
     multi_line: bool = True,
     corrupt: str | None = None,
+    file: str | None = None,
 ) -> DataFrame:
     """Read delimited files with a declared schema.
 
     A header must have the schema's names in its order. A row with a value that does not fit its type, or with
     too few or too many fields, is an error; with ``corrupt`` it is kept, and its text is in the column of that
-    name, which is NULL for all other rows (see ``read_checked``).
+    name, which is NULL for all other rows (see ``read_checked``). ``file`` names a column for the path of the file.
 
-    With ``multi_line`` a quoted field may hold line breaks, and one file is then read by one task;
-    turn it off for large files without such fields, or store the data in shards or as Parquet.
+    With ``multi_line`` a quoted field may hold line breaks. One job then counts quotes when this is called. If no line
+    has an odd number of them, no field holds a line break, and Spark's own reader splits the files; if not, they are
+    split all the same, and records are put together from lines (``quoted``). Only files in an encoding whose quotes
+    and line breaks are no single bytes are read by one task each.
     """
-    if corrupt is not None:
-        declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        schema = T.StructType([*declared.fields, T.StructField(corrupt, T.StringType())])
-    return spark.read.schema(schema).csv(
+    declared = _declared(schema)
+    fields = declared if corrupt is None else T.StructType([*declared.fields, T.StructField(corrupt, T.StringType())])
+    name = _ENCODINGS.get(encoding.lower(), encoding)
+    options = {
+        "sep": sep,
+        "mode": "FAILFAST" if corrupt is None else "PERMISSIVE",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        **_CSV,
+        **({} if corrupt is None else {"columnNameOfCorruptRecord": corrupt}),
+    }
+    ascii_based = not name.upper().replace("_", "-").startswith(("UTF-16", "UTF-32"))
+    if multi_line and ascii_based:
+        counts = count_quotes(spark, path)
+        if counts.filter("odd > 0").isEmpty():
+            multi_line = False
+        else:
+            names = declared.fieldNames() if header else None
+            rows = records(spark, path, counts, names, sep, name)
+            parsed = F.from_csv("record", fields.toDDL(), options)
+            out = rows.select(parsed.alias("row"), "file").select("row.*", *([F.col("file").alias(file)] if file else []))
+            return out
+    rows = spark.read.schema(fields).csv(
         path,
-        sep=sep,
         header=header,
-        encoding=_ENCODINGS.get(encoding.lower(), encoding),
+        encoding=name,
         multiLine=multi_line,
         enforceSchema=not header,
-        mode="FAILFAST" if corrupt is None else "PERMISSIVE",
-        columnNameOfCorruptRecord=corrupt,
         lineSep="\n",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-        **_CSV,
+        **options,
     )
+    return rows if file is None else rows.select("*", F.col("_metadata.file_path").alias(file))
 
 
 def read_checked(
@@ -60,13 +83,13 @@ def read_checked(
 
     Both read the files; a row is in one of them.
     """
-    read = read_delimited(spark, path, schema, corrupt="_corrupt_record", **options)
-    columns = [F.col(f"`{c}`") for c in read.columns if c != "_corrupt_record"]
+    read = read_delimited(spark, path, schema, corrupt="_corrupt_record", file="_file", **options)
+    columns = [F.col(f"`{c}`") for c in read.columns if c not in ("_corrupt_record", "_file")]
     # Spark tells a bad row by parsing it, so both parts need all columns, even where only rows are counted.
     parsed = F.length(F.repeat(F.lit(""), F.hash(*columns))) == 0
     good = read.filter(parsed & F.col("_corrupt_record").isNull()).select(*columns)
     bad = read.filter(parsed & F.col("_corrupt_record").isNotNull())
-    return good, bad.select(F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").alias("record"))
+    return good, bad.select(F.col("_file").alias("file"), F.col("_corrupt_record").alias("record"))
 
 
 def read_named(
