@@ -69,7 +69,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = fresh_path(spark, "documents")
     write_documents(table(spark, sf, "benchmark"), path, "item_id", F.col("text"))
-    return read_documents(spark, path, key_pattern=r"item_id=(\d+)/").drop("path")
+    return read_documents(spark, path, key_pattern=r"/(\d+)\.txt").drop("path")
 
 
 @query("parquet_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -142,10 +142,10 @@ _WORD_PATTERN = "[Tt]h[a-z]+"
 def _(spark, sf):
     source, target = fresh_path(spark, "plain"), fresh_path(spark, "masked")
     write_documents(table(spark, sf, "benchmark"), source, "item_id", F.col("text"))
-    files = read_documents(spark, source, key_pattern=r"item_id=(\d+)/").drop("path")
+    files = read_documents(spark, source, key_pattern=r"/(\d+)\.txt").drop("path")
     masked = mask_column(files, "text", _WORD_PATTERN)
     write_documents(masked, target, "decision_id", F.col("text"))
-    back = read_documents(spark, target, key_pattern=r"decision_id=(\d+)/")
+    back = read_documents(spark, target, key_pattern=r"/(\d+)\.txt")
     return back.select(
         "decision_id",
         F.length("text").cast("bigint").alias("n_chars"),

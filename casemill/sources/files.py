@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from casemill.functions.keys import key_from_path
 from casemill.functions.text import array_to_text
-from casemill.rules.defaults import FILE_KEY_PATTERN, NO_KEY
+from casemill.rules.defaults import COVER_KEY_PATTERN, NO_KEY
+from casemill.sources.documents import register
 from casemill.sources.quoted import count_quotes, records
 
 # Quotes inside a field are doubled. An empty field is a missing value.
@@ -121,7 +122,7 @@ def read_documents(
     spark: SparkSession,
     path: str,
     glob: str = "*.txt",
-    key_pattern: str = FILE_KEY_PATTERN,
+    key_pattern: str = COVER_KEY_PATTERN,
     missing: str = NO_KEY,
     key: str = "decision_id",
     text: str = "text",
@@ -180,6 +181,16 @@ def merge_shards(
     return read_delimited(spark, paths, schema, sep=sep, **options)
 
 
-def write_documents(df: DataFrame, path: str, key: str, text: Column) -> None:
-    """One text file per document, below ``path/<key>=<value>/``; for small document sets only."""
-    df.select(text.alias("value"), F.col(key)).repartition(key).write.partitionBy(key).text(path)
+def write_documents(
+    df: DataFrame, path: str, key: str, text: Column, suffix: str = ".txt", overwrite: bool = False
+) -> None:
+    """One text file for each row, ``<path>/part-<task>/<key><suffix>``, written by the task that holds the row.
+
+    No row is moved. A task that fails or runs again leaves no second file, and a job that fails leaves none: readers see
+    the files once the job is committed. A path that holds documents already is an error, unless ``overwrite``. A NULL key
+    is written as ``NO_KEY``, a NULL text as an empty one; rows of one key get a file each, in folders apart. Works on file
+    systems that can rename a folder: local and shared folders, HDFS.
+    """
+    register(df.sparkSession)
+    rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), text.cast("string").alias("text"))
+    rows.write.format("text_documents").mode("overwrite" if overwrite else "append").option("suffix", suffix).save(path)

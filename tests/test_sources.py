@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from casemill.operators.masking import mask_column
 from casemill.schemas import SENTENCES
 from casemill.sources import files
+from casemill.sources.documents import TextDocuments
 from casemill.streaming.tagging import read_sentence_stream, tag_stream, write_tagged
 from casemill.workdir import fresh_path, materialize, shared_root
 
@@ -80,10 +81,53 @@ def test_mask_directory(spark, tmp_path):
     docs = files.read_documents(spark, str(tmp_path), key_pattern=r"canlii(\d+)\.txt").drop("path")
     out = str(tmp_path / "out")
     files.write_documents(mask_column(docs, "text", "[a-z]+@[a-z.]+"), out, "decision_id", F.col("text"))
-    back = files.read_documents(spark, out, key_pattern=r"decision_id=(\d+)/")
+    back = files.read_documents(spark, out, key_pattern=r"/(\d+)\.txt")
     assert rows(back.drop("path")) == [("7", "from XXXXXXXXX\nto you")]
 
 
+def test_keys_of_files_without_arguments(spark, tmp_path):
+    for name in ("2015canlii12.txt", "2016canlii13.txt"):
+        (tmp_path / name).write_text("x\n")
+    assert rows(files.read_documents(spark, str(tmp_path)).drop("path")) == [("12", "x"), ("13", "x")]
+
+
+ODD = [("a/b", "x"), ("_hidden", "y\n\nz"), (".dot", ""), ("é ü", "ä"), ("100%", "p"), ("same", "1"), ("same", "2"), (None, None)]
+
+
+def test_one_file_for_each_document(spark, tmp_path):
+    df = spark.createDataFrame(ODD + [(f"k{i}", f"text {i}") for i in range(40)], "name string, body string").repartition(5)
+    out = tmp_path / "out"
+    files.write_documents(df, str(out), "name", F.col("body"))
+    found = [p for p in out.rglob("*.txt")]
+    assert len(found) == 48 and {p.parent.name.split("-")[0] for p in found} <= {"part", "again"}
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith("part-")) == ["_SUCCESS"]
+    back = files.read_documents(spark, str(out), key_pattern=r"/([^/]+)\.txt$")
+    assert back.count() == 48 and rows(back.filter("decision_id like 'k1'").select("text")) == [("text 1",)]
+    assert sorted(r.text for r in back.collect()) == sorted([(t or "") for _, t in ODD] + [f"text {i}" for i in range(40)])
+    with pytest.raises(Exception, match="already holds"):
+        files.write_documents(df, str(out), "name", F.col("body"))
+    files.write_documents(df.limit(1), str(out), "name", F.col("body"), suffix=".md", overwrite=True)
+    assert [p.suffix for p in out.rglob("part-*/*")] == [".md"]
+
+
+def test_repeated_and_failed_tasks_leave_no_files(spark, tmp_path):
+    """Tasks that run twice, as after a lost executor, and a job that fails for good."""
+    df = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(30)], "key string, text string").repartition(3)
+    writer = TextDocuments({"path": str(tmp_path / "out")}).writer(None, False)
+    batches = df.toArrow().to_batches()
+    out = tmp_path / "out"
+    attempt = lambda: spark.sparkContext.parallelize([0], 1).map(lambda _: writer.write(iter(batches))).collect()
+    lost, counted = attempt(), attempt()
+    assert lost[0].folder != counted[0].folder and len(list(out.rglob("*.txt"))) == 60 and not list(out.glob("part-*"))
+    writer.commit(counted)
+    assert sorted(p.name for p in out.iterdir()) == ["_SUCCESS", "part-00000"] and len(list(out.rglob("*.txt"))) == 30
+
+    bad = df.withColumn("text", F.when(F.col("key") == "k7", F.raise_error("bad")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="bad"):
+        files.write_documents(bad, str(tmp_path / "failed"), "key", F.col("text"))
+    assert not list((tmp_path / "failed").rglob("*.txt"))
+
+
 def test_pruned_read(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(5).selectExpr("id", "id * 2 AS twice", "'x' AS wide").write.parquet(path)
