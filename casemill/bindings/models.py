@@ -15,7 +15,7 @@ from casemill.operators.sampling import oversample, split_by_hash
 from casemill.operators.tagging import tag_entities
 from casemill.plans.cover import cover_features, covers_from_files, judges_from_html, labelled_covers
 from casemill.plans.outcomes import case_outcomes, tail_sentences
-from casemill.plans.training import all_entities_examples, labelled_sentences
+from casemill.plans.training import all_entities_examples, labelled_sentences, sentence_keys
 from casemill.rules.defaults import ALL_FEATURES, CLASS_NAMES, COVER_FEATURES, COVER_RULES, ENTITY_LABELS
 
 _CLEAN = r"regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}_\s\[\]]', ' ', 'g'), ' +', ' ', 'g')"
@@ -315,11 +315,13 @@ _MASK = "[a-z]+@[a-z.]+"
         SELECT decision_id, decision_outcome AS labels, regexp_replace({_CLEAN.format('text')}, '(\[SEP\]){{2,}}', '[SEP]', 'g') AS text FROM joined""",
 )
 def _(spark, sf):
-    docs = texts(spark, sf, "doc_id", "text").select(F.col("doc_id").alias("decision_id"), paragraphs(F.col("text")).alias("_all"))
+    stored = texts(spark, sf, "doc_id", "text", "n_chars").withColumnRenamed("doc_id", "decision_id")
+    docs = stored.select("decision_id", paragraphs(F.col("text")).alias("_all"))
     sentences = docs.select(F.col("decision_id").cast("string").alias("decision_id"), F.explode("_all").alias("text"))
     outcomes = case_labels(spark, sf)
-    # As many rows as a case has paragraphs are joined, and counted without making them.
-    per_case = hot_keys(docs, ["decision_id"], weight=F.size("_all"))
+    # About as many rows as the length of a case suggests are joined: no text is read to count them.
+    per_case = hot_keys(stored.select("decision_id", "n_chars"), ["decision_id"], weight=F.coalesce(F.col("n_chars") / 100, F.lit(0)) + 1)
     main = labelled_sentences(sentences, outcomes, _SENTENCE_RULES, mask=_MASK, hot=per_case).drop("text")
     covers = labelled_covers(cover_feature_rows(spark, sf), outcomes)
-    return _long(all_entities_examples(main, covers))
+    keys = sentence_keys(docs.filter(F.size("_all") > 0).withColumn("text", F.lit("")), outcomes)
+    return _long(all_entities_examples(main, covers, hot=per_case, keys=keys))

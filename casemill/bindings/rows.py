@@ -71,6 +71,11 @@ def sentences(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("position", "text"))
 
 
+def long_documents(spark, sf):
+    """Documents of very many sentences, told by their length: no text is read."""
+    return hot_keys(docs(spark, sf).select("doc_id", "n_chars"), ["doc_id"], weight=F.coalesce(F.col("n_chars") / 100, F.lit(0)) + 1)
+
+
 _SENTENCES = """(SELECT doc_id, i - 1 AS position, parts[i] AS text FROM (
     SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
       SELECT doc_id, list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '') AS parts FROM documents)))"""
@@ -230,8 +235,7 @@ def _(spark, sf):
 def _(spark, sf):
     gold = labels(spark, sf).select("doc_id", F.col("quality").cast("bigint").alias("decision"))
     silver = sentences(spark, sf).withColumn("position", F.col("position").cast("bigint"))
-    stored = docs(spark, sf).select("doc_id", F.size(paragraphs(F.col("text"))).alias("_rows"))
-    return gold_join(silver, gold, "doc_id", hot=hot_keys(stored, ["doc_id"], weight=F.col("_rows")))
+    return gold_join(silver, gold, "doc_id", hot=long_documents(spark, sf))
 
 
 @query(
@@ -255,21 +259,17 @@ def _(spark, sf):
 )
 def _(spark, sf):
     known = labels(spark, sf).select("doc_id", "quality")
-    stored = docs(spark, sf).select("doc_id", F.size(paragraphs(F.col("text"))).alias("_rows"))
-    hot = hot_keys(stored, ["doc_id"], weight=F.col("_rows"))
-    main = (
-        salted_join(sentences(spark, sf), known, ["doc_id"], "left", hot=hot)
-        .select(
-            F.col("doc_id").alias("decision_id"),
-            F.coalesce("quality", F.lit(2)).cast("bigint").alias("decision_outcome"),
-            F.col("position").cast("bigint").alias("position"),
-            "text",
-        )
-    )
+    hot = long_documents(spark, sf)
+    key = [F.col("doc_id").alias("decision_id"), F.coalesce("quality", F.lit(2)).cast("bigint").alias("decision_outcome")]
+    joined = salted_join(sentences(spark, sf), known, ["doc_id"], "left", hot=hot)
+    main = joined.select(*key, F.col("position").cast("bigint").alias("position"), "text")
+    # The keys of the sentences, without making or joining sentences.
+    filled = docs(spark, sf).filter(F.size(paragraphs(F.col("text"))) > 0).select("doc_id")
+    keys = filled.join(known, "doc_id", "left").select(*key)
     cover = table(spark, sf, "pages").select(
         F.col("page_id").alias("decision_id"), F.lit(1).cast("bigint").alias("decision_outcome"), "url"
     )
-    return natural_outer_join(main, cover)
+    return natural_outer_join(main, cover, hot=hot.withColumnRenamed("doc_id", "decision_id"), keys=keys)
 
 
 # Members with a code; the others are unknown to the code table.

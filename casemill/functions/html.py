@@ -35,7 +35,6 @@ def last_block(html: Column, tag: str = "table") -> Column:
 
 def block_text(block: Column) -> Column:
     """Text of an HTML fragment: tags dropped, character entities decoded."""
-    text = F.regexp_replace(block, r"(?s)<[^>]*>", "")
     names = F.create_map(*[F.lit(x) for pair in sorted(_ENTITIES.items()) for x in pair])
 
     def decoded(reference):
@@ -48,10 +47,13 @@ def block_text(block: Column) -> Column:
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         return F.coalesce(F.when(valid, F.decode(point, "UTF-32")), names[body], reference)
 
-    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
-    between = F.split(text, _REFERENCE, -1)
-    pieces = F.zip_with(between, F.transform(found, decoded), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(text.rlike(_REFERENCE), F.array_join(pieces, "")).otherwise(text)
+    def whole(text):
+        found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+        between = F.split(text, _REFERENCE, -1)
+        pieces = F.zip_with(between, F.transform(found, decoded), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(text.rlike(_REFERENCE), F.array_join(pieces, "")).otherwise(text)
+
+    return let(F.regexp_replace(block, r"(?s)<[^>]*>", ""), whole)
 
 
 def signature_items(

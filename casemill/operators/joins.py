@@ -20,11 +20,14 @@ def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS, weight: Column
 
     Reads the key columns only. Pass the result to the joins when the rows to join are derived from a
     stored table, so that they are not derived twice: ``weight`` then says how many rows a stored row
-    becomes, and the keys are counted as they will be joined.
+    becomes, or about how many. A join is right whatever keys it splits.
     """
     number = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.groupBy(*on).agg(number.alias("_n")).filter(F.col("_n") > rows)
-    return counts.select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
+    return _as_hot(df.groupBy(*on).agg(number.alias("_n")), on, rows)
+
+
+def _as_hot(counts: DataFrame, on: list[str], rows: int) -> DataFrame:
+    return counts.filter(F.col("_n") > rows).select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
 
 
 def present(df: DataFrame, columns: list[str]) -> Column:
@@ -51,6 +54,7 @@ def salted_join(
     how: str = "inner",
     hot: DataFrame | None = None,
     rows: int = HOT_ROWS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (``inner``, ``left`` or ``full``) whose ``many`` side may have hot keys.
 
@@ -62,33 +66,32 @@ def salted_join(
     read for its keys and for its rows, and must be the same both times: no sample, no unordered
     limit.
 
-    In a full join a repeated row of ``one`` may find no partner under some salts. Its key is hot,
-    so it is a key of ``many`` and the row has found partners under another salt: such leftovers
-    are dropped, and nothing else is. That holds for the hot keys of ``many`` itself only, so a
-    full join always finds them on its own.
+    ``hot`` may hold any keys, by all columns of ``on`` or some: a key that is not hot costs its repeated rows, one that
+    is missing its split, and the result is the same. A full join is a left join and, after it, the rows of ``one`` whose
+    keys ``many`` lacks. ``keys`` are the keys of ``many`` for that, repeated or not, where they can be had without
+    deriving its rows again; with both, ``many`` is read once.
     """
     if how not in ("inner", "left", "full"):
         raise ValueError("a salted join is an inner, a left or a full join")
-    if how == "full" and hot is not None:
-        raise ValueError("a full join finds its hot keys on its own")
     many, one = _without_nan(many, on), _without_nan(one, on)
-    hot = F.broadcast((hot_keys(many, on, rows) if hot is None else hot).na.drop())
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    hot = _as_hot(counts, on, rows) if hot is None else hot
+    hot_on = [c for c in hot.columns if c != "_salts"]
+    hot = F.broadcast(hot.na.drop())
     no_key = ~present(many, on)
     salts = F.when(no_key, NO_KEY_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
     others = [F.col(f"`{c}`") for c, t in many.dtypes if c not in on and not t.startswith(("map", "variant"))]
     spread = F.when(salts > 1, F.pmod(F.xxhash64(F.spark_partition_id(), *others), salts)).otherwise(0).cast("int")
-    left = many.join(hot, on, "left").withColumn("_salt", spread)
-    right = one.join(hot, on, "left").withColumn(
+    left = many.join(hot, hot_on, "left").withColumn("_salt", spread)
+    right = one.join(hot, hot_on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     )
-    if how == "full":
-        left = left.withColumn("_in_many", F.lit(True))
-        right = right.withColumn("_repeated", F.col("_salts").isNotNull())
-    joined = left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
-    if how == "full":
-        leftover = F.col("_in_many").isNull() & F.col("_repeated")
-        joined = joined.filter(~leftover).drop("_in_many", "_repeated")
-    return joined
+    joined = left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], "left" if how == "full" else how).drop("_salt")
+    if how != "full":
+        return joined
+    # The counts are what the hot keys are taken from, so one shuffle serves both.
+    known = counts.filter(F.col("_n") > 0) if keys is None else _without_nan(keys, on).select(*on).distinct()
+    return joined.unionByName(one.join(known.select(*on), on, "left_anti"), allowMissingColumns=True)
 
 
 def natural_outer_join(left: DataFrame, right: DataFrame, **salting) -> DataFrame:

@@ -13,7 +13,7 @@ from casemill.functions.text import array_to_text, parse_list_repr
 from casemill.operators.classify import sample_settings, score_text_clf, train_text_clf, tune_text_clf
 from casemill.operators.cleaning import drop_incomplete, drop_values, map_values
 from casemill.operators.features import train_set_cover
-from casemill.operators.joins import gold_join
+from casemill.operators.joins import gold_join, hot_keys
 from casemill.operators.masking import mask_column
 from casemill.operators.metrics import confusion_matrix, misclassified
 from casemill.operators.profile import error_profile, top_words
@@ -21,7 +21,7 @@ from casemill.operators.sampling import oversample, split_by_hash
 from casemill.operators.tagging import flagged_sentences, tag_entities
 from casemill.plans.cover import cover_features, covers_from_files, judges_from_html, labelled_covers
 from casemill.plans.outcomes import case_outcomes
-from casemill.plans.training import all_entities_examples, labelled_sentences
+from casemill.plans.training import all_entities_examples, labelled_sentences, sentence_keys
 from casemill.rules.defaults import (
     COVER_KEY_PATTERN,
     ENTITY_RULES,
@@ -217,8 +217,10 @@ def build_all_examples(
     known = _rows(spark, outcomes, CASE_OUTCOMES, rejected, **reading)
     covers = labelled_covers(spark.read.parquet(features), known)
     sentences = spark.read.parquet(tagged)
-    main = labelled_sentences(sentences, known, rules={}, mask=None).drop("text")
-    examples = split_by_hash(all_entities_examples(main, covers), ["decision_id"], test_share)
+    hot = hot_keys(sentences.select(nullable_key(F.col("decision_id")).alias("decision_id")), ["decision_id"])
+    main = labelled_sentences(sentences, known, rules={}, mask=None, hot=hot).drop("text")
+    joined = all_entities_examples(main, covers, hot=hot, keys=sentence_keys(sentences, known))
+    examples = split_by_hash(joined, ["decision_id"], test_share)
     if minority is not None:
         repeated = (F.col("split") == "train") & (F.col("labels") == minority)
         examples = oversample(examples.withColumn("_minor", repeated), "_minor", minority=True)

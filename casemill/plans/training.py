@@ -32,6 +32,12 @@ def labelled_sentences(
     return label_join(keyed, outcomes, "decision_id", "decision_outcome", **salting)
 
 
+def sentence_keys(sentences: DataFrame, outcomes: DataFrame, text: str = "text") -> DataFrame:
+    """The keys of ``labelled_sentences``, without masking or tagging a sentence."""
+    known = sentences.filter(F.col(text).isNotNull()).select(nullable_key(F.col("decision_id")).alias("decision_id"))
+    return label_join(known.distinct(), outcomes.select("decision_id", "decision_outcome"), "decision_id", "decision_outcome", unique=True)
+
+
 def all_labelled(main: DataFrame, covers: DataFrame, **salting) -> DataFrame:
     """Sentences and covers on all shared columns; what only one side has is kept."""
     return natural_outer_join(main, covers, **salting)

@@ -10,6 +10,7 @@ from casemill.functions import html
 from casemill.functions.similarity import token_set_score
 from casemill.operators import cleaning, features, joins, masking, metrics, outcomes, profile
 from casemill.operators import reconcile, sampling, tagging
+from casemill.workdir import fresh_path
 
 
 def rows(df):
@@ -117,6 +118,27 @@ def test_salted_join(spark, how, threshold, hot_rows):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "full"])
+def test_any_keys_may_be_split(spark, how):
+    """Keys that are not hot, that one side or both lack, and keys of fewer columns."""
+    many, one, left, right = _skewed(spark)
+    hot = spark.createDataFrame([("hot", 7), ("a", 3), ("z", 4), ("nowhere", 2), (None, 5)], "k string, _salts int")
+    keys = left.select("k")
+    assert rows(joins.salted_join(left, right, ["k"], how, hot=hot, keys=keys)) == _expected(many, one, how)
+    left, right = (df.withColumn("year", F.lit(1)) for df in (left, right))
+    got = joins.salted_join(left, right, ["k", "year"], how, hot=hot, keys=left.select("k", "year"))
+    assert rows(got.drop("year")) == _expected(many, one, how)
+
+
+def test_full_join_with_keys_derives_rows_once(spark):
+    many, _, left, right = _skewed(spark)
+    left.write.mode("overwrite").parquet(path := fresh_path(spark, "left"))
+    stored = spark.read.parquet(path)
+    derived = stored.withColumn("w2", F.regexp_replace(F.col("k"), "h", "x"))
+    plan = joins.salted_join(derived, right, ["k"], "full", hot=joins.hot_keys(stored, ["k"]), keys=stored.select("k"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(k") == 1
+
+
 def test_hot_keys_are_split(spark):
     _, _, left, right = _skewed(spark)
     hot = joins.hot_keys(left, ["k"], rows=50)
