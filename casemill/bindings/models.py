@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.bindings.registry import query, table, texts
+from casemill.bindings.registry import pages, query, table, texts
 from casemill.functions.text import paragraphs, word_count
 from casemill.operators.classify import sample_settings, score_text_clf, train_text_clf, tune_text_clf
 from casemill.operators.features import train_set_all, train_set_cover, train_set_sentences
@@ -229,7 +229,7 @@ def signature_files(spark, sf):
     spelled, name = _name(n)
     signed = F.when(n % 2 == 0, name).otherwise(F.concat(F.lit("Roe, "), spelled))
     rows = F.concat(F.date_format(_day(n), "MMMM d, yyyy"), F.lit("\n&nbsp;\n  "), signed)
-    return table(spark, sf, "pages").select(
+    return pages(spark, sf, "page_id", "html").select(
         F.concat(F.lit("y/2015canlii"), n, F.lit(".html")).alias("path"),
         F.concat("html", F.lit("<table><tr><td>"), rows, F.lit("</td></tr></table>")).alias("html"),
     )

@@ -28,3 +28,8 @@ def table(spark, sf_dir: str, name: str):
 def texts(spark, sf_dir: str, *columns: str):
     """Columns of the documents for steps that work hard on every text."""
     return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
+def pages(spark, sf_dir: str, *columns: str):
+    """Columns of the web pages, likewise."""
+    return spread(table(spark, sf_dir, "pages").select(*columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.bindings.registry import query, table, texts
+from casemill.bindings.registry import pages, query, table, texts
 from casemill.functions.arrays import argmax
 from casemill.functions.dates import (
     clean_date_items,
@@ -355,7 +355,7 @@ def _(spark, sf):
     html = F.concat("html", F.when(F.col("page_id") % 4 == 0, _SIGNED).otherwise(""))
     items = signature_items(html, tag="p", triage="tention|lich")
     key = key_from_path(F.col("url"), r"/(\d{1,6})(?:\.html|/?$)")
-    return table(spark, sf, "pages").select(
+    return pages(spark, sf, "page_id", "url", "html").select(
         "page_id", key.alias("decision_id"), F.array_join(items, "|").alias("items")
     )
 
