@@ -106,10 +106,10 @@ def _halves(rows):
 def _trained(spark, sf):
     train, test = _halves(examples(spark, sf))
     balanced = oversample(train, "labels", minority=0).drop("copy")
-    return train_text_clf(balanced, test, epochs=(5, 15), n_features=1 << 14)
+    return train_text_clf(balanced, test, epochs=(5, 15), n_features=1 << 12, reg=0.1, pieces=4)
 
 
-# The rows of each part. What a model learns is not for SQL to say, but that it is no worse than always saying the larger class is.
+# The rows of each part. What a model learns is not for SQL to say, but that it is better than always saying the larger class.
 _PARTS = """SELECT CAST(quality AS BIGINT) AS labels, CASE WHEN CAST('0x' || substr(md5('0|' || doc_id), 1, 8) AS BIGINT) % 10000 < 2000
     THEN 'test' ELSE 'train' END AS split FROM documents JOIN labels USING (doc_id)"""
 _PART_ROWS = f"SELECT count(CASE WHEN split = 'train' THEN 1 END) AS train_rows, count(CASE WHEN split = 'test' THEN 1 END) AS test_rows FROM ({_PARTS})"
@@ -123,7 +123,7 @@ def _larger_class(test) -> float:
 
 @query(
     "train_text_clf",
-    f"SELECT epochs, train_rows, test_rows, true AS keeps_up_with_larger_class FROM ({_PART_ROWS}), (VALUES (5::BIGINT), (15::BIGINT)) AS e(epochs)",
+    f"SELECT epochs, train_rows, test_rows, true AS beats_larger_class FROM ({_PART_ROWS}), (VALUES (5::BIGINT), (15::BIGINT)) AS e(epochs)",
 )
 def _(spark, sf):
     rows = examples(spark, sf)
@@ -132,11 +132,26 @@ def _(spark, sf):
     history = _trained(spark, sf).history
     sizes = train.count(), test.count()
     return spark.createDataFrame(
-        [(h["epochs"], *sizes, h["macro_f1"] >= least) for h in history],
-        "epochs bigint, train_rows bigint, test_rows bigint, keeps_up_with_larger_class boolean",
+        [(h["epochs"], *sizes, h["macro_f1"] > least) for h in history],
+        "epochs bigint, train_rows bigint, test_rows bigint, beats_larger_class boolean",
     )
 
 
+@query("text_clf_metrics")
+def _(spark, sf):
+    """What each number of epochs scores on the test part."""
+    rows = [(h["epochs"], h["accuracy"], h["macro_f1"], h["weighted_f1"]) for h in _trained(spark, sf).history]
+    return spark.createDataFrame(rows, "epochs bigint, accuracy double, macro_f1 double, weighted_f1 double")
+
+
+@query("text_clf_predictions")
+def _(spark, sf):
+    """Class and score of every document, and its label if it has one."""
+    scored = score_text_clf(_trained(spark, sf).model, texts(spark, sf, "doc_id", "text"))
+    known = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("bigint").alias("label"))
+    return scored.join(known, "doc_id", "left").select("doc_id", "label", "prediction", F.col("predicted_class").alias("score"))
+
+
 @query(
     "score_text_clf",
     "SELECT doc_id, true AS class_is_of_score, true AS score_is_a_share FROM documents",
@@ -159,18 +174,18 @@ _TRIED = ", ".join(f"({s['epochs']}::BIGINT, {s['n_features']}::BIGINT, {round(s
 
 @query(
     "tune_text_clf",
-    f"SELECT epochs, n_features, reg, test_rows, true AS keeps_up_with_larger_class FROM ({_PART_ROWS}), (VALUES {_TRIED}) AS s(epochs, n_features, reg)",
+    f"SELECT epochs, n_features, reg, test_rows, true AS beats_larger_class FROM ({_PART_ROWS}), (VALUES {_TRIED}) AS s(epochs, n_features, reg)",
 )
 def _(spark, sf):
     train, test = _halves(examples(spark, sf))
-    found = tune_text_clf(train, "doc_id", _SETTINGS)
+    found = tune_text_clf(oversample(train, "labels", minority=0).drop("copy"), "doc_id", _SETTINGS, pieces=4)
     # The best setting's model, on the half that the search has not seen.
     scored = score_text_clf(found.model, test).withColumn("_true", map_values(F.col("labels"), CLASS_NAMES))
     held_out = f1_score(scored, "_true", "prediction", "macro").first()["f1"]
-    better = held_out >= _larger_class(test)
+    better = held_out > _larger_class(test)
     return spark.createDataFrame(
         [(h["epochs"], h["n_features"], round(h["reg"], 9), test.count(), better) for h in found.history],
-        "epochs bigint, n_features bigint, reg double, test_rows bigint, keeps_up_with_larger_class boolean",
+        "epochs bigint, n_features bigint, reg double, test_rows bigint, beats_larger_class boolean",
     )
 
 

@@ -31,11 +31,13 @@ def tokens(text: Column, max_len: int = CASE_TOKENS) -> Column:
     return F.slice(words(F.lower(text)), 1, max_len)
 
 
-def _token_stages(text, max_len):
-    """Words of the whole text, or of its beginning if the caller gives a length."""
+def _token_stages(text, max_len, pieces=None):
+    """Words of the whole text, or of its beginning if the caller gives a length; with ``pieces``, the words cut into
+    pieces of so many characters, which a few rows teach more about than whole words."""
     kept = "_words" if max_len is None else f"slice(_words, 1, {int(max_len)})"
+    pattern = "\\s+" if pieces is None else rf"\S{{1,{int(pieces)}}}"
     return [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern="\\s+"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=pattern, gaps=pieces is None),
         SQLTransformer(statement=f"SELECT *, {kept} AS _tokens FROM __THIS__"),
     ]
 
@@ -58,10 +60,10 @@ def _classifier(label, max_iter=20, reg=0.01):
 
 
 def text_pipeline(
-    text: str = "text", label: str = "labels", max_len: int | None = None, n_features: int = 1 << 16
+    text: str = "text", label: str = "labels", max_len: int | None = None, n_features: int = 1 << 16, pieces: int | None = None
 ) -> Pipeline:
     return Pipeline(
-        stages=[*_token_stages(text, max_len), *_vector_stages(n_features), _classifier(label)]
+        stages=[*_token_stages(text, max_len, pieces), *_vector_stages(n_features), _classifier(label)]
     )
 
 
@@ -82,13 +84,14 @@ def train_text_clf(
     max_len: int | None = None,
     n_features: int = 1 << 16,
     reg: float = 0.01,
+    pieces: int | None = None,
 ) -> Trained:
     """Train for each number of epochs, evaluate on ``test`` and keep the best macro F1.
 
     The features are computed once and stored in the shared folder; only metrics and model
     weights (bounded by ``n_features``) reach the driver.
     """
-    features = Pipeline(stages=[*_token_stages(text, max_len), *_vector_stages(n_features)]).fit(train)
+    features = Pipeline(stages=[*_token_stages(text, max_len, pieces), *_vector_stages(n_features)]).fit(train)
     train_x = materialize(features.transform(train).select(label, "features"), "train-features")
     test_x = materialize(features.transform(test).select(label, "features"), "test-features")
     history, best, best_score = [], None, -1.0
@@ -131,13 +134,14 @@ def tune_text_clf(
     folds: int = 2,
     max_len: int | None = None,
     seed: str = "0",
+    pieces: int | None = None,
 ) -> Trained:
     """Search the settings for the best weighted F1; the best one is trained on all rows.
 
     The fold of a row is a hash of its case, so a case is never in both parts and the folds are the
     same in every run. The tokens are made once and stored in the shared folder.
     """
-    front = Pipeline(stages=_token_stages(text, max_len)).fit(train)
+    front = Pipeline(stages=_token_stages(text, max_len, pieces)).fit(train)
     fold = hash_bucket(key_hash(seed, [F.col(case)]), folds).cast("int").alias("_fold")
     tokenized = front.transform(train).select("_tokens", F.col(label), fold)
     tf, idf = _vector_stages(settings[0]["n_features"])
