@@ -19,7 +19,7 @@ from casemill.sources.files import (
     write_documents,
     write_shards,
 )
-from casemill.streaming.tagging import read_sentence_stream, tag_stream, write_tagged
+from casemill.streaming.tagging import clean_stream, read_rejects, read_sentence_stream, tag_stream, write_checked, write_tagged
 from casemill.workdir import fresh_path
 
 _DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -173,3 +173,29 @@ def _(spark, sf):
         .parquet(sink)
         .select("decision_id", *[F.array_join(c, "|").alias(c) for c in ("nouns", "verbs")])
     )
+
+
+@query(
+    "stream_rejects",
+    """SELECT doc_id, CAST(doc_id % 5 = 0 AS BIGINT) AS rejected,
+       CASE WHEN doc_id % 5 <> 0 THEN array_to_string(regexp_extract_all(text, '[a-z]+tion'), '|') END AS nouns,
+       CASE WHEN doc_id % 5 <> 0 THEN CAST(len(regexp_extract_all(text, '[0-9X]')) AS BIGINT) END AS n_masked
+       FROM documents WHERE text IS NOT NULL""",
+)
+def _(spark, sf):
+    """Every fifth key spoilt by a letter: what fits is masked and tagged, what does not is kept apart."""
+    landing, sink, rejected, marks = (fresh_path(spark, n) for n in ("landing", "tagged", "rejected", "marks"))
+    docs = table(spark, sf, "documents").filter(F.col("text").isNotNull())
+    spoilt = F.when(F.col("doc_id") % 5 == 0, F.concat("doc_id", F.lit("x"))).otherwise(F.col("doc_id").cast("string"))
+    write_shards(docs.select(spoilt.alias("doc_id"), "text"), landing, 4, sep=";")
+
+    def work(sentences):
+        masked = clean_stream(sentences, mask="[0-9]").withColumn("n_masked", F.regexp_count("text", F.lit("X")).cast("bigint"))
+        return tag_stream(masked, rules={"nouns": "[a-z]+tion"})
+
+    stream = read_sentence_stream(spark, landing, "doc_id bigint, text string", checked=True)
+    write_checked(stream, sink, rejected, marks, work).awaitTermination()
+    good = spark.read.schema("doc_id bigint, nouns array<string>, n_masked bigint").parquet(sink)
+    bad = read_rejects(spark, rejected).select(F.regexp_extract("record", r"\A(\d+)x;", 1).cast("bigint").alias("doc_id"))
+    tagged = good.select("doc_id", F.lit(0).cast("bigint").alias("rejected"), F.array_join("nouns", "|").alias("nouns"), "n_masked")
+    return tagged.unionByName(bad.withColumn("rejected", F.lit(1).cast("bigint")), allowMissingColumns=True)

@@ -13,7 +13,9 @@ from casemill.operators.tagging import (
     flagged_sentences,
     tag_entities,
     tag_gazetteer,
+    tag_gazetteer_table,
     tag_with_hook,
+    with_words,
 )
 from casemill.plans.outcomes import determination_sentences
 from casemill.rules.defaults import ENTITY_LABELS
@@ -72,6 +74,25 @@ def _(spark, sf):
     return tagged.select("doc_id", *[F.array_join(x, "|").alias(x) for x in sorted(set(TERMS.values()))])
 
 
+_ITEM_GRAMS = _GRAMS.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")
+
+
+@query(
+    "tag_gazetteer_table",
+    f"""WITH terms AS (SELECT DISTINCT two AS term FROM {_ITEM_GRAMS} WHERE two IS NOT NULL)
+        SELECT d.doc_id, coalesce(string_agg(two, '|' ORDER BY pos) FILTER (WHERE term IS NOT NULL), '') AS runs
+        FROM documents d LEFT JOIN (SELECT * FROM {_GRAMS} g JOIN terms ON g.two = term) h USING (doc_id) GROUP BY d.doc_id""",
+)
+def _(spark, sf):
+    """All runs of two words that the benchmark has, found in the documents."""
+    words = with_words(table(spark, sf, "benchmark").select("text"), "text")
+    runs = F.transform("_words", lambda w, i: F.slice("_words", i + 1, 2))
+    pairs = words.select(F.explode(F.filter(runs, lambda r: F.size(r) == 2)).alias("run"))
+    terms = pairs.select(F.array_join("run", " ").alias("term"), F.lit("RUN").alias("label")).distinct()
+    tagged = tag_gazetteer_table(texts(spark, sf, "doc_id", "text"), "doc_id", "text", terms, ["RUN"], 2)
+    return tagged.select("doc_id", F.array_join("RUN", "|").alias("runs"))
+
+
 _TURNS = "conversations"
 
 

@@ -16,6 +16,7 @@ from casemill.rules.defaults import (
     HEARING_MODE_PATTERN,
     HEARING_TYPE_PATTERN,
 )
+from casemill.workdir import materialize
 
 
 # Gazetteer terms that are looked up inside the row.
@@ -58,30 +59,31 @@ def flagged_sentences(df: DataFrame, text: str, pattern: str, found: str) -> Dat
     return matching.withColumn(found, all_matches(F.col(text), pattern)).drop(text)
 
 
-def _word_grams(df: DataFrame, text: str, lengths: list[int], openers: list[str] | None) -> DataFrame:
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """All columns and, as ``_words``, the words that terms are looked up in."""
+    clean = F.regexp_replace(normalize_text(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N} ]", " ")
+    return df.withColumn("_words", F.filter(F.split(clean, " "), lambda w: w != ""))
+
+
+def _word_grams(df: DataFrame, text: str, lengths: list[int], openers: list[str]) -> DataFrame:
     """All columns and, as ``_grams``, the word n-grams of some lengths at each word, in text order.
 
-    With ``openers``, words that open no term get an empty array, so almost no n-gram is built.
+    Words that are no ``openers`` open no term and get an empty array, so almost no n-gram is built.
     """
     sizes = F.array(*[F.lit(n) for n in lengths])
-    clean = F.regexp_replace(normalize_text(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N} ]", " ")
-    split = df.withColumn("_words", F.filter(F.split(clean, " "), lambda w: w != ""))
 
     def starting_at(i):
         fitting = F.filter(sizes, lambda n: i + n <= F.size("_words"))
         return F.transform(fitting, lambda n: F.array_join(F.slice("_words", i + 1, n), " "))
 
-    if openers is None:
-        grams = F.transform("_words", lambda w, i: starting_at(i))
-    else:
-        grams = let(
-            F.array_intersect("_words", F.array(*[F.lit(w) for w in openers])),
-            lambda found: F.transform(
-                "_words",
-                lambda w, i: F.when(F.array_contains(found, w), starting_at(i)).otherwise(empty_texts()),
-            ),
-        )
-    return split.withColumn("_grams", grams).drop("_words")
+    grams = let(
+        F.array_intersect("_words", F.array(*[F.lit(w) for w in openers])),
+        lambda found: F.transform(
+            "_words",
+            lambda w, i: F.when(F.array_contains(found, w), starting_at(i)).otherwise(empty_texts()),
+        ),
+    )
+    return with_words(df, text).withColumn("_grams", grams).drop("_words")
 
 
 def _known_terms(terms: list[str]) -> Column:
@@ -103,7 +105,7 @@ def tag_gazetteer(
     if len(terms) > inline_terms:
         columns = {"term": list(terms), "label": list(terms.values())}
         table = literal_table(df.sparkSession, columns, dict.fromkeys(columns, "string"))
-        return tag_gazetteer_table(df, key, text, table, labels, sorted({len(t.split(" ")) for t in terms}))
+        return tag_gazetteer_table(df, key, text, table, labels, max(len(t.split(" ")) for t in terms))
     grams = _word_grams(
         df.select(key, text),
         text,
@@ -115,22 +117,37 @@ def tag_gazetteer(
     return flat.select(key, *[c.alias(x) for x, c in found.items()])
 
 
+def _candidates(df: DataFrame, key: str, text: str, terms: DataFrame, longest: int) -> DataFrame:
+    """A row for each word run that may be a term: ``term``, its place ``_pos``, and the number ``_row`` and the key of its row.
+
+    A first look goes to an index of the words that open a term, each with the lengths of its terms; only runs of such a
+    length at such a word are built. Of every row one run stays without that, its first, so that no row is lost.
+    """
+    parts = F.split("term", " ")
+    openers = terms.select(parts[0].alias("_word"), F.size(parts).alias("_size")).groupBy("_word").agg(F.collect_set("_size").alias("_sizes"))
+    numbered = with_words(df.select(key, text).withColumn("_row", F.monotonically_increasing_id()), text)
+    runs = F.transform("_words", lambda w, i: F.slice("_words", i + 1, F.lit(longest)))
+    words = numbered.select(key, "_row", F.posexplode_outer(runs).alias("_pos", "_run"))
+    opening = words.withColumn("_word", F.element_at("_run", 1)).join(openers, "_word", "left")
+    kept = opening.filter(F.col("_sizes").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
+    fitting = F.filter("_sizes", lambda n: n <= F.size("_run"))
+    found = F.transform(fitting, lambda n: F.array_join(F.slice("_run", F.lit(1), n), " "))
+    return kept.select(key, "_row", "_pos", F.posexplode_outer(found).alias("_nth", "term"))
+
+
 def tag_gazetteer_table(
-    df: DataFrame, key: str, text: str, terms: DataFrame, labels: list[str], lengths: list[int]
+    df: DataFrame, key: str, text: str, terms: DataFrame, labels: list[str], longest: int
 ) -> DataFrame:
-    """``tag_gazetteer`` with a table ``term``, ``label`` of any size; ``lengths`` are the terms' numbers of words.
+    """``tag_gazetteer`` with a table ``term``, ``label`` of any size, whose terms have ``longest`` words at most.
 
-    Each row gets a number, so that its hits come together again whatever its key. All its n-grams of these
-    lengths are looked up; no term is part of the plan. Common n-grams that are no terms leave with the
-    join, and adaptive execution splits those that are.
+    Words that open no term, and runs of a length that no term of their first word has, are left out before terms are
+    looked up; no term is part of the plan. What is looked up is stored first, in one job when this is called, each
+    row under a number, so that its hits come together again whatever its key, and whichever tasks run again. Common runs
+    that are no terms leave with the join, and adaptive execution splits those that are.
     """
-    numbered = df.select(key, text).withColumn("_row", F.monotonically_increasing_id())
-    spread = _word_grams(numbered, text, lengths, None).select(
-        key, "_row", F.posexplode_outer("_grams").alias("_pos", "_here")
-    )
-    grams = spread.select(key, "_row", "_pos", F.posexplode_outer("_here").alias("_nth", "term"))
     known = terms.select("term", "label").distinct()
-    # The first n-gram of a row is kept without a hit too, so that no row is lost.
+    grams = materialize(_candidates(df, key, text, known, longest), "candidates")
+    # The first run of a row is kept without a hit too.
     first = (F.coalesce("_pos", F.lit(0)) == 0) & (F.coalesce("_nth", F.lit(0)) == 0)
     hits = grams.join(known, "term", "left").filter(F.col("label").isNotNull() | first)
     hit = F.struct("_pos", F.length("term").alias("_size"), "term")
@@ -167,5 +184,3 @@ def tag_with_hook(
             yield batch.assign(**{x: s.set_axis(batch.index) for x, s in columns.items()})
 
     return df.mapInPandas(tag, schema)
-
-

@@ -535,6 +535,18 @@ def test_unknown_and_missing_labels_are_counted(spark):
     assert metrics.misclassified(df, "y", "p").count() == 4
 
 
+def test_gazetteer_looks_up_little(spark):
+    """What is joined with the terms is near the hits, and equal rows and rows of one key stay apart."""
+    text = "of the people in the city of light, " * 20
+    df = spark.createDataFrame([(1, text), (1, text), (None, "nothing"), (2, None), (2, "city of")], "k int, t string").repartition(3)
+    terms = spark.createDataFrame([("city of light", "A"), ("people", "B"), ("people of", "B")], "term string, label string")
+    grams = tagging._candidates(df, "k", "t", terms, 3).collect()
+    assert len(grams) == 2 * (20 + 40 + 1) + 3 and sum(r.term is not None for r in grams) == 2 * (20 + 40)
+    got = tagging.tag_gazetteer_table(df, "k", "t", terms, ["A", "B"], 3)
+    want = sorted([(1, 20, 20), (1, 20, 20), (None, 0, 0), (2, 0, 0), (2, 0, 0)], key=repr)
+    assert rows(got.select("k", F.size("A"), F.size("B"))) == want == rows(got.select("k", F.size("A"), F.size("B")))
+
+
 def test_gazetteer_paths_agree(spark):
     df = spark.createDataFrame([(1, "New York or york"), (1, "new york"), (2, None), (None, "Quebec"), (3, "")], "k int, t string")
     terms = {"new york": "CITY", "york": "CITY", "quebec": "PLACE"}

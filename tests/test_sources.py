@@ -7,7 +7,7 @@ from casemill.operators.masking import mask_column
 from casemill.schemas import SENTENCES
 from casemill.sources import files
 from casemill.sources.documents import TextDocuments
-from casemill.streaming.tagging import read_sentence_stream, tag_stream, write_tagged
+from casemill.streaming.tagging import clean_stream, read_rejects, read_sentence_stream, tag_stream, write_checked, write_tagged
 from casemill.workdir import fresh_path, materialize, shared_root
 
 HARD = [
@@ -170,6 +170,42 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     assert run() == [("1", "AB ; c", ["AB"]), ("3", "D e F", ["D", "F"])]
 
 
+def test_stream_keeps_to_the_batch_rules(spark, tmp_path):
+    schema = "k bigint, text string"
+    landing, sink, bad, marks = (tmp_path / n for n in ("in", "good", "bad", "marks"))
+    landing.mkdir()
+
+    def run():
+        stream = read_sentence_stream(spark, str(landing), schema, checked=True)
+        work = lambda rows: tag_stream(clean_stream(rows, mask="[a-z]+@[a-z]+", normalize=True), rules={"X": "x+"})
+        write_checked(stream, str(sink), str(bad), str(marks), work).awaitTermination()
+        good = spark.read.parquet(str(sink)).select("k", "text", "X")
+        return rows(good), rows(read_rejects(spark, str(bad)).select("record"))
+
+    (landing / "a.csv").write_text('k;text\n1;"Ab@c  me@home\nB"\nx2;bye;extra\n3\n4;\n')
+    want = [(1, "axxx xxxxxxx b", ["xxx", "xxxxxxx"])], [("3",), ("x2;bye;extra",)]
+    assert run() == want
+    (landing / "b.csv").write_text("k;text\ny;z\n5;five\n")
+    want = [*want[0], (5, "five", [])], sorted([*want[1], ("y;z",)])
+    assert run() == want
+    # The last batch was written, but its commit was lost: it runs again.
+    commits = sorted((marks / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    for crc in (marks / "commits").glob(f".{commits[-1].name}.crc"):
+        crc.unlink()
+    assert run() == want
+    assert {r.file.rsplit("/", 1)[1] for r in read_rejects(spark, str(bad)).collect()} == {"a.csv", "b.csv"}
+
+
+@pytest.mark.parametrize("content", ["text;k\na;1\n", "k;text\nx2;bye;extra\n"])
+def test_stream_stops_at_bad_files(spark, tmp_path, content):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(content)
+    stream = read_sentence_stream(spark, str(tmp_path / "in"), "k bigint, text string")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|header|MALFORMED"):
+        write_tagged(tag_stream(stream, rules={"X": "x"}), str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
+
+
 def test_bad_rows_are_errors_or_rejects(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k;v\n1;0.5\nx;0.7\n2\n3;0.1;9\n;0.2\n")
     schema = "k bigint, v double"
