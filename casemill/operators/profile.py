@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from casemill.functions.text import count_occurrences, word_count, words
 from casemill.operators.joins import present
@@ -43,6 +43,36 @@ def cleaning_report(df: DataFrame, case: str, subset: list[str] | None = None) -
     )
 
 
+class RowCounts:
+    """Rows at some steps of a job, counted by the job itself: no second scan, no second job.
+
+    ``at`` marks a step in a plan; once the job has run, ``report`` has the rows of each step and how many were removed since
+    the step before. A stage that runs again after a loss may be counted again, so a count is exact unless executors were lost.
+    The plan must be of ``session``: a session that has observed rows can fit no Spark ML model any more, as models hold on
+    to their session and it can then not be sent to tasks, so counting has a session of its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.session = spark.newSession()
+        for name, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(name):
+                self.session.conf.set(name, value)
+        self._steps: list[tuple[str, Observation]] = []
+
+    def at(self, step: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        self._steps.append((step, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def report(self) -> list[dict]:
+        out, before = [], None
+        for step, seen in self._steps:
+            n = seen.get["rows"]
+            out.append({"step": step, "rows": n, "removed": 0 if before is None else before - n})
+            before = n
+        return out
+
+
 def word_stats(df: DataFrame, text: str) -> DataFrame:
     """Median and mean number of words. Texts of equal length are merged before the median."""
     lengths = df.groupBy(word_count(F.col(text)).alias("_words")).agg(F.count(F.lit(1)).alias("_n"))

@@ -16,7 +16,7 @@ from casemill.operators.features import train_set_cover
 from casemill.operators.joins import gold_join, hot_keys
 from casemill.operators.masking import mask_column
 from casemill.operators.metrics import confusion_matrix, misclassified
-from casemill.operators.profile import error_profile, top_words
+from casemill.operators.profile import RowCounts, error_profile, top_words
 from casemill.operators.sampling import oversample, split_by_hash
 from casemill.operators.tagging import flagged_sentences, tag_entities
 from casemill.plans.cover import cover_features, covers_from_files, judges_from_html, labelled_covers
@@ -48,13 +48,13 @@ from casemill.sources.files import (
 )
 
 
-def _rows(spark: SparkSession, path, schema, rejected: str | None, **reading):
+def _rows(spark: SparkSession, path, schema, rejected: str | None, job: str, **reading):
     """Rows of delimited files. A row that does not fit the schema is an error, or, with ``rejected``, is stored there
-    with its file."""
+    with its file, under the name of the job; a job that runs again replaces what it has rejected before."""
     if rejected is None:
         return read_delimited(spark, path, schema, **reading)
     good, bad = read_checked(spark, path, schema, **reading)
-    bad.write.mode("append").json(rejected)
+    bad.write.mode("overwrite").json(f"{rejected}/job={job}")
     return good
 
 
@@ -66,10 +66,13 @@ def mask_sentences(
     pattern: str = PERSON_RULE,
     rejected: str | None = None,
     **reading,
-) -> None:
-    """Delimited sentences -> shards of masked sentences."""
-    complete = drop_incomplete(_rows(spark, sentences, SENTENCES, rejected, **reading))
+) -> list[dict]:
+    """Delimited sentences -> shards of masked sentences. Returns the rows read and kept (``RowCounts``)."""
+    counts = RowCounts(spark)
+    read = counts.at("read", _rows(counts.session, sentences, SENTENCES, rejected, "mask_sentences", **reading))
+    complete = counts.at("complete", drop_incomplete(read))
     write_shards(mask_column(complete, "text", pattern), target, shards)
+    return counts.report()
 
 
 def tag_sentences(
@@ -79,10 +82,13 @@ def tag_sentences(
     rules: dict[str, str] = ENTITY_RULES,
     rejected: str | None = None,
     **reading,
-) -> None:
-    """Shards of sentences -> Parquet table with one array column per label."""
-    known = drop_incomplete(_rows(spark, shards, SENTENCES, rejected, **{"sep": ",", **reading}), ["text"])
+) -> list[dict]:
+    """Shards of sentences -> Parquet table with one array column per label. Returns the rows read and tagged."""
+    counts = RowCounts(spark)
+    read = counts.at("read", _rows(counts.session, shards, SENTENCES, rejected, "tag_sentences", **{"sep": ",", **reading}))
+    known = counts.at("tagged", drop_incomplete(read, ["text"]))
     tag_entities(known, "text", rules).write.parquet(target)
+    return counts.report()
 
 
 def flag_determinations(
@@ -92,11 +98,14 @@ def flag_determinations(
     pattern: str = ENTITY_RULES["DETERMINATION"],
     rejected: str | None = None,
     **reading,
-) -> None:
-    """Delimited tail sentences -> Parquet table of those with a determination."""
-    complete = drop_incomplete(_rows(spark, tail, TAIL_SENTENCES, rejected, **reading))
+) -> list[dict]:
+    """Delimited tail sentences -> Parquet table of those with a determination. Returns the rows read, complete and flagged."""
+    counts = RowCounts(spark)
+    read = counts.at("read", _rows(counts.session, tail, TAIL_SENTENCES, rejected, "flag_determinations", **reading))
+    complete = counts.at("complete", drop_incomplete(read))
     flagged = flagged_sentences(complete, "text", pattern, "extracted_sentences_determination")
-    flagged.write.parquet(target)
+    counts.at("flagged", flagged).write.parquet(target)
+    return counts.report()
 
 
 def label_determinations(
@@ -105,7 +114,7 @@ def label_determinations(
     """Determination sentences of the annotated cases with their annotation."""
     flagged = drop_values(spark.read.parquet(determinations), "decision_id", [NO_KEY])
     keyed = flagged.withColumn("decision_id", nullable_key(F.col("decision_id")))
-    annotations = _rows(spark, gold, GOLD_OUTCOMES, rejected, **reading)
+    annotations = _rows(spark, gold, GOLD_OUTCOMES, rejected, "label_determinations", **reading)
     gold_join(keyed, annotations, "decision_id").write.parquet(target)
 
 
@@ -159,7 +168,7 @@ def aggregate_outcomes(
     spark: SparkSession, scores: str, target: str, rejected: str | None = None, **reading
 ) -> None:
     """Delimited sentence scores -> delimited outcome per case."""
-    write_delimited(case_outcomes(_rows(spark, scores, SENTENCE_SCORES, rejected, **reading)), target)
+    write_delimited(case_outcomes(_rows(spark, scores, SENTENCE_SCORES, rejected, "aggregate_outcomes", **reading)), target)
 
 
 def extract_covers(
@@ -193,7 +202,7 @@ def build_cover_examples(
 ) -> None:
     """Cover features and outcomes -> training set, written by split."""
     labelled = labelled_covers(
-        spark.read.parquet(features), _rows(spark, outcomes, CASE_OUTCOMES, rejected, **reading)
+        spark.read.parquet(features), _rows(spark, outcomes, CASE_OUTCOMES, rejected, "build_cover_examples", **reading)
     )
     examples = split_by_hash(train_set_cover(labelled), ["decision_id"], test_share)
     examples.write.partitionBy("split").parquet(target)
@@ -214,7 +223,7 @@ def build_all_examples(
 
     With ``minority`` the training part repeats the examples of that class.
     """
-    known = _rows(spark, outcomes, CASE_OUTCOMES, rejected, **reading)
+    known = _rows(spark, outcomes, CASE_OUTCOMES, rejected, "build_all_examples", **reading)
     covers = labelled_covers(spark.read.parquet(features), known)
     sentences = spark.read.parquet(tagged)
     hot = hot_keys(sentences.select(nullable_key(F.col("decision_id")).alias("decision_id")), ["decision_id"])
@@ -269,7 +278,7 @@ def report_errors(
     spark: SparkSession, predictions: str, target: str, rejected: str | None = None, **reading
 ) -> None:
     """Delimited predictions -> confusion table, wrong rows, their profile and their top words."""
-    read = _rows(spark, predictions, PREDICTIONS, rejected, **{"sep": ",", **reading})
+    read = _rows(spark, predictions, PREDICTIONS, rejected, "report_errors", **{"sep": ",", **reading})
     rows = read.select(
         "text",
         map_values(F.col("labels"), {0: "REJECTED", 1: "GRANTED"}).alias("label"),
@@ -293,5 +302,5 @@ def import_legacy_lists(
     rejected: str | None = None, **reading
 ) -> None:
     """Delimited table whose list columns were written out as text -> Parquet with real arrays."""
-    table = _rows(spark, source, schema, rejected, sep=sep, **reading)
+    table = _rows(spark, source, schema, rejected, "import_legacy_lists", sep=sep, **reading)
     table.withColumns({c: parse_list_repr(F.col(c)) for c in lists}).write.parquet(target)

@@ -16,13 +16,14 @@ def test_sentence_chain(spark, tmp_path):
         "decision_id;text\n1;near Toronto, John Smith said the claim is rejected\n2;nothing\n3;\n"
         "no_match_filename;the claim is accepted\n"
     )
-    jobs.mask_sentences(spark, p["in.csv"], p["shards"], shards=2)
-    jobs.tag_sentences(spark, p["shards"], p["tagged"])
+    step = lambda name, n, removed=0: {"step": name, "rows": n, "removed": removed}
+    assert jobs.mask_sentences(spark, p["in.csv"], p["shards"], shards=2) == [step("read", 4), step("complete", 3, 1)]
+    assert jobs.tag_sentences(spark, p["shards"], p["tagged"]) == [step("read", 3), step("tagged", 3)]
     tagged = spark.read.parquet(p["tagged"])
     assert tagged.count() == 3
     row = tagged.filter("decision_id = '1'").first()
     assert "John" not in row["text"] and row["GPE"] == ["Toronto"] and len(row["DETERMINATION"]) == 1
-    jobs.flag_determinations(spark, p["in.csv"], p["flags"])
+    assert jobs.flag_determinations(spark, p["in.csv"], p["flags"]) == [step("read", 4), step("complete", 3, 1), step("flagged", 2, 1)]
     assert spark.read.parquet(p["flags"]).count() == 2
     (tmp_path / "gold.csv").write_text("decision_id;decision\n1;0\n7;1\n")
     jobs.label_determinations(spark, p["flags"], p["gold.csv"], p["labelled"])
