@@ -46,3 +46,16 @@ def test_search(spark, examples):
     assert max(h["weighted_f1"] for h in found.history) > 0.9
     scored = classify.score_text_clf(found.model, examples.select("text", "labels"))
     assert scored.filter((F.col("prediction") == "POSITIVE") == (F.col("labels") == 1)).count() > 220
+
+
+def test_search_gives_up_on_hopeless_settings(spark, examples, monkeypatch):
+    """A planted optimum among settings that all but forbid to learn: found, with few full trainings."""
+    settings = [{"reg": r, "epochs": 8, "n_features": n} for r, n in ((50.0, 2), (80.0, 256), (0.01, 256), (60.0, 256), (90.0, 2), (70.0, 2))]
+    made, fitted = classify._classifier, []
+    monkeypatch.setattr(classify, "_classifier", lambda label, epochs=20, reg=0.01: fitted.append((epochs, reg)) or made(label, epochs, reg))
+    found = classify.tune_text_clf(examples, "id", settings, folds=2)
+    best = max(found.history, key=lambda h: (h["rounds"], h["weighted_f1"]))
+    assert best["reg"] == 0.01 and best["weighted_f1"] > 0.95 and [h["rounds"] for h in found.history].count(1) == 3
+    # The last training is of the best setting, on all rows.
+    assert fitted[-1] == (8, 0.01) and sum(e == 8 for e, _ in fitted[:-1]) <= len(settings) * 2 // 2
+    assert len({(h["reg"], h["n_features"]) for h in found.history}) == 6
