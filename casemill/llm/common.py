@@ -79,6 +79,18 @@ def let_go(but=None) -> None:
     kept = _kept()
     for name in [n for n in kept if n != but]:
         del kept[name]
+    _release()
+
+
+def _release() -> None:
+    """Give back to the system what earlier tasks of this process have freed."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # only where the C library has it
+        libc.malloc_trim(0)
 
 
 def crc_fold(doc_id, folds: int = 5):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.llm.common import map_chunks, per_process, store, text_bytes
-from casemill.llm.words import WordStore, bytes_list, distinct_words, ragged
+from casemill.llm.words import REMEMBERED, WordStore, bytes_list, distinct_words, ragged
 
 #: Words that are tokenised together.
 TOGETHER = 200
@@ -35,14 +35,14 @@ class Tokens:
     operator is meant for does; the ids of a text are those of its words in a row.
     """
 
-    def __init__(self, file: str, words: bool = True):
+    def __init__(self, file: str, words: bool = True, remember: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.store, self.halves = words, WordStore({b" ": []}), WordStore({b"": []})
+        self.words, self.store, self.halves = words, WordStore({b" ": []}, remember), WordStore({b"": []}, remember)
         self.last = None
         if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
             self.last = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
@@ -143,6 +143,7 @@ def pack_documents(
     text: str = "text",
     words: bool = True,
     tokens: bool = False,
+    remember: int = REMEMBERED,
 ) -> DataFrame:
     """Cut all documents into sequences of ``size`` tokens; one row for each piece.
 
@@ -151,12 +152,12 @@ def pack_documents(
     (in the sequence, gapless from 0), ``continues`` (the piece is the rest of what a border cut); with
     ``tokens`` also ``ids``. A null or empty text gives the end id alone. Rows are documents: repeated rows,
     equal or null keys are packed each. An empty table gives no rows. ``words=False`` is for tokenizers
-    that keep white space. One job runs when this is called: it stores the ids in the shared folder.
+    that keep white space. A worker process remembers ``remember`` words, twice: 100 bytes or so for each. One job runs when this is called: it stores the ids in the shared folder.
     """
-    kind, name = dict(df.dtypes)[key], ("tokens", file, words)
+    kind, name = dict(df.dtypes)[key], ("tokens", file, words, remember)
 
     def count():
-        encoder = per_process(name, lambda: Tokens(file, words))
+        encoder = per_process(name, lambda: Tokens(file, words, remember))
         part, before = TaskContext.get().partitionId(), 0
 
         def work(batch):

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Words that a worker remembers; beyond, the half used least is let go.
+#: Words that a worker remembers, unless it is told another number; beyond, the half used least is let go.
 REMEMBERED = 400_000
 
 __all__ = ["WordStore", "bytes_list", "distinct_words", "ragged", "word_starts"]
@@ -55,8 +55,8 @@ def distinct_words(data: bytes, starts: np.ndarray) -> tuple[list[bytes], np.nda
 class WordStore:
     """For each word remembered a run of ``values``: its ids."""
 
-    def __init__(self, fixed: dict[bytes, list[int]] | None = None):
-        self.fixed = fixed or {}
+    def __init__(self, fixed: dict[bytes, list[int]] | None = None, most: int = REMEMBERED):
+        self.fixed, self.most = fixed or {}, most
         self.known: dict[bytes, int] = {}
         self.starts, self.lengths, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
         self.values = np.zeros(0, dtype=np.uint32)
@@ -70,13 +70,12 @@ class WordStore:
         self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
         self.values = np.concatenate([self.values, values.astype(np.uint32)])
 
-    def shrink(self, most: int | None = None) -> None:
+    def shrink(self) -> None:
         """If there are too many, keep the fixed words and, of the others, the half of ``most`` used most that were used again."""
-        most = REMEMBERED if most is None else most
-        if len(self.known) <= most:
+        if len(self.known) <= self.most:
             return
         self.uses[: len(self.fixed)] = np.iinfo(np.int64).max
-        used = np.argsort(-self.uses, kind="stable")[: len(self.fixed) + most // 2]
+        used = np.argsort(-self.uses, kind="stable")[: len(self.fixed) + self.most // 2]
         used = np.sort(used[self.uses[used] > 1])
         words, lengths = list(self.known), self.lengths[used]
         self.values = self.values[ragged(self.starts[used], lengths)]
