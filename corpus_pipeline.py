@@ -48,7 +48,8 @@ def secret_scan(spark, docs, sf_dir):
 
 def packing(spark, docs, sf_dir):
     """The documents' ids in sequences of 4096."""
-    return pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    # Executors have the stages before behind them, so a worker remembers fewer words than it could.
+    return pack_documents(docs, tokenizer("word_bpe_49k.json"), remember=100_000)
 
 
 STAGES = [
