@@ -58,6 +58,8 @@ WITH_PYTHON = {
     "labelled_covers",
     "examples_from_corpus",
 }
+# Queries that read delimited files back in which quoted fields hold line breaks: records are joined from lines in batches.
+WITH_PYTHON |= {"read_delimited", "reject_report", "csv_roundtrip", "sharded_sink", "merge_shards"}
 # Training runs jobs while the query is built; their plans are Spark ML's own.
 TRAINING = {"train_text_clf", "tune_text_clf", "score_text_clf", "text_clf_metrics", "text_clf_predictions"}
 
