@@ -44,7 +44,8 @@ class Written(WriterCommitMessage):
 
 class DocumentWriter(DataSourceArrowWriter):
     """Each attempt of a task writes into a folder of its own. The job moves the folders of the attempts that count to where
-    readers look, one rename for a task, and drops all others: an attempt that failed, or ran twice, leaves no file."""
+    readers look, one rename for a task, and drops all others: an attempt that failed, or ran twice, leaves no file there.
+    What a task still writes after its job was given up stays in the folder of attempts, which readers skip."""
 
     def __init__(self, path: str, overwrite: bool, suffix: str):
         self.path, self.overwrite, self.suffix, self.job = path, overwrite, suffix, uuid.uuid4().hex
@@ -90,8 +91,11 @@ class DocumentWriter(DataSourceArrowWriter):
     def _drop_attempts(self, store, root) -> None:
         from pyarrow import fs
 
-        if store.get_file_info(f"{root}/{ATTEMPTS}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/{ATTEMPTS}")
+        for folder in (f"{root}/{ATTEMPTS}/{self.job}", f"{root}/{ATTEMPTS}"):
+            if store.get_file_info(folder).type != fs.FileType.Directory:
+                continue
+            if folder.endswith(self.job) or not store.get_file_info(fs.FileSelector(folder)):
+                store.delete_dir(folder)
 
     @staticmethod
     def _clear(store, root) -> None:
