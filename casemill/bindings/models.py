@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from casemill.bindings.registry import pages, query, table, texts
@@ -144,6 +146,19 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "epochs bigint, accuracy double, macro_f1 double, weighted_f1 double")
 
 
+@query(
+    "text_clf_epochs",
+    f"SELECT epochs, test_rows, true AS loss_falls, true AS shares_of_rows FROM ({_PART_ROWS}), (SELECT unnest(range(1, 11)) AS epochs)",
+)
+def _(spark, sf):
+    """Every epoch of one training: its loss is below that of the epoch before, and accuracy is a share of the test rows."""
+    train, test = _halves(examples(spark, sf))
+    history = train_text_clf(train, test, epochs=10, n_features=1 << 12, reg=0.1, pieces=4).history
+    n, before = test.count(), [math.inf, *(h["loss"] for h in history)]
+    rows = [(h["epochs"], n, h["loss"] < last, abs(h["accuracy"] * n - round(h["accuracy"] * n)) < 1e-6) for h, last in zip(history, before)]
+    return spark.createDataFrame(rows, "epochs bigint, test_rows bigint, loss_falls boolean, shares_of_rows boolean")
+
+
 @query("text_clf_predictions")
 def _(spark, sf):
     """Class and score of every document, and its label if it has one."""

@@ -301,7 +301,7 @@ def _(spark, sf):
         .otherwise(F.array(F.concat(month, F.lit(" the last"))))
     )
     lists = spread(table(spark, sf, "orders")).select("o_orderkey", first.alias("first"), second.alias("second"))
-    return reconcile_dates(lists, "first", "second").select("o_orderkey", "date_decision")
+    return reconcile_dates(lists, "first", "second", short=True).select("o_orderkey", "date_decision")
 
 
 def _ratio(a, b):
@@ -324,7 +324,7 @@ def _ratio(a, b):
         SELECT p_partkey, CAST(greatest({_ratio('s', 'wa')}, {_ratio('s', 'wb')}, {_ratio('wa', 'wb')}) AS BIGINT) AS score FROM wholes""",
 )
 def _(spark, sf):
-    score = token_set_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(", ", "p_type", "p_brand"))
+    score = token_set_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(", ", "p_type", "p_brand"), short=True)
     return table(spark, sf, "part").select("p_partkey", score.cast("bigint").alias("score"))
 
 

@@ -19,7 +19,8 @@ from casemill.functions.arrays import argmax
 from casemill.functions.keys import hash_bucket, key_hash
 from casemill.functions.text import words
 from casemill.operators.cleaning import map_values
-from casemill.operators.metrics import eval_bundle
+from casemill.operators.epochs import EpochModel, epoch_predictions, sparse_columns, train_epochs
+from casemill.operators.metrics import eval_groups
 from casemill.rules.defaults import CASE_TOKENS, CLASS_NAMES
 from casemill.workdir import materialize
 
@@ -81,29 +82,33 @@ def train_text_clf(
     test: DataFrame,
     text: str = "text",
     label: str = "labels",
-    epochs: tuple[int, ...] = (5, 10, 20),
+    epochs: int | tuple[int, ...] = 20,
     max_len: int | None = None,
     n_features: int = 1 << 16,
     reg: float = 0.01,
     pieces: int | None = None,
 ) -> Trained:
-    """Train for each number of epochs, evaluate on ``test`` and keep the best macro F1.
+    """Train once, evaluate epochs on ``test`` and keep the one with the best macro F1, the first of equals.
 
-    The features are computed once and stored in the shared folder; only metrics and model
-    weights (bounded by ``n_features``) reach the driver.
+    ``epochs`` is the number of epochs, all of which are evaluated, or those to evaluate, of which the last ends the run.
+    The history has for each its loss on ``train`` and its metrics. The features are computed once and stored in the
+    shared folder; only sums, metrics and weights (bounded by ``n_features``) reach the driver.
     """
+    numbers = list(range(1, epochs + 1)) if isinstance(epochs, int) else sorted(set(epochs))
     features = Pipeline(stages=[*_token_stages(text, max_len, pieces), *_vector_stages(n_features)]).fit(train)
-    train_x = materialize(features.transform(train).select(label, "features"), "train-features")
-    test_x = materialize(features.transform(test).select(label, "features"), "test-features")
-    history, best, best_score = [], None, -1.0
-    for n in epochs:
-        fitted = _classifier(label, n, reg).fit(train_x)
-        scored = fitted.transform(test_x).withColumn("_scores", vector_to_array("probability"))
-        metrics = eval_bundle(scored, label, "_scores").first().asDict()
-        history.append({"epochs": n, **metrics})
-        if (metrics["macro_f1"] or 0.0) > best_score:
-            best, best_score = fitted, metrics["macro_f1"] or 0.0
-    return Trained(PipelineModel(stages=[*features.stages, best]), history)
+    columns = F.col(label).cast("int").alias("_label"), *sparse_columns("features")
+    train_x = materialize(features.transform(train).select(*columns), "train-features")
+    test_x = features.transform(test).select(*columns)
+    run = [e for e in train_epochs(train_x, numbers[-1], n_features, reg) if e.number in numbers]
+    predicted = epoch_predictions(test_x, run)
+    found = {r["epoch"]: r for r in eval_groups(predicted, "label", "prediction", "epoch").collect()}
+    history = []
+    for e in run:
+        scored = found[e.number].asDict() if e.number in found else {"accuracy": None, "macro_f1": None, "weighted_f1": None}
+        scored.pop("epoch", None)
+        history.append({"epochs": e.number, "loss": e.loss, **scored})
+    best = max(range(len(run)), key=lambda i: (history[i]["macro_f1"] or 0.0, -i))
+    return Trained(PipelineModel(stages=[*features.stages, EpochModel.of(run[best])]), history)
 
 
 def sample_settings(

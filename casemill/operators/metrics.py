@@ -162,6 +162,23 @@ def eval_bundle(df: DataFrame, label: str, scores: str) -> DataFrame:
     )
 
 
+def eval_groups(df: DataFrame, label: str, prediction: str, group: str) -> DataFrame:
+    """The metrics of ``eval_bundle`` for each value of ``group``, from one confusion table of them all."""
+    counts = df.groupBy(F.col(group).alias("group"), F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
+    hit, n, none = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0), F.col("n"), F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), hit.alias("tp"), n.alias("actual"), none.alias("predicted")),
+        F.struct(F.col("prediction").alias("class"), none.alias("tp"), none.alias("actual"), n.alias("predicted")),
+    )
+    per_class = counts.select("group", F.inline(sides)).groupBy("group", "class").agg(*(F.sum(c).alias(c) for c in _CLASS_F1))
+    f1 = _f1(*map(F.col, _CLASS_F1))
+    return per_class.groupBy(F.col("group").alias(group)).agg(
+        (F.sum("tp") / F.sum("actual")).alias("accuracy"),
+        F.avg(f1).alias("macro_f1"),
+        (F.sum(f1 * F.col("actual")) / F.sum("actual")).alias("weighted_f1"),
+    )
+
+
 def misclassified(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Rows whose prediction is not the label; one that is missing is wrong, unless both are."""
     return df.filter(~F.col(label).eqNullSafe(F.col(prediction)))

@@ -44,12 +44,14 @@ def reconcile_dates(
     second: str,
     name: str = "date_decision",
     threshold: int = DATE_SIMILARITY,
+    short: bool = False,
 ) -> DataFrame:
     """Dates found by both, written without the comma after the day.
 
     Without a common date, the items that are no valid dates are compared as lists, and the last
     one of ``second`` is taken when their similarity is above ``threshold``: two valid dates that
-    differ in one digit are similar texts but not the same date.
+    differ in one digit are similar texts but not the same date. With ``short``, the caller states that
+    these items never have more than ``similarity.BITS`` characters on both sides; no row goes through Python then.
     """
     a = F.transform(F.col(first), lambda x: without_day_comma(x))
     b = F.transform(F.col(second), lambda x: without_day_comma(x))
@@ -60,7 +62,7 @@ def reconcile_dates(
     sided = df.withColumns({"_common": F.array_intersect(a, b), "_a": no_dates(a), "_b": no_dates(b)})
     open_row = F.size("_common") == 0
     score = token_set_similarity(
-        F.when(open_row, F.array_join("_a", " ")), F.when(open_row, F.array_join("_b", " "))
+        F.when(open_row, F.array_join("_a", " ")), F.when(open_row, F.array_join("_b", " ")), short=short
     )
     scored = sided.withColumn("_score", score)
     return scored.withColumn(

@@ -371,6 +371,42 @@ def test_same_words_means_100(spark, alphabet):
         assert r["same"] == (token_set_score(r["a"], r["b"]) == 100), r
 
 
+def _random_pairs(seed, alphabets, lengths, count):
+    rng = random.Random(seed)
+    return [
+        tuple("".join(rng.choice(letters) for _ in range(rng.randint(0, n))) for _ in "ab")
+        for letters in alphabets
+        for n in lengths
+        for _ in range(count)
+    ] + [(None, "x"), ("a", None), (None, None), ("", ""), ("..", "a")]
+
+
+def test_native_similarity_equals_the_python_form(spark):
+    from casemill.functions.similarity import token_set_similarity
+
+    data = _random_pairs(3, ("ab c-é_9", "xy ", "abcdefgh ijk lmn", "aΣİß😀漢 b1²"), (6, 20, 60), 120)
+    df = spark.createDataFrame(data, "a string, b string")
+    scored = df.withColumn("score", token_set_similarity(F.col("a"), F.col("b"), short=True))
+    assert "EvalPython" not in scored._jdf.queryExecution().executedPlan().toString()
+    for r in scored.collect():
+        assert r["score"] == token_set_score(r["a"], r["b"]), r
+
+
+def test_similarity_of_long_and_short_texts(spark):
+    from casemill.functions.similarity import BITS, token_set_similarity
+
+    data = _random_pairs(4, ("abc defgh", "ab "), (5, 61, 62, 63, 64, 300), 40)
+    df = spark.createDataFrame(data, "a string, b string")
+    for r in df.withColumn("score", token_set_similarity(F.col("a"), F.col("b"))).collect():
+        assert r["score"] == token_set_score(r["a"], r["b"]), r
+    edge = spark.createDataFrame([("a" * BITS, "b" * 500 + "a"), ("a" * BITS, "a" * (BITS + 1))], "a string, b string")
+    short = edge.select("*", token_set_similarity(F.col("a"), F.col("b"), short=True).alias("score")).collect()
+    assert [r["score"] for r in short] == [token_set_score(r["a"], r["b"]) for r in short]
+    over = spark.createDataFrame([("a" * (BITS + 1), "b" * (BITS + 1))], "a string, b string")
+    with pytest.raises(Exception, match="words of their own"):
+        over.select(token_set_similarity(F.col("a"), F.col("b"), short=True)).collect()
+
+
 def test_long_lists_may_round_up_to_100(spark):
     words = " ".join(f"word{i:03d}" for i in range(40))
     almost = words.replace("word039", "word03")
