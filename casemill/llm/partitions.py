@@ -1,8 +1,9 @@
 """Nearest neighbours by learned partitions.
 
 On a bounded sample, the graph of nearest neighbours is cut into parts of equal size with few edges
-between them; a small network learns to tell a vector's part. It files every row under its most probable
-part and sends a query to several. How many is measured: queries of an audit are compared with all
+between them; a small network learns to tell a vector's part. Where parts hold many rows, each is cut again in the same way by a network of its own, fitted in a task on a
+bounded sample of the part, so that parts grow in number with the table. Every row is filed under its most probable
+part, and a query is sent to several. How many is measured: queries of an audit are compared with all
 rows, and enough parts are opened to hold nearly all of their true neighbours.
 """
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from casemill.llm.common import has_direction, map_groups, materialize
 from casemill.llm.vectors import cosines, matrix, unit
 
-#: Rows that the index is fitted on; neighbours in the graph; parts at most; audited queries; their recall.
-SAMPLE, NEIGHBOURS, PARTS, AUDIT, RECALL = 4096, 10, 64, 96, 0.97
+#: Rows that a network is fitted on; neighbours in the graph; parts of a cut at most; audited queries; their recall.
+SAMPLE, NEIGHBOURS, PARTS, AUDIT, RECALL = 4096, 10, 64, 96, 0.95
+#: Rows of a part from which it is cut again, about as many as the parts of a whole cut have; rows that this is fitted on.
+LEAF, INNER = 1024, 2048
 #: Rows and queries of a block that is compared at once.
 ROWS, QUERIES = 4096, 1024
 
@@ -111,13 +114,66 @@ class Router(NamedTuple):
         return np.maximum(x @ self.w + self.b, 0) @ self.v + self.c
 
 
-def fit_router(rows: DataFrame, dim: int, count: int) -> tuple[Router, int]:
+def _log_shares(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+class Tree(NamedTuple):
+    """Parts, and the cuts of those that are cut again. A leaf's number is its part times ``PARTS`` plus its place in it."""
+
+    top: Router
+    inner: dict[int, Router]
+
+    def leaves(self) -> np.ndarray:
+        each = [range(len(self.inner[p].c)) if p in self.inner else range(1) for p in range(len(self.top.c))]
+        return np.array([p * PARTS + i for p, places in enumerate(each) for i in places], dtype=np.int64)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Log shares of all leaves."""
+        top = _log_shares(self.top.scores(x))
+        return np.concatenate([top[:, [p]] + _log_shares(self.inner[p].scores(x)) if p in self.inner else top[:, [p]] for p in range(top.shape[1])], axis=1)
+
+    def file(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row: of its most probable part the most probable."""
+        part = self.top.scores(x).argmax(axis=1) if len(x) else np.zeros(0, dtype=np.int64)
+        leaf = part * PARTS
+        for p in np.unique(part):
+            if p in self.inner:
+                own = np.flatnonzero(part == p)
+                leaf[own] += self.inner[p].scores(x[own]).argmax(axis=1)
+        return leaf
+
+
+def fit_router(rows: DataFrame, dim: int, count: int) -> Router:
     """Fit on the ``SAMPLE`` rows with the smallest hashes. Parts grow with the root of the rows."""
     some = rows.orderBy(F.xxhash64("_id", F.lit(1))).limit(SAMPLE).select("vector").collect()
     x = unit(np.array([r["vector"] for r in some], dtype=np.float64).reshape(len(some), dim))
     parts = 2 ** int(np.clip(np.ceil(np.log2(max(count, 1) ** 0.5 / 4)), 0, np.log2(PARTS)))
     parts = min(parts, 2 ** int(np.log2(max(len(x), 1))))
-    return Router.fit(x, balanced_parts(neighbour_graph(x, NEIGHBOURS), parts), parts), parts
+    return Router.fit(x, balanced_parts(neighbour_graph(x, NEIGHBOURS), parts), parts)
+
+
+def fit_inner(filed: DataFrame) -> dict[int, Router]:
+    """A network for each part (``part``, numbered as leaves) of more than ``LEAF`` rows, each fitted in a task on about ``INNER`` rows of it, chosen
+    by hash. There are ``PARTS`` of them at most, so what the driver holds is bounded by the length of a vector."""
+    sizes = filed.groupBy("part").count().filter(F.col("count") > LEAF)
+    drawn = F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(1 << 30)) < F.lit(float(INNER << 30)) / F.col("count")
+    some = filed.join(F.broadcast(sizes), "part").filter(drawn).select("part", "count", "_id", "vector")
+
+    def fit(batch):
+        part, count = batch.column("part")[0].as_py(), batch.column("count")[0].as_py()
+        x = unit(matrix(batch.column("vector")))
+        cuts = min(2 ** int(np.ceil(np.log2(count / LEAF))), PARTS, 2 ** int(np.log2(len(x))))
+        router = Router.fit(x, balanced_parts(neighbour_graph(x, NEIGHBOURS), cuts), cuts, hidden=64)
+        return {"part": [part], **{n: [np.asarray(a, dtype=np.float32).tobytes()] for n, a in router._asdict().items()}}
+
+    found = map_groups(some, ["part"], ["_id"], fit, "part long, w binary, b binary, v binary, c binary").collect()
+    out = {}
+    for r in found:
+        w, b, v, c = (np.frombuffer(r[n], dtype=np.float32).astype(np.float64) for n in "wbvc")
+        out[r["part"] // PARTS] = Router(w.reshape(-1, len(b)), b, v.reshape(len(b), -1), c)
+    return out
 
 
 def _nearest(ids, scores, keep):
@@ -125,11 +181,12 @@ def _nearest(ids, scores, keep):
     return ids[order], scores[order]
 
 
-def _opened(filed: DataFrame, queries: DataFrame, router: Router, parts: int, k: int) -> int:
+def _opened(filed: DataFrame, queries: DataFrame, tree: Tree, k: int) -> int:
     """Parts to open: enough for ``RECALL`` of the true neighbours of audited queries, found among all rows."""
     some = queries.orderBy(F.xxhash64("_id", F.lit(2))).limit(AUDIT).select("_id", "vector").collect()
-    if not some or parts == 1:
-        return parts
+    leaves = tree.leaves()
+    if not some or len(leaves) == 1:
+        return len(leaves)
     ids, x = np.array([r["_id"] for r in some]), unit(np.array([r["vector"] for r in some], dtype=np.float64))
 
     def near(batches):
@@ -149,10 +206,10 @@ def _opened(filed: DataFrame, queries: DataFrame, router: Router, parts: int, k:
     ranked = filed.mapInArrow(near, "q long, id long, score double, part long").withColumn(
         "rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     )
-    order = np.argsort(-router.scores(x), axis=1, kind="stable")
+    order = leaves[np.argsort(-tree.scores(x), axis=1, kind="stable")]
     place = {int(q): {int(p): i for i, p in enumerate(row)} for q, row in zip(ids, order)}
     depths = sorted(place[r["q"]][r["part"]] for r in ranked.filter(F.col("rank") <= k).collect())
-    return depths[max(0, int(np.ceil(RECALL * len(depths))) - 1)] + 1 if depths else parts
+    return depths[max(0, int(np.ceil(RECALL * len(depths))) - 1)] + 1 if depths else len(leaves)
 
 
 def search_vectors(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -178,21 +235,28 @@ def search_vectors(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vec
 
 
 def _search(rows: DataFrame, dim: int, count: int, k: int) -> DataFrame:
-    router, parts = fit_router(rows, dim, count)
-
-    def file(batches):
-        for batch in batches:
-            best = router.scores(unit(matrix(batch.column("vector")))).argmax(axis=1) if len(batch) else np.zeros(0, dtype=np.int64)
-            yield batch.append_column("part", pa.array(best, pa.int64()))
-
-    filed = materialize(rows.mapInArrow(file, "_id long, vector array<double>, _query boolean, part long"), "filed")
+    def filing(tree):
+        def file(batches):
+            for batch in batches:
+                x = unit(matrix(batch.column("vector"))) if len(batch) else np.zeros((0, dim))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_id", "vector", "_query")), pa.array(tree.file(x), pa.int64())], names=["_id", "vector", "_query", "part"])
+
+        return file
+
+    kind = "_id long, vector array<double>, _query boolean, part long"
+    tree = Tree(fit_router(rows, dim, count), {})
+    filed = materialize(rows.mapInArrow(filing(tree), kind), "filed")
+    if count > PARTS * LEAF:
+        tree = Tree(tree.top, fit_inner(filed))
+        filed = materialize(filed.mapInArrow(filing(tree), kind), "filed")
     queries = filed.filter("_query").select("_id", "vector")
-    opened = _opened(filed, queries, router, parts, k)
+    leaves, opened = tree.leaves(), _opened(filed, queries, tree, k)
 
     def route(batches):
-        for batch in batches:
-            if len(batch):
-                order = np.argsort(-router.scores(unit(matrix(batch.column("vector")))), axis=1, kind="stable")[:, :opened]
+        for whole in batches:
+            for at in range(0, len(whole), 256):  # a row has a score for each of up to PARTS * PARTS leaves
+                batch = whole.slice(at, 256)
+                order = leaves[np.argsort(-tree.scores(unit(matrix(batch.column("vector")))), axis=1, kind="stable")[:, :opened]]
                 yield batch.append_column("parts", pa.array(list(order), pa.list_(pa.int64())))
 
     sent = queries.mapInArrow(route, "_id long, vector array<double>, parts array<long>").select("_id", "vector", F.explode("parts").alias("part"))
@@ -210,13 +274,14 @@ def _search(rows: DataFrame, dim: int, count: int, k: int) -> DataFrame:
         rows, r = ids[~asks], x[~asks]
         if not len(rows) or not asks.any():
             return None
-        queries, scores, columns = ids[asks], unit(x[asks]) @ unit(r).T, [[], [], []]
+        queries, asked, columns = ids[asks], x[asks], [[], [], []]
+        scores = unit(asked) @ unit(r).T
         scores[queries[:, None] == rows[None, :]] = -2
         for i, q in enumerate(queries):
             own = scores[i]
             last = np.partition(own, len(own) - min(k, len(own)))[len(own) - min(k, len(own))]
             at = np.flatnonzero((own >= last - 1e-9) & (own > -2))
-            exact = cosines(np.broadcast_to(x[asks][i], (len(at), x.shape[1])), r[at])
+            exact = cosines(np.broadcast_to(asked[i], (len(at), x.shape[1])), r[at])
             for column, values in zip(columns, (np.full(min(k, len(at)), q), *_nearest(rows[at], exact, k))):
                 column.append(values)
         return dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, columns)))

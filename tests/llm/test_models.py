@@ -174,6 +174,35 @@ def test_search(spark):
     assert search_vectors(df.limit(0), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("inner", [False, True])
+def test_search_in_clusters(spark, monkeypatch, inner):
+    """Of vectors in clusters few parts are opened; parts with many rows are cut again; a third of the rows are one vector."""
+    from casemill.llm import partitions
+
+    if inner:
+        monkeypatch.setattr(partitions, "PARTS", 8)
+        monkeypatch.setattr(partitions, "LEAF", 64)
+    seen, measured = [], partitions._opened
+    monkeypatch.setattr(partitions, "_opened", lambda filed, queries, tree, k: seen.append((len(tree.leaves()), measured(filed, queries, tree, k))) or seen[-1][1])
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 24)) * 0.4
+    x[rng.permutation(3000)[:1000]] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out = search_vectors(df, F.col("vec_id") % 50 == 0).collect()
+    near = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = near @ near.T
+    np.fill_diagonal(near, -2)
+    found = {}
+    for r in out:
+        found.setdefault(r.query_id, []).append(r.score)
+    assert sorted(found) == list(range(0, 3000, 50)) and {len(s) for s in found.values()} == {5}
+    hits = [s >= np.sort(near[q])[-5] - 1e-9 for q, scores in found.items() for s in scores]
+    (leaves, opened), = seen
+    assert np.mean(hits) >= 0.9 and opened <= leaves / 2
+    assert leaves > 8 if inner else leaves == 16
+
+
 def test_balanced_parts():
     x = np.random.default_rng(1).normal(size=(200, 8))
     parts = balanced_parts(neighbour_graph(x / np.linalg.norm(x, axis=1, keepdims=True), 5), 8)
