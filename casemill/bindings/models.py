@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from casemill.bindings.registry import pages, query, table, texts
 from casemill.functions.text import paragraphs, word_count
-from casemill.operators.classify import sample_settings, score_text_clf, train_text_clf, tune_text_clf
+from casemill.operators.classify import sample_settings, score_text_clf, train_text_clf, train_text_epochs, tune_text_clf
 from casemill.operators.features import train_set_all, train_set_cover, train_set_sentences
 from casemill.operators.joins import gold_join, hot_keys
 from casemill.operators.cleaning import map_values
@@ -153,7 +153,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Every epoch of one training: its loss is below that of the epoch before, and accuracy is a share of the test rows."""
     train, test = _halves(examples(spark, sf))
-    history = train_text_clf(train, test, epochs=10, n_features=1 << 12, reg=0.1, pieces=4).history
+    history = train_text_epochs(train, test, epochs=10, n_features=1 << 12, reg=0.1, pieces=4).history
     n, before = test.count(), [math.inf, *(h["loss"] for h in history)]
     rows = [(h["epochs"], n, h["loss"] < last, abs(h["accuracy"] * n - round(h["accuracy"] * n)) < 1e-6) for h, last in zip(history, before)]
     return spark.createDataFrame(rows, "epochs bigint, test_rows bigint, loss_falls boolean, shares_of_rows boolean")

@@ -20,7 +20,7 @@ from casemill.functions.keys import hash_bucket, key_hash
 from casemill.functions.text import words
 from casemill.operators.cleaning import map_values
 from casemill.operators.epochs import EpochModel, epoch_predictions, sparse_columns, train_epochs
-from casemill.operators.metrics import eval_groups
+from casemill.operators.metrics import eval_bundle, eval_groups
 from casemill.rules.defaults import CASE_TOKENS, CLASS_NAMES
 from casemill.workdir import materialize
 
@@ -78,6 +78,36 @@ class Trained:
 
 
 def train_text_clf(
+    train: DataFrame,
+    test: DataFrame,
+    text: str = "text",
+    label: str = "labels",
+    epochs: tuple[int, ...] = (5, 10, 20),
+    max_len: int | None = None,
+    n_features: int = 1 << 16,
+    reg: float = 0.01,
+    pieces: int | None = None,
+) -> Trained:
+    """Train for each number of epochs, evaluate on ``test`` and keep the best macro F1.
+
+    The features are computed once and stored in the shared folder; only metrics and model
+    weights (bounded by ``n_features``) reach the driver.
+    """
+    features = Pipeline(stages=[*_token_stages(text, max_len, pieces), *_vector_stages(n_features)]).fit(train)
+    train_x = materialize(features.transform(train).select(label, "features"), "train-features")
+    test_x = materialize(features.transform(test).select(label, "features"), "test-features")
+    history, best, best_score = [], None, -1.0
+    for n in epochs:
+        fitted = _classifier(label, n, reg).fit(train_x)
+        scored = fitted.transform(test_x).withColumn("_scores", vector_to_array("probability"))
+        metrics = eval_bundle(scored, label, "_scores").first().asDict()
+        history.append({"epochs": n, **metrics})
+        if (metrics["macro_f1"] or 0.0) > best_score:
+            best, best_score = fitted, metrics["macro_f1"] or 0.0
+    return Trained(PipelineModel(stages=[*features.stages, best]), history)
+
+
+def train_text_epochs(
     train: DataFrame,
     test: DataFrame,
     text: str = "text",

@@ -94,8 +94,8 @@ def test_epochs_are_those_of_one_run(spark, examples, monkeypatch):
     train, test = examples.filter("split = 'train'"), examples.filter("split = 'test'")
     made, real = [], classify.train_epochs
     monkeypatch.setattr(classify, "train_epochs", lambda *a: made.append(a[1]) or real(*a))
-    every = classify.train_text_clf(train, test, epochs=6, n_features=1 << 8)
-    some = classify.train_text_clf(train, test, epochs=(2, 6), n_features=1 << 8)
+    every = classify.train_text_epochs(train, test, epochs=6, n_features=1 << 8)
+    some = classify.train_text_epochs(train, test, epochs=(2, 6), n_features=1 << 8)
     assert made == [6, 6] and [h["epochs"] for h in every.history] == [1, 2, 3, 4, 5, 6]
     for h, of_all in zip(some.history, (every.history[1], every.history[5])):
         assert h["loss"] == pytest.approx(of_all["loss"]) and h["accuracy"] == pytest.approx(of_all["accuracy"])
@@ -121,7 +121,7 @@ def test_training_needs_two_classes(spark):
 
 
 def test_epoch_model_is_saved(spark, examples, tmp_path):
-    trained = classify.train_text_clf(examples, examples, epochs=3, n_features=1 << 6)
+    trained = classify.train_text_epochs(examples, examples, epochs=3, n_features=1 << 6)
     trained.model.write().overwrite().save(str(tmp_path / "model"))
     again = classify.PipelineModel.load(str(tmp_path / "model"))
     for a, b in zip(*(m.transform(examples).orderBy("id").select("probability").collect() for m in (trained.model, again))):
