@@ -325,7 +325,8 @@ def _ratio(a, b):
 )
 def _(spark, sf):
     score = token_set_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(", ", "p_type", "p_brand"), short=True)
-    return table(spark, sf, "part").select("p_partkey", score.cast("bigint").alias("score"))
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand"))
+    return parts.select("p_partkey", score.cast("bigint").alias("score"))
 
 
 # Signature block -----------------------------------------------------------------------------

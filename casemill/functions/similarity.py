@@ -85,7 +85,7 @@ BITS = 62
 
 def _bits(a: Column, ch: Column) -> Column:
     """Where the characters ``a`` are ``ch``, the last one at the lowest bit."""
-    return F.aggregate(a, F.lit(0).cast("bigint"), lambda n, x: n + n + F.when(x == ch, 1).otherwise(0).cast("bigint"))
+    return F.aggregate(a, F.lit(0).cast("bigint"), lambda n, x: n + n + (x == ch).cast("bigint"))
 
 
 def _left_open(a: Column, b: Column) -> Column:
