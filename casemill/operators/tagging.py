@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -23,11 +25,50 @@ from casemill.workdir import materialize
 INLINE_TERMS = 2000
 
 
+# A rule for a stem in a run of characters of one class, such as [a-z]*tion[a-z]* or [a-z]+ing.
+_STEM_RULE = re.compile(r"(\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\])([*+])([A-Za-z0-9_]+)(?:\1([*+]))?")
+# So many different rules of one class share its runs; fewer are searched for faster one by one.
+STEM_RULES = 3
+
+
+def _stem_rule(pattern: str) -> re.Match | None:
+    found = _STEM_RULE.fullmatch(pattern)
+    return found if found and re.fullmatch(f"{found[1]}+", found[3]) else None
+
+
+def _stem_matches(runs: Column, rule: re.Match) -> Column:
+    """All matches of a stem rule from the runs of its class: each match lies in one run, and a run has one at most."""
+    held = F.filter(runs, lambda run: F.contains(run, F.lit(rule[3])))
+    if (rule[2], rule[4]) != ("*", "*"):  # else the match is the run
+        held = F.filter(F.transform(held, lambda run: F.regexp_extract(run, rule[0], 0)), lambda m: m != "")
+    return F.coalesce(held, empty_texts())
+
+
 def tag_entities(df: DataFrame, text: str, rules: dict[str, str] = ENTITY_RULES) -> DataFrame:
-    """One ``array<string>`` column per label, all in one projection; empty when nothing matches."""
-    return df.select(
-        "*", *[all_matches(F.col(text), pattern).alias(label) for label, pattern in rules.items()]
+    """One ``array<string>`` column per label; empty when nothing matches.
+
+    A pattern of several labels is searched for once. Rules for stems (``STEM_RULES`` or more of one class of characters)
+    are looked up in the runs of that class, which are cut out of a text once for all of them: the search for such a
+    pattern begins anew at each character of each run, and does so for each rule.
+    """
+    patterns = list(dict.fromkeys(rules.values()))
+    stems = {p: found for p in patterns if (found := _stem_rule(p))}
+    shared = [c for c, n in Counter(found[1] for found in stems.values()).items() if n >= STEM_RULES]
+    stems = {p: found for p, found in stems.items() if found[1] in shared}
+    if not shared and len(patterns) == len(rules):
+        return df.select("*", *[all_matches(F.col(text), p).alias(label) for label, p in rules.items()])
+    taken = {c.lower() for c in [*df.columns, *rules]}
+    mark = "_"  # of names that no column has
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    runs = {c: f"{mark}runs{i}" for i, c in enumerate(shared)}
+    found = {p: f"{mark}found{i}" for i, p in enumerate(patterns)}
+    cut = df.select("*", *[F.regexp_extract_all(F.col(text), F.lit(f"{c}+"), F.lit(0)).alias(name) for c, name in runs.items()])
+    searched = cut.select(
+        "*",
+        *[(_stem_matches(F.col(runs[stems[p][1]]), stems[p]) if p in stems else all_matches(F.col(text), p)).alias(name) for p, name in found.items()],
     )
+    return searched.select("*", *[F.col(found[p]).alias(label) for label, p in rules.items()]).drop(*runs.values(), *found.values())
 
 
 def tag_cover(

@@ -1,6 +1,7 @@
 """Golden rows and invariants of the table operators."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -275,6 +276,33 @@ def test_tag_entities(spark):
     assert rows(got) == sorted([("ab cd", ["ab"], ["cd"]), (None, [], [])], key=repr)
 
 
+def test_stem_rules_share_the_runs_of_their_class(spark):
+    shapes = ["[a-c]*{}[a-c]*", "[a-c]+{}[a-c]*", "[a-c]*{}[a-c]+", "[a-c]+{}[a-c]+", "[a-c]*{}", "[a-c]+{}"]
+    patterns = [shape.format(stem) for shape in shapes for stem in ("a", "ab", "aa", "cab")]
+    patterns += ["[a-c]+d", "b+", "[a-c][a-c]*", "[a-c]*ab?", "[A-C]+AB", "[A-C]*B[A-C]*", "[A-C_]+_B"]
+    rules = {f"R{i}": p for i, p in enumerate([*patterns, patterns[0]])}
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aaabbccAB_d \n\u00fc\U0001f600", k=rng.randrange(60))) for _ in range(300)] + ["", "ab" * 3000, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_runs0 int, t string")
+    got = tagging.tag_entities(df, "t", rules)
+    assert got.columns == ["_runs0", "t", *rules]
+    for row in got.collect():
+        assert [row[x] for x in rules] == [re.findall(p, row["t"] or "") for p in rules.values()]
+
+
+def test_rules_are_not_searched_for_one_by_one(spark):
+    """Of one text per search, before: fifteen. A pattern of several labels is searched for once."""
+    df = spark.range(3).select(F.col("id").cast("string").alias("t"))
+
+    def searches(rules):
+        tagged = tagging.tag_entities(df, "t", rules).select(*rules)
+        return tagged._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+
+    assert searches({f"R{i}": f"[a-z]*{stem}[a-z]*" for i, stem in enumerate("abcdefghijklmno")}) == 1
+    assert searches({f"R{i}": ("[a-z]+ab", "[a-z]+c")[i % 2] for i in range(15)}) == 2
+    assert searches({"A": r"\d+", "B": "x.", "C": "[a-z]+ab"}) == 3
+
+
 def test_default_rules(spark):
     sentence = (
         "On May 23, 2017 the Refugee Protection Division in Toronto found, under section 96, that the "

@@ -147,6 +147,22 @@ def test_spread_only_what_is_in_few_pieces(spark):
     assert files.spread(many) is many
 
 
+def test_spread_does_not_count_on_splits_of_a_row_group(spark, tmp_path):
+    spark.range(200_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        one = spark.read.parquet(str(tmp_path / "one"))
+        sizes = [n for n in files.spread(one).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert one.rdd.getNumPartitions() >= 4 and len(sizes) >= 4 and max(sizes) < 100_000
+        assert sum(sizes) == 200_000
+        spark.range(0).write.parquet(str(tmp_path / "none"))
+        assert files.spread(spark.read.parquet(str(tmp_path / "none"))).count() == 0
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
 def test_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
