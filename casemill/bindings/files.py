@@ -15,6 +15,7 @@ from casemill.sources.files import (
     read_delimited,
     read_documents,
     read_named,
+    spread,
     write_delimited,
     write_documents,
     write_shards,
@@ -153,6 +154,14 @@ def _(spark, sf):
     )
 
 
+# Rows of a file that arrives on a stream, which one task reads: a larger table lands as more files.
+LANDING_ROWS = 2_500
+
+
+def _land(docs, path):
+    write_shards(spread(docs), path, sep=";", rows=LANDING_ROWS)
+
+
 @query(
     "stream_tagging",
     """SELECT CAST(doc_id AS VARCHAR) AS decision_id,
@@ -187,7 +196,7 @@ def _(spark, sf):
     landing, sink, rejected, marks = (fresh_path(spark, n) for n in ("landing", "tagged", "rejected", "marks"))
     docs = table(spark, sf, "documents").filter(F.col("text").isNotNull())
     spoilt = F.when(F.col("doc_id") % 5 == 0, F.concat("doc_id", F.lit("x"))).otherwise(F.col("doc_id").cast("string"))
-    write_shards(docs.select(spoilt.alias("doc_id"), "text"), landing, 4, sep=";")
+    _land(docs.select(spoilt.alias("doc_id"), "text"), landing)
 
     def work(sentences):
         masked = clean_stream(sentences, mask="[0-9]").withColumn("n_masked", F.regexp_count("text", F.lit("X")).cast("bigint"))

@@ -27,6 +27,9 @@ def read_sentence_stream(
 ) -> DataFrame:
     """Delimited sentence files of a folder, each file once, by the rules of the batch reader.
 
+    A quoted field may hold line breaks, so a file is read by one task, whatever its size: let a large table arrive as files
+    of bounded size (``write_shards`` with ``rows``). A trigger reads ``files_per_trigger`` of them by many tasks.
+
     A header must have the schema's names in its order. A row that does not fit the schema stops the stream; with
     ``checked`` it stays, with its text in ``CORRUPT`` (NULL for all other rows) and its file in ``FILE``, for
     ``write_checked``.

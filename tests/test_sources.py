@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from casemill.bindings import QUERIES
 from casemill.operators.masking import mask_column
 from casemill.schemas import SENTENCES
 from casemill.sources import files
@@ -227,6 +228,19 @@ def test_stream_stops_at_bad_files(spark, tmp_path, content):
         write_tagged(tag_stream(stream, rules={"X": "x"}), str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
 
 
+@pytest.mark.parametrize("name", ["stream_rejects"])
+def test_larger_tables_land_as_more_files(spark, tmp_path, monkeypatch, name):
+    """Before: four files of any size, each read by one task."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit('a "station"\n'), "id").alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("casemill.bindings.files.fresh_path", lambda spark, folder: f"{tmp_path}/{folder}")
+    got = {int(r[0]): r.nouns for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    bad = name == "stream_rejects"
+    assert got == {n: None if bad and n % 5 == 0 else "station" for n in range(12_000)}
+    sizes = [sum(line.endswith('station""') for line in f.read_text().splitlines()) for f in (tmp_path / "landing").glob("*.csv")]
+    assert sum(sizes) == 12_000 and max(sizes) <= 2_500
+
+
 def test_bad_rows_are_errors_or_rejects(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k;v\n1;0.5\nx;0.7\n2\n3;0.1;9\n;0.2\n")
     schema = "k bigint, v double"
