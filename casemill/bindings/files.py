@@ -172,7 +172,7 @@ def _land(docs, path):
 def _(spark, sf):
     landing, sink, marks = (fresh_path(spark, n) for n in ("landing", "tagged", "marks"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("decision_id"), "text")
-    write_shards(docs, landing, 4, sep=";")
+    _land(docs, landing)
     stream = read_sentence_stream(spark, landing)
     tagged = tag_stream(stream, rules={"nouns": "[a-z]+tion", "verbs": "[a-z]+ing"})
     running = write_tagged(tagged, sink, marks)

@@ -228,7 +228,7 @@ def test_stream_stops_at_bad_files(spark, tmp_path, content):
         write_tagged(tag_stream(stream, rules={"X": "x"}), str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
 
 
-@pytest.mark.parametrize("name", ["stream_rejects"])
+@pytest.mark.parametrize("name", ["stream_tagging", "stream_rejects"])
 def test_larger_tables_land_as_more_files(spark, tmp_path, monkeypatch, name):
     """Before: four files of any size, each read by one task."""
     docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit('a "station"\n'), "id").alias("text"))
