@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casemill.rules.defaults import MASK_CHAR, MASK_LENGTH, PERSON_RULE
 
 
+# A pattern of classes and plain characters, one of which stands in every match: [a-z]+@[a-z.]+.
+_PLAIN = re.compile(r"(?:\[(?:\w-\w|[\w.@%+])+\][*+]?)*([\w@])(?![*+])(?:\[(?:\w-\w|[\w.@%+])+\][*+]?|[\w@](?![*+]))*", re.A)
+
+
+def _has_span(text: Column, pattern: str) -> Column:
+    """``rlike``, after a look for a character that every match holds, if the pattern shows one."""
+    plain = _PLAIN.fullmatch(pattern)
+    return F.contains(text, F.lit(plain[1])) & text.rlike(pattern) if plain else text.rlike(pattern)
+
+
 def mask_text(
     text: Column, pattern: str = PERSON_RULE, char: str = MASK_CHAR, length: int = MASK_LENGTH
 ) -> Column:
@@ -26,7 +38,7 @@ def mask_text(
     stitched = F.array_join(
         F.zip_with(between, masked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
-    return F.when(text.rlike(pattern), stitched).otherwise(text)
+    return F.when(_has_span(text, pattern), stitched).otherwise(text)
 
 
 def mask_column(df: DataFrame, text: str, pattern: str = PERSON_RULE, **options) -> DataFrame:

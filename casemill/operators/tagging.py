@@ -28,7 +28,7 @@ INLINE_TERMS = 2000
 # A rule for a stem in a run of characters of one class, such as [a-z]*tion[a-z]* or [a-z]+ing.
 _STEM_RULE = re.compile(r"(\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\])([*+])([A-Za-z0-9_]+)(?:\1([*+]))?")
 # So many different rules of one class share its runs; fewer are searched for faster one by one.
-STEM_RULES = 3
+STEM_RULES = 2
 
 
 def _stem_rule(pattern: str) -> re.Match | None:
@@ -85,9 +85,9 @@ def tag_cover(
         "ORG": "extracted_org",
         "PERSON": "extracted_persons",
     }
-    return df.select(
+    tagged = tag_entities(df, text, {name: rules[label] for label, name in names.items()})
+    return tagged.select(
         "*",
-        *[all_matches(F.col(text), rules[label]).alias(name) for label, name in names.items()],
         first_match(F.col(text), f"(?i){hearing_type}").alias("public_private_hearing"),
         first_match(F.col(text), f"(?i){hearing_mode}").alias("in_chamber_virtual"),
     )
